@@ -235,6 +235,8 @@ def with_fixtures(sql: str, *names: str) -> str:
 
     for n in names:
         add(n)
+    if not need:
+        return sql
     ctes = [f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in _ORDER if n in need]
     sql = sql.strip()
     if sql.upper().startswith("WITH "):
