@@ -242,3 +242,25 @@ def with_fixtures(sql: str, *names: str) -> str:
     if sql.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + sql[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + sql
+
+
+def index_series(spark: SparkSession, sf_dir: str, bars_df: DataFrame | None = None) -> DataFrame:
+    """index_series(index_name, ts, close, volume): the market index plus one
+    volume-weighted index per sector (region), built from member bars."""
+    b = bars_df if bars_df is not None else bars(spark, sf_dir)
+    sec = sector_members(spark, sf_dir).select("symbol", "sector")
+    per = (b.join(sec, "symbol").groupBy(F.col("sector").alias("index_name"), "ts")
+           .agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("close"),
+                F.sum("volume").alias("volume")))
+    mkt = market_index(spark, sf_dir, b).select(F.lit("MARKET").alias("index_name"), "ts", "close", "volume")
+    return mkt.unionByName(per)
+
+
+FIXTURE_SQL["index_series"] = """
+SELECT 'MARKET' AS index_name, ts, close, volume FROM market_index
+UNION ALL
+SELECT r_name AS index_name, ts, SUM(close * volume) / SUM(volume) AS close, SUM(volume) AS volume
+FROM bars JOIN supplier ON s_suppkey = symbol JOIN nation ON s_nationkey = n_nationkey
+     JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, ts"""
+_ORDER.insert(_ORDER.index("sector_members"), "index_series")
+_DEPS["index_series"] = ["market_index"]
