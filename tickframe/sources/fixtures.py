@@ -239,6 +239,8 @@ def with_fixtures(sql: str, *names: str) -> str:
         return sql
     ctes = [f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in _ORDER if n in need]
     sql = sql.strip()
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + sql[15:]
     if sql.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + sql[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + sql
