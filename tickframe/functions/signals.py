@@ -85,22 +85,26 @@ def trend_label(strength) -> Column:
             .otherwise(F.lit("sideways")))
 
 
-def vote_signals(close, sma20, sma50, rsi, macd, macd_signal, bb_position, stoch_k) -> Column:
-    """Individual signals (MA cross, RSI 70/30, MACD, BB position .8/.2,
-    stochastic 80/20) then a majority vote of bullish+oversold against
-    bearish+overbought.  Returns struct(signals array, bull, bear, overall)."""
-    c, a, b = _c(close), _c(sma20), _c(sma50)
-    sigs = F.array(
-        F.when((c > a) & (a > b), F.lit("bullish")).when((c < a) & (a < b), F.lit("bearish")),
-        F.when(_c(rsi) > 70, F.lit("overbought")).when(_c(rsi) < 30, F.lit("oversold")),
-        F.when(_c(macd) > _c(macd_signal), F.lit("bullish")).otherwise(F.lit("bearish")),
-        F.when(_c(bb_position) > 0.8, F.lit("overbought")).when(_c(bb_position) < 0.2, F.lit("oversold")),
-        F.when(_c(stoch_k) > 80, F.lit("overbought")).when(_c(stoch_k) < 20, F.lit("oversold")))
-    sigs = F.array_compact(sigs)
-    bull = F.size(F.filter(sigs, lambda s: s.isin("bullish", "oversold")))
-    bear = F.size(F.filter(sigs, lambda s: s.isin("bearish", "overbought")))
-    overall = F.when(bull > bear, F.lit("bullish")).when(bear > bull, F.lit("bearish")).otherwise(F.lit("neutral"))
-    return F.struct(sigs.alias("signals"), bull.alias("bullish"), bear.alias("bearish"), overall.alias("overall"))
+def vote_signals(sma20, sma50, rsi, macd, macd_signal, bb_position, stoch_k, stoch_d) -> Column:
+    """Five signals (SMA20 vs SMA50, RSI 70/30, MACD vs signal, BB
+    position .8/.2, stochastic %K and %D both beyond 80/20) and a majority
+    vote of bullish+oversold against bearish+overbought.
+    Returns struct(ma, rsi, macd, bb, stoch, bullish, bearish, overall)."""
+    a, b, r, m, s, p, k, d = (_c(x) for x in (sma20, sma50, rsi, macd, macd_signal, bb_position, stoch_k, stoch_d))
+    neutral = F.lit("neutral")
+    ma = F.when(a > b, F.lit("bullish")).when(a < b, F.lit("bearish")).otherwise(neutral)
+    rs = F.when(r > 70, F.lit("overbought")).when(r < 30, F.lit("oversold")).otherwise(neutral)
+    md = F.when(m > s, F.lit("bullish")).when(m < s, F.lit("bearish")).otherwise(neutral)
+    bb = F.when(p > 0.8, F.lit("overbought")).when(p < 0.2, F.lit("oversold")).otherwise(neutral)
+    st = (F.when((k > 80) & (d > 80), F.lit("overbought")).when((k < 20) & (d < 20), F.lit("oversold"))
+          .otherwise(neutral))
+    arr = F.array(ma, rs, md, bb, st)
+    bull = F.size(F.filter(arr, lambda x: x.isin("bullish", "oversold")))
+    bear = F.size(F.filter(arr, lambda x: x.isin("bearish", "overbought")))
+    overall = F.when(bull > bear, F.lit("bullish")).when(bear > bull, F.lit("bearish")).otherwise(neutral)
+    return F.struct(ma.alias("ma_signal"), rs.alias("rsi_signal"), md.alias("macd_signal"), bb.alias("bb_signal"),
+                    st.alias("stoch_signal"), bull.alias("bullish"), bear.alias("bearish"),
+                    overall.alias("overall_signal"))
 
 
 def sentiment_label(score, strict: bool = False) -> Column:

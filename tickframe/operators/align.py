@@ -46,7 +46,7 @@ def asof_ffill(bars: DataFrame, slow: DataFrame, *, value: str, by: str = BY, ts
     Bars before the first slow row keep a null value (left join).
     """
     name = name or value
-    w = Window.orderBy(ts)  # over the slow series itself (one row per period)
+    w = Window.orderBy("_lo")  # over the slow series itself (one row per period)
     iv = (slow.select(F.col(ts).alias("_lo"), F.col(value).alias("_v"))
           .withColumn("_hi", F.lead("_lo", 1).over(w)))
     lo_b = F.date_trunc(bucket, F.col("_lo"))

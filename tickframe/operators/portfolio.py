@@ -154,7 +154,7 @@ def weight_grid(weights: DataFrame, k: int = 10, *, by: str = BY) -> DataFrame:
         "cand", F.element_at(sym_arr, F.col("i") + 1).alias(by), (F.col("u") / F.lit(float(k))).alias("weight"))
 
 
-VOL_CAPS = {"low": 0.10, "medium": 0.15, "high": 0.25}
+VOL_CAPS = {"low": 0.10, "medium": 0.15, "high": 0.25, "unconstrained": None}
 
 
 def portfolio_weight_search(bars: DataFrame, weights: DataFrame, k: int = 10, *, by: str = BY) -> DataFrame:
@@ -172,8 +172,12 @@ def portfolio_weight_search(bars: DataFrame, weights: DataFrame, k: int = 10, *,
            .groupBy("cand").agg(F.sum(F.col("w_a") * F.col("w_b") * F.col("cov")).alias("var")))
     scored = ret.join(var, "cand").withColumn("vol", F.sqrt(F.greatest(F.col("var"), F.lit(0.0))))
     scored = scored.withColumn("sharpe", F.when(F.col("vol") > 0, F.col("ret") / F.col("vol")).otherwise(F.lit(0.0)))
-    caps = F.array(*[F.struct(F.lit(t).alias("risk_tolerance"), F.lit(c).alias("vol_cap")) for t, c in VOL_CAPS.items()])
-    ok = scored.withColumn("_cap", F.explode(caps)).select("*", "_cap.*").filter(F.col("vol") <= F.col("vol_cap"))
+    # the reference computes a cap per tolerance but its solver never applies
+    # it; "unconstrained" (null cap) reproduces that, the others apply the cap
+    caps = F.array(*[F.struct(F.lit(t).alias("risk_tolerance"), F.lit(c).cast("double").alias("vol_cap"))
+                     for t, c in VOL_CAPS.items()])
+    ok = (scored.withColumn("_cap", F.explode(caps)).select("*", "_cap.*")
+          .filter(F.col("vol_cap").isNull() | (F.col("vol") <= F.col("vol_cap"))))
     # best Sharpe; ties by lower volatility, higher return, then allocation text
     key = F.struct((-F.col("sharpe")).alias("a"), F.col("vol").alias("b"), (-F.col("ret")).alias("c"),
                    F.col("cand").alias("d"))

@@ -124,13 +124,14 @@ var AS (SELECT a.cand, SUM(a.weight * b.weight * cov) AS var FROM gw a JOIN cov
         JOIN gw b ON b.cand = a.cand AND b.symbol = cov.sym_b GROUP BY a.cand),
 sc AS (SELECT ret.cand, ret, SQRT(GREATEST(var, 0.0)) AS vol FROM ret JOIN var USING (cand)),
 sh AS (SELECT *, CASE WHEN vol > 0 THEN ret / vol ELSE 0.0 END AS sharpe FROM sc),
-caps AS (SELECT * FROM (VALUES ('low', 0.10), ('medium', 0.15), ('high', 0.25)) t(risk_tolerance, vol_cap))
+caps AS (SELECT * FROM (VALUES ('low', 0.10), ('medium', 0.15), ('high', 0.25), ('unconstrained', NULL))
+         t(risk_tolerance, vol_cap))
 SELECT risk_tolerance, CAST(vol_cap AS DOUBLE) AS vol_cap,
        FIRST(cand ORDER BY sharpe DESC, vol ASC, ret DESC, cand ASC) AS allocation,
        FIRST(ret ORDER BY sharpe DESC, vol ASC, ret DESC, cand ASC) AS expected_return,
        FIRST(vol ORDER BY sharpe DESC, vol ASC, ret DESC, cand ASC) AS volatility,
        FIRST(sharpe ORDER BY sharpe DESC, vol ASC, ret DESC, cand ASC) AS sharpe_ratio
-FROM sh JOIN caps ON sh.vol <= caps.vol_cap GROUP BY risk_tolerance, vol_cap""", *FX,
+FROM sh JOIN caps ON caps.vol_cap IS NULL OR sh.vol <= caps.vol_cap GROUP BY risk_tolerance, vol_cap""", *FX,
     doubles=("vol_cap", "expected_return", "volatility", "sharpe_ratio")))
 def q_portfolio_weight_search(spark, sf_dir):
     """G1: best-Sharpe long-only weights on a 1/10 grid per volatility cap."""
