@@ -49,8 +49,11 @@ def asof_ffill(bars: DataFrame, slow: DataFrame, *, value: str, by: str = BY, ts
     w = Window.orderBy("_lo")  # over the slow series itself (one row per period)
     iv = (slow.select(F.col(ts).alias("_lo"), F.col(value).alias("_v"))
           .withColumn("_hi", F.lead("_lo", 1).over(w)))
+    # the last interval is open-ended: it covers buckets up to the last bar
+    last_bar = bars.agg(F.max(ts)).first()[0]
     lo_b = F.date_trunc(bucket, F.col("_lo"))
-    hi_b = F.coalesce(F.date_trunc(bucket, F.col("_hi")), lo_b)
+    hi_b = F.coalesce(F.date_trunc(bucket, F.col("_hi")),
+                      F.greatest(lo_b, F.date_trunc(bucket, F.lit(last_bar).cast("timestamp"))))
     iv = iv.withColumn("_b", F.explode(F.sequence(lo_b, hi_b, F.expr(f"INTERVAL 1 {bucket.upper()}"))))
     b = bars.withColumn("_b", F.date_trunc(bucket, F.col(ts)))
     cond = ((b["_b"] == iv["_b"]) & (b[ts] >= iv["_lo"]) & (iv["_hi"].isNull() | (b[ts] < iv["_hi"])))
