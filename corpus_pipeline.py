@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickframe.llm import toxicity
+from tickframe.llm import ngram_join, toxicity
 from tickframe.llm.common import staged, table
 
 
@@ -17,8 +17,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate component (7)."""
+    return ngram_join.one_of_each(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("ngram_join", one_of_each_group),
 ]
 
 #: No stage can be written in SQL (trained scores, tokenizer, subset-sum packing).

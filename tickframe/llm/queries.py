@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import toxicity
+from tickframe.llm import ngram_join, toxicity
 from tickframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
         F.size("passages").alias("n_passages"), "passages")
+
+
+@query("op7_ngram_jaccard")
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with a 5-word shingle similarity of 0.75 or more."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
