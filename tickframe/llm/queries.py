@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import ngram_join, toxicity
+from tickframe.llm import ngram_join, secrets, toxicity
 from tickframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_secrets")
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base counts and digest, all spans, findings by layer."""
+    got = secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select(F.col("row.doc_id").alias("doc_id"), "n_assign", "n_access", "n_hex",
+                      F.sha2("base", 256).alias("base_sha256"), "spans", "findings", "layers")
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score and significant passages of every document."""
