@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickframe.llm import ngram_join, toxicity
+from tickframe.llm import mixing, ngram_join, packing, secrets, toxicity
 from tickframe.llm.common import staged, table
 
 
@@ -22,9 +22,27 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return ngram_join.one_of_each(docs)
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret found (1) replaced by a mark."""
+    return secrets.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once, those of small sources up to twice (10)."""
+    return mixing.repeated(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their place in sequences of 2048 tokens (8)."""
+    return packing.packed(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("ngram_join", one_of_each_group),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 #: No stage can be written in SQL (trained scores, tokenizer, subset-sum packing).

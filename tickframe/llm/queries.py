@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import ngram_join, secrets, toxicity
+from tickframe.llm import mixing, ngram_join, packing, secrets, toxicity
 from tickframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with a 5-word shingle similarity of 0.75 or more."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query("op10_mixing")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents mixed by source: flattest weights that repeat no source more
+    than twice, within a budget of as many tokens as there are."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
