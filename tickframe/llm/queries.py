@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import mixing, ngram_join, packing, secrets, toxicity
+from tickframe.llm import language_id, mixing, ngram_join, packing, secrets, toxicity, url_filters
 from tickframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,40 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("base", 256).alias("base_sha256"), "spans", "findings", "layers")
 
 
+#: Fixed values of the task.
+SITE_RULES = [url_filters.site_rule("block", "net", "/"), url_filters.site_rule("allow", "example.net", "/en/"),
+              url_filters.site_rule("block", "example.com", "/de/"), url_filters.site_rule("allow", "org", "/fr/")]
+#: Where no site rule fits: urls that name spam, scripts or programs are blocked.
+PAGE_PATTERNS = ["^spam^", "^casino^", "^viagra^", "^porn^", "^phishing^", "^malware^", "/cgi-bin/", "/wp-login.php", ".exe|"]
+
+OP2_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '(?s)^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             substr(rest, length(raw) + 1) AS after FROM h),
+q AS (SELECT page_id, host, after, regexp_extract(after, '(?s)^[^?#]*') AS path FROM p),
+r AS (SELECT *, CASE
+        WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM q)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host || after, '(^|[^A-Za-z0-9])(spam|casino|viagra|porn|phishing|malware)([^A-Za-z0-9]|$)')
+      OR contains(host || after, '/cgi-bin/') OR contains(host || after, '/wp-login.php') OR ends_with(host || after, '.exe')
+    THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+@query("op2_url_filters", OP2_SQL)
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, winning site rule and verdict of every page's url."""
+    rules = SITE_RULES + [url_filters.Rule(p, "block") for p in PAGE_PATTERNS]
+    got = url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return got.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score and significant passages of every document."""
@@ -42,6 +76,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("passages").alias("n_passages"), "passages")
 
 
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query("op7_ngram_jaccard")
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with a 5-word shingle similarity of 0.75 or more."""
