@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import language_id, mixing, ngram_join, packing, secrets, toxicity, url_filters
+from tickframe.llm import (
+    language_id,
+    mixing,
+    multi_index,
+    ngram_join,
+    packing,
+    secrets,
+    segment_topk,
+    toxicity,
+    url_filters,
+)
 from tickframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +86,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("passages").alias("n_passages"), "passages")
 
 
+@query("op4_multi_index")
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found for every query vector, by cosine."""
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op5_segment_topk")
+def op5_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products for every query vector."""
+    return segment_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
