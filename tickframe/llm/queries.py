@@ -15,6 +15,7 @@ from tickframe.llm import (
     packing,
     secrets,
     segment_topk,
+    suffix_dedup,
     toxicity,
     url_filters,
 )
@@ -119,6 +120,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document shares with another."""
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op10_mixing")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed by source: flattest weights that repeat no source more
