@@ -237,13 +237,13 @@ def insights(*conds_and_texts) -> Column:
 
 
 def human_number(x) -> Column:
-    """B / M / K formatting with one decimal."""
-    v = _c(x)
-    a = F.abs(v)
-    return (F.when(a >= 1e9, F.format_string("%.1fB", v / 1e9))
-            .when(a >= 1e6, F.format_string("%.1fM", v / 1e6))
-            .when(a >= 1e3, F.format_string("%.1fK", v / 1e3))
-            .otherwise(F.format_string("%.0f", v)))
+    """B / M / K formatting with one decimal from 1e9 / 1e6 / 1e3 on,
+    two decimals below (so for every negative number)."""
+    v = _c(x).cast("double")
+    return (F.when(v >= 1e9, F.format_string("%.1fB", v / 1e9))
+            .when(v >= 1e6, F.format_string("%.1fM", v / 1e6))
+            .when(v >= 1e3, F.format_string("%.1fK", v / 1e3))
+            .when(v.isNotNull(), F.format_string("%.2f", v)))
 
 
 def forecast_date(last_ts, day) -> Column:

@@ -233,13 +233,15 @@ def prediction_risk(paths: DataFrame, bars: DataFrame, *, by: str = BY, col: str
 
 def path_direction(paths: DataFrame, *, by: str = BY, col: str = "predicted", day: str = "day") -> DataFrame:
     """% change from the first to the last forecast step: >5 strong up,
-    >1 up, <-5 strong down, <-1 down, else sideways."""
-    g = paths.groupBy(by).agg(F.min_by(col, day).alias("_first"), F.max_by(col, day).alias("_last"))
+    >1 up, <-5 strong down, <-1 down, else sideways; a path of one step is neutral."""
+    g = paths.groupBy(by).agg(F.min_by(col, day).alias("_first"), F.max_by(col, day).alias("_last"),
+                              F.count(col).alias("_steps"))
     pct = (F.col("_last") - F.col("_first")) / F.col("_first") * 100.0
     return g.select(by, pct.alias("path_change_pct"),
-                    F.when(pct > 5, F.lit("strong_bullish")).when(pct > 1, F.lit("bullish"))
-                     .when(pct < -5, F.lit("strong_bearish")).when(pct < -1, F.lit("bearish"))
-                     .otherwise(F.lit("neutral")).alias("path_direction"))
+                    F.when(F.col("_steps") < 2, F.lit("neutral"))
+                     .when(pct > 5, F.lit("strong_uptrend")).when(pct > 1, F.lit("uptrend"))
+                     .when(pct < -5, F.lit("strong_downtrend")).when(pct < -1, F.lit("downtrend"))
+                     .otherwise(F.lit("sideways")).alias("path_direction"))
 
 
 def trend_adjusted_strength(probs: DataFrame, bars: DataFrame, *, by: str = BY, conf: str = "confidence") -> DataFrame:

@@ -102,15 +102,19 @@ def fit_models(train: DataFrame, *, seed: int = 42, trees: int = 100, depth: int
     return {k: m.fit(t) for k, m in models.items()}
 
 
-def score_latest(models: dict, latest: DataFrame, *, by: str = BY) -> DataFrame:
+def score_latest(models: dict, latest: DataFrame, *, by: str = BY, relative_risk: bool = False) -> DataFrame:
     """M10 + A22 + X11-X15: apply the five models to each symbol's latest
-    feature row; derive scores, labels and the model score."""
+    feature row; derive scores, labels and the model score.
+
+    The price part is 50 + 1000 * return, the trend part the strength of the
+    bucket, the risk part the clamped prediction * 100; ``relative_risk``
+    divides the predicted price deviation by the price first (SURVEY Q18)."""
     out = latest
     for m in models.values():
         out = m.transform(out).drop("_raw", "features")
-    price_score = sg.clamp((F.col("pred_price") + 0.2) * 250.0)
-    trend_score = sg.clamp(F.col("pred_trend") * 100.0)
-    risk_score = sg.clamp(F.col("pred_risk") / F.col("close") * 100.0)
+    price_score = F.lit(50.0) + F.col("pred_price") * 1000.0
+    trend_score = sg.trend_bucket_strength("pred_trend") * 100.0
+    risk_score = sg.clamp(F.col("pred_risk") / (F.col("close") if relative_risk else F.lit(1.0)) * 100.0)
     sent_score = sg.clamp(F.col("pred_sentiment"))
     fund_score = sg.fundamental_points(F.col("pred_fundamental"))
     out = out.select(by, "ts", "close", "pred_price", "pred_trend", "pred_risk", "pred_sentiment", "pred_fundamental",

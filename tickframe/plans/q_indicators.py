@@ -52,7 +52,7 @@ SMA_N = (5, 10, 20, 50, 100, 200)
 reg("sma", [lambda p, n=n: ind.sma(p, n) for n in SMA_N], [f"sma_{n}" for n in SMA_N],
     ", ".join(f"{fr('AVG', 'close', n)} AS sma_{n}" for n in SMA_N))
 
-EMA_SPANS = (5, 9, 10, 12, 20, 26, 50)
+EMA_SPANS = (5, 9, 10, 12, 20, 26, 50, 100, 200)
 reg("ema_adjusted", [lambda p, s=s: ind.ema_adjusted(p, s) for s in EMA_SPANS], [f"ema_{s}" for s in EMA_SPANS],
     ", ".join(f"(SELECT val FROM e{s} WHERE e{s}.symbol = br.symbol AND e{s}.rn = br.rn) AS ema_{s}"
               for s in EMA_SPANS),

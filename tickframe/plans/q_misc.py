@@ -100,11 +100,15 @@ def q_default_missing(spark, sf_dir):
     return rounded(clean.default_missing(f, columns=["trailing_pe", "beta"]))
 
 
-@query("replace_inf", Q("""SELECT symbol, ts, COALESCE(CASE WHEN volume = 0 THEN 0.0 ELSE close / volume END, 0.0)
+@query("replace_inf", Q("""SELECT symbol, ts, CASE WHEN day(ts) <= 4 THEN 0.0 ELSE close / volume END
   AS price_per_unit FROM bars""", "bars", doubles=("price_per_unit",)))
 def q_replace_inf(spark, sf_dir):
-    """Non-finite ratios (and nulls) -> 0."""
-    b = fx.bars(spark, sf_dir).select("symbol", "ts", F.try_divide("close", "volume").alias("price_per_unit"))
+    """Non-finite ratios (and nulls) -> 0.  The first days of each month
+    stand in as bars without volume: their ratio is inf, -inf, NaN or null."""
+    day = F.dayofmonth("ts")
+    odd = (F.when(day == 1, F.lit(float("inf"))).when(day == 2, F.lit(float("-inf")))
+           .when(day == 3, F.lit(float("nan"))).when(day > 4, F.try_divide("close", "volume")))
+    b = fx.bars(spark, sf_dir).select("symbol", "ts", odd.alias("price_per_unit"))
     return rounded(clean.replace_inf(clean.fill_default(b, {"price_per_unit": 0.0})))
 
 

@@ -138,9 +138,9 @@ def q_forecast_interval(spark, sf_dir):
 @query("path_direction", Q(f"""WITH {_DRIFT},
 g AS (SELECT symbol, arg_min(predicted, day) AS f, arg_max(predicted, day) AS l FROM drift GROUP BY symbol)
 SELECT symbol, (l - f) / f * 100 AS path_change_pct,
-  CASE WHEN (l - f) / f * 100 > 5 THEN 'strong_bullish' WHEN (l - f) / f * 100 > 1 THEN 'bullish'
-       WHEN (l - f) / f * 100 < -5 THEN 'strong_bearish' WHEN (l - f) / f * 100 < -1 THEN 'bearish'
-       ELSE 'neutral' END AS path_direction FROM g""", "bars", doubles=("path_change_pct",)))
+  CASE WHEN (l - f) / f * 100 > 5 THEN 'strong_uptrend' WHEN (l - f) / f * 100 > 1 THEN 'uptrend'
+       WHEN (l - f) / f * 100 < -5 THEN 'strong_downtrend' WHEN (l - f) / f * 100 < -1 THEN 'downtrend'
+       ELSE 'sideways' END AS path_direction FROM g""", "bars", doubles=("path_change_pct",)))
 def q_path_direction(spark, sf_dir):
     """Direction of each drift path from first to last step."""
     return rounded(st.path_direction(fc.forecast_drift(fx.bars(spark, sf_dir), 30)))
@@ -270,10 +270,10 @@ b AS (SELECT a.*, LEAD(ps, 30) OVER w AS fps FROM a {W})
 SELECT symbol, ts,
   GREATEST(-500.0, LEAST(1000.0, 100.0 + ({_tiers('ABS(m30 - f30)', [(0.01, 500), (0.05, 200), (0.10, 50), (0.20, -100)], -300)})
     + CASE WHEN ABS(m30 - f30) < 0.05 AND f30 <> 0 THEN 200.0 ELSE 0.0 END)) AS reward_price,
-  {_tiers('ABS((CASE WHEN m30 > 0 THEN 1.0 ELSE 0.0 END) - (CASE WHEN f30 > 0 THEN 1.0 ELSE 0.0 END))', [(0.1, 400), (0.3, 200), (0.5, 50)], -200)} AS reward_trend,
-  {_tiers('ABS(v20 - fv20)', [(0.01, 300), (0.05, 150), (0.10, 50)], -150)} AS reward_risk,
-  {_tiers('ABS(ps - fps)', [(5, 200), (15, 100), (25, 25)], -100)} AS reward_sentiment,
-  {_tiers('ABS(m7 - f7)', [(0.02, 400), (0.05, 200), (0.10, 50)], -200)} AS reward_fundamental
+  100.0 + {_tiers('ABS((CASE WHEN m30 > 0 THEN 1.0 ELSE 0.0 END) - (CASE WHEN f30 > 0 THEN 1.0 ELSE 0.0 END))', [(0.1, 400), (0.3, 200), (0.5, 50)], -200)} AS reward_trend,
+  100.0 + {_tiers('ABS(v20 - fv20)', [(0.01, 300), (0.05, 150), (0.10, 50)], -150)} AS reward_risk,
+  100.0 + {_tiers('ABS(ps - fps)', [(5, 200), (15, 100), (25, 25)], -100)} AS reward_sentiment,
+  100.0 + {_tiers('ABS(m7 - f7)', [(0.02, 400), (0.05, 200), (0.10, 50)], -200)} AS reward_fundamental
 FROM b WHERE rn >= 30 AND rn < n - 30"""
 _RD = ("reward_price", "reward_trend", "reward_risk", "reward_sentiment", "reward_fundamental")
 

@@ -1,15 +1,12 @@
 """Helpers for the DuckDB oracle SQL (independent re-statements of each query).
 
 The oracle deliberately computes things the plain way: row numbers from
-``ROW_NUMBER()``, EWMs as truncated weighted sums over a self-join (the
-SURVEY 7.4 oracle: terms older than K rows weigh below 1e-17), exact
-percentiles with ``quantile_cont``.
+``ROW_NUMBER()``, EWMs row by row in a recursive CTE, exact percentiles with
+``quantile_cont``.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,11 +17,14 @@ DIGITS = 4
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every float column (adding 0.0 folds -0.0 into 0.0)."""
+    """Round every float column half up on its binary value, so that both
+    engines agree on ties (adding 0.0 folds -0.0 into 0.0)."""
+    scale = float(10 ** digits)
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name))
+            x = F.col(f.name).cast("double")
+            cols.append((F.when(F.abs(x) < 1e11, F.floor(x * scale + 0.5) / scale).otherwise(x) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -34,7 +34,10 @@ def R(sql: str, *double_cols: str, digits: int = DIGITS) -> str:
     """Wrap ``sql`` so the listed float columns are rounded like ``rounded``."""
     if not double_cols:
         return sql
-    rep = ", ".join(f"ROUND(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in double_cols)
+    scale = float(10 ** digits)
+    x = "CAST({c} AS DOUBLE)"
+    rep = ", ".join(f"CASE WHEN ABS({x}) < 1e11 THEN FLOOR({x} * {scale} + 0.5) / {scale} ELSE {x} END + 0.0 AS {{c}}".format(c=c)
+                    for c in double_cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _q"
 
 
@@ -48,26 +51,16 @@ def series_cte(name: str = "br", src: str = "bars", by: str = "symbol", order: s
             f"COUNT(*) OVER (PARTITION BY {by}) AS n FROM {src})")
 
 
-def ewm_horizon(alpha: float) -> int:
-    q = 1.0 - alpha
-    return int(math.ceil(39.0 / -math.log(q)))
-
-
 def ewm_cte(name: str, src: str, x: str, alpha: float, adjust: bool, *, start: int = 0,
             min_periods: int = 0, by: str = "symbol") -> str:
     """CTE ``name(by, rn, val)``: pandas ewm of column ``x`` of ``src(by, rn, x)``."""
     q = 1.0 - alpha
-    K = ewm_horizon(alpha)
-    w = f"POW({q!r}, a.rn - b.rn)"
-    if adjust:
-        val = f"SUM(b.{x} * {w}) / SUM({w})"
-    else:
-        val = f"SUM(b.{x} * {w} * (CASE WHEN b.rn = {start} THEN 1.0 ELSE {alpha!r} END))"
     mp = max(min_periods, 1) - 1
-    return (f"{name} AS (SELECT a.{by}, a.rn, CASE WHEN a.rn - {start} >= {mp} THEN {val} END AS val "
-            f"FROM {src} a JOIN {src} b ON a.{by} = b.{by} "
-            f"AND b.rn BETWEEN GREATEST(a.rn - {K}, {start}) AND a.rn "
-            f"WHERE a.rn >= {start} GROUP BY a.{by}, a.rn)")
+    step = f"r.num * {q!r} + s.x, r.den * {q!r} + 1.0" if adjust else f"r.num * {q!r} + s.x * {alpha!r}, 1.0"
+    return (f"{name} AS (WITH RECURSIVE s AS MATERIALIZED (SELECT {by}, rn, COALESCE(CAST({x} AS DOUBLE), 0.0) AS x FROM {src}), "
+            f"r({by}, rn, num, den) AS (SELECT {by}, rn, x, 1.0::DOUBLE FROM s WHERE rn = {start} "
+            f"UNION ALL SELECT s.{by}, s.rn, {step} FROM r JOIN s ON s.{by} = r.{by} AND s.rn = r.rn + 1) "
+            f"SELECT {by}, rn, CASE WHEN rn - {start} >= {mp} THEN num / den END AS val FROM r)")
 
 
 def full(agg: str, x: str, n: int, win: str) -> str:
