@@ -1,6 +1,6 @@
 """Registered queries: scans (S3-S5, S14), cleaning (P2-P6), ranking (T1,
 T3, T5), overviews (A23, A24), learners (M1, M4-M14, M18, G3) and streaming
-(ST1-ST4).  Learners and streams have no SQL oracle (rows-only checks)."""
+(ST1-ST4).  Learners have no SQL oracle (rows-only checks)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from tickframe.operators import scores as scr
 from tickframe.operators import stats as st
 from tickframe.plans import models as ml
 from tickframe.plans.catalog import query
-from tickframe.plans.sqlkit import Q, rounded
+from tickframe.plans.q_text import HEADLINE, NEG, POS, s_polarity
+from tickframe.plans.sqlkit import Q, R, rounded
 from tickframe.sources import fixtures as fx
 from tickframe.sources import scans
 from tickframe.streaming import jobs
@@ -212,29 +213,50 @@ def q_feature_importance(spark, sf_dir):
     return ml.feature_importance(m, ml.PRICE_FEATURES)
 
 
-@query("stream_bars")
+def _time(name: str):
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+
+
+_TICKS = "SELECT event_type AS symbol, ts, event_id, value AS price FROM events"
+
+
+@query("stream_bars", R(f"""SELECT symbol, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS ts,
+  arg_min(price, (ts, event_id)) AS open, MAX(price) AS high, MIN(price) AS low, arg_max(price, (ts, event_id)) AS close,
+  CAST(COUNT(*) AS DOUBLE) AS volume, COUNT(*) AS ticks FROM ({_TICKS}) GROUP BY symbol, date_trunc('hour', ts)""",
+  "open", "high", "low", "close"))
 def q_stream_bars(spark, sf_dir):
-    """ST1: hourly OHLCV bars from the tick stream (closed windows)."""
-    return jobs.run_to_table(jobs.stream_bars(jobs.tick_stream(spark, sf_dir)), "stream_bars")
+    """ST1: hourly OHLCV bars from the tick stream, equal to the batch bars."""
+    got = jobs.run_to_table(jobs.stream_bars(jobs.tick_stream(spark, sf_dir)), "stream_bars")
+    return rounded(jobs.latest(got, "symbol", "ts").withColumn("ts", _time("ts")))
 
 
-@query("stream_sliding_mean")
+@query("stream_sliding_mean", R(f"""SELECT symbol, strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(start + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, AVG(price) AS mean_price, CAST(COUNT(*) AS DOUBLE) AS volume
+FROM (SELECT symbol, price, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS start
+      FROM ({_TICKS}), (SELECT UNNEST([0, 1, 2, 3]) AS k)) GROUP BY symbol, start""", "mean_price"))
 def q_stream_sliding_mean(spark, sf_dir):
-    """ST2: 1-hour windows sliding by 15 minutes."""
-    return jobs.run_to_table(jobs.stream_sliding_mean(jobs.tick_stream(spark, sf_dir)), "stream_sliding")
+    """ST2: 1-hour windows sliding by 15 minutes, equal to the batch windows."""
+    got = jobs.run_to_table(jobs.stream_sliding_mean(jobs.tick_stream(spark, sf_dir)), "stream_sliding")
+    got = jobs.latest(got, "symbol", "window_start", "window_end")
+    return rounded(got.withColumn("window_start", _time("window_start")).withColumn("window_end", _time("window_end")))
 
 
-@query("stream_snapshot")
+@query("stream_snapshot", R(f"""SELECT symbol, strftime(MAX(ts) FILTER (r = 1), '%Y-%m-%d %H:%M:%S') AS last_ts,
+  MAX(price) FILTER (r = 1) AS price, MAX(price) FILTER (r = 2) AS previous_price,
+  (MAX(price) FILTER (r = 1) - MAX(price) FILTER (r = 2)) / NULLIF(MAX(price) FILTER (r = 2), 0) * 100 AS change_percent
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS r FROM ({_TICKS}))
+WHERE r <= 2 GROUP BY symbol""", "price", "previous_price", "change_percent"))
 def q_stream_snapshot(spark, sf_dir):
     """ST3: final per-symbol snapshot state (last price, % change)."""
-    out = jobs.run_to_table(jobs.stream_snapshot(jobs.tick_stream(spark, sf_dir)), "stream_snapshot", mode="update")
-    return out.groupBy("symbol").agg(F.max_by(F.struct("last_ts", "price", "previous_price", "change_percent"),
-                                              F.struct("_epoch", "last_ts")).alias("s")).select("symbol", "s.*")
+    return rounded(jobs.stream_snapshot(jobs.tick_stream(spark, sf_dir), "stream_snapshot").withColumn("last_ts", _time("last_ts")))
 
 
-@query("stream_news_sentiment")
+@query("stream_news_sentiment", Q(f"""SELECT symbol, strftime(time_bucket(INTERVAL 7 DAY, CAST(p_date AS TIMESTAMP), TIMESTAMP '1970-01-01'),
+  '%Y-%m-%d %H:%M:%S') AS window_start, AVG(score) AS score, COUNT(*) AS articles
+FROM (SELECT *, {s_polarity(HEADLINE)} AS score FROM news) GROUP BY symbol, window_start""", "news", doubles=("score",)))
 def q_stream_news_sentiment(spark, sf_dir):
     """ST4: de-duplicated, scored news averaged per symbol and week."""
-    from tickframe.plans.q_text import NEG, POS
-    return jobs.run_to_table(jobs.stream_news_sentiment(jobs.news_stream(spark, sf_dir), positive=POS, negative=NEG),
-                             "stream_news")
+    once = jobs.stream_deduplicated(jobs.news_stream(spark, sf_dir))
+    again = spark.readStream.schema(once.schema).parquet(jobs.drive(once, "stream_news", mode="append"))
+    got = jobs.run_to_table(jobs.stream_news_sentiment(again, positive=POS, negative=NEG), "stream_scores")
+    return rounded(jobs.latest(got, "symbol", "window_start").withColumn("window_start", _time("window_start")))

@@ -1,40 +1,50 @@
 """Structured Streaming jobs.
 
 Each ``stream_*`` function maps a streaming DataFrame to a streaming
-DataFrame; ``run_to_table`` drives one to completion with an availableNow
-trigger into Parquet under the cluster's checkpoint folder and returns the
-written table as a batch DataFrame (nothing is collected on the driver).
+DataFrame.  ``run_to_table`` drives one through all available input and
+returns the written table as a batch DataFrame (nothing is collected on the
+driver).  Windowed aggregates run in update mode: every micro-batch writes
+the windows that it changed under its own epoch folder (a repeated epoch
+overwrites itself), and ``latest`` keeps each window's last version, so
+windows that are still open at the end of the input are complete too.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
 
 from tickframe.functions import text as tx
+from tickframe.operators.ranking import top_n_per_key
 from tickframe.session import checkpoint_dir
 
+EPOCH = "epoch"
+
+
+def _file_or_folder(sf_dir: str, name: str) -> str:
+    """A table's path as a pattern: the stream source takes a single file only from a pattern."""
+    return f"{sf_dir}/{name}.parque[t]"
+
 
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events parquet as a tick stream (symbol, ts TIMESTAMP, price, volume, event_id)."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-         .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_file_or_folder(sf_dir, "events"))
     return s.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
                     F.col("value").alias("price"), F.lit(1.0).alias("volume"), "event_id")
 
 
 def stream_bars(ticks: DataFrame, *, interval: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """ST1: ticks -> OHLCV tumbling bars; ticks later than the watermark are
-    dropped; append mode emits each bar once its window has closed."""
+    dropped; equal times are ordered by event_id."""
     t = ticks.withWatermark("ts", delay)
+    at = F.struct("ts", "event_id")
     return (t.groupBy("symbol", F.window("ts", interval).alias("w"))
-            .agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-                 F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume"),
+            .agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+                 F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"),
                  F.count(F.lit(1)).alias("ticks"))
             .select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "ticks"))
 
@@ -49,65 +59,81 @@ def stream_sliding_mean(ticks: DataFrame, *, length: str = "1 hour", slide: str
                     "mean_price", "volume"))
 
 
-def _snapshot(key, batches, state):
-    """Per symbol keep (last ts, last price, previous price): two values of state."""
-    last_ts, last_p, prev_p = state.get if state.exists else (None, None, None)
-    for pdf in batches:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        for ts, p in zip(pdf["ts"], pdf["price"]):
-            if last_ts is None or ts >= last_ts:
-                prev_p, last_p, last_ts = last_p, p, ts
-    state.update((last_ts, last_p, prev_p))
-    change = None if prev_p in (None, 0) or last_p is None else (last_p - prev_p) / prev_p * 100.0
-    yield pd.DataFrame({"symbol": [key[0]], "last_ts": [last_ts], "price": [last_p], "previous_price": [prev_p],
-                        "change_percent": [change]})
+def stream_snapshot(ticks: DataFrame, name: str) -> DataFrame:
+    """ST3: last price and % change vs the previous tick per symbol.
 
+    The state is a table of the two latest ticks per symbol, ordered by
+    (ts, event_id) whatever order they arrive in: each micro-batch ranks its
+    ticks together with the table of the epoch before and writes the next one.
+    """
+    latest_two = [F.col("ts").desc(), F.col("event_id").desc()]
+    spark = ticks.sparkSession
+    base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
-def stream_snapshot(ticks: DataFrame) -> DataFrame:
-    """ST3: last price and % change vs the previous tick per symbol, kept in
-    a bounded per-symbol state (applyInPandasWithState, update mode)."""
-    return ticks.groupBy("symbol").applyInPandasWithState(
-        _snapshot,
-        outputStructType="symbol string, last_ts timestamp, price double, previous_price double, change_percent double",
-        stateStructType="last_ts timestamp, last_price double, prev_price double",
-        outputMode="update", timeoutConf=GroupStateTimeout.NoTimeout)
+    def advance(batch: DataFrame, epoch: int) -> None:
+        got = batch.select("symbol", "ts", "event_id", "price")
+        if epoch:
+            got = got.unionByName(batch.sparkSession.read.parquet(f"{base}/state/{EPOCH}={epoch - 1}"))
+        top_n_per_key(got, "symbol", latest_two, 2).write.mode("overwrite").parquet(f"{base}/state/{EPOCH}={epoch}")
+
+    q = (ticks.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+         .foreachBatch(advance).start())
+    q.awaitTermination()
+    state = spark.read.parquet(f"{base}/state")
+    state = state.join(state.agg(F.max(EPOCH).alias(EPOCH)), EPOCH)
+    last = F.max(F.struct("ts", "event_id", "price")).alias("last")
+    first = F.min(F.struct("ts", "event_id", "price")).alias("first")
+    two = state.groupBy("symbol").agg(last, first, F.count(F.lit(1)).alias("n"))
+    prev = F.when(F.col("n") > 1, F.col("first.price"))
+    return two.select("symbol", F.col("last.ts").alias("last_ts"), F.col("last.price").alias("price"),
+                      prev.alias("previous_price"),
+                      (F.try_divide(F.col("last.price") - prev, prev) * 100.0).alias("change_percent"))
 
 
 def news_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents parquet as a news stream with event time p_date."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    d = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    return d.select(F.col("doc_id").alias("guid"),
-                    (F.substring("source", 4, 1 << 20).cast("int") % 10).alias("symbol"),
+    d = spark.readStream.schema(schema).parquet(_file_or_folder(sf_dir, "documents"))
+    return d.select(F.col("doc_id").alias("guid"), F.expr("CAST(substr(source, 4) AS INT) % 10").alias("symbol"),
                     F.expr("substr(text, 1, 80)").alias("title"), F.expr("substr(text, 81)").alias("summary"),
                     F.expr("CAST(date_add(DATE'1995-01-02', CAST(doc_id % 2500 AS INT)) AS TIMESTAMP)").alias("p_date"))
 
 
+def stream_deduplicated(news: DataFrame, *, delay: str = "1 day") -> DataFrame:
+    """ST4, first job: each guid once within the watermark (append mode)."""
+    return news.withWatermark("p_date", delay).dropDuplicatesWithinWatermark(["guid"])
+
+
 def stream_news_sentiment(news: DataFrame, *, length: str = "7 days", delay: str = "1 day",
                           positive=tx.POSITIVE_WORDS, negative=tx.NEGATIVE_WORDS) -> DataFrame:
-    """ST4: articles de-duplicated by guid within the watermark, scored
-    (X2 on title + summary) and averaged per symbol and tumbling window."""
-    d = news.withWatermark("p_date", delay).dropDuplicatesWithinWatermark(["guid"])
-    d = d.withColumn("_h", tx.headline_text(F.col("title"), F.col("summary")))
+    """ST4, second job: articles scored (X2 on title + summary) and averaged
+    per symbol and tumbling window."""
+    d = news.withWatermark("p_date", delay).withColumn("_h", tx.headline_text(F.col("title"), F.col("summary")))
     d = tx.add_polarity(d, "_h", "score", positive, negative)
     return (d.groupBy("symbol", F.window("p_date", length).alias("w"))
             .agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("articles"))
             .select("symbol", F.col("w.start").alias("window_start"), "score", "articles"))
 
 
-def run_to_table(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
-    """Run ``stream`` until all available input is processed; write Parquet
-    (append) or, for update-mode operators, each micro-batch via foreachBatch
-    into Parquet; return the written table."""
+def drive(stream: DataFrame, name: str, *, mode: str) -> str:
+    """Run ``stream`` until all available input is processed; the folder of the written table."""
     spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    out, ck = f"{base}/data", f"{base}/checkpoint"
-    w = stream.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
+    out = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    w = stream.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
-        q = w.format("parquet").outputMode("append").option("path", out).start()
+        w.format("parquet").option("path", f"{out}/data").start().awaitTermination()
     else:
-        q = (w.outputMode(mode)
-             .foreachBatch(lambda df, epoch: df.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out))
-             .start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+        w.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/data/{EPOCH}={epoch}")).start().awaitTermination()
+    return f"{out}/data"
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """All versions of the rows of an update-mode ``stream``, with their ``epoch``."""
+    schema = T.StructType([*stream.schema.fields, T.StructField(EPOCH, T.LongType())])
+    return stream.sparkSession.read.schema(schema).parquet(drive(stream, name, mode="update"))
+
+
+def latest(versions: DataFrame, *keys: str) -> DataFrame:
+    """The last version of each row of an update-mode table."""
+    rest = [c for c in versions.columns if c not in (*keys, EPOCH)]
+    return versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), EPOCH).alias("_v")).select(*keys, "_v.*")
