@@ -232,10 +232,29 @@ def confidence(x, k: float, center: float = 0.0) -> Column:
 
 def insights(*conds_and_texts) -> Column:
     """Ordered list of the sentences whose condition holds, first 5."""
-    parts = [F.when(c, F.lit(t)) for c, t in conds_and_texts]
+    parts = [F.when(c, t if isinstance(t, Column) else F.lit(t)) for c, t in conds_and_texts]
     return F.slice(F.array_compact(F.array(*parts)), 1, 5)
 
 
+# The sentences of X16.
+INSIGHT_PRICE = {"bullish": "AI predicts bullish price movement for ", "bearish": "AI predicts bearish price movement for "}
+INSIGHT_TREND = {"uptrend": "Strong upward trend detected by AI models", "downtrend": "Downward trend detected by AI models"}
+INSIGHT_RISK = {"high": "High risk detected - consider position sizing",
+                "low": "Low risk profile - suitable for conservative investors"}
+INSIGHT_MOOD = {"positive": "Positive market sentiment detected", "negative": "Negative market sentiment detected"}
+INSIGHT_GENERAL = ["Analysis based on comprehensive AI models trained on market data",
+                   "Recommendations should be combined with your own research"]
+
+
+def key_insights(symbol, price, trend, risk, sentiment) -> Column:
+    """The sentences for a symbol's labels, then the general ones, first 5."""
+    said = [(_c(price) == k, F.concat(F.lit(t), _c(symbol).cast("string"))) for k, t in INSIGHT_PRICE.items()]
+    for label, prefixes, sentences in ((trend, ("", "strong_"), INSIGHT_TREND), (risk, ("", "very_"), INSIGHT_RISK),
+                                       (sentiment, ("", "very_"), INSIGHT_MOOD)):
+        said += [(_c(label).isin([p + k for p in prefixes]), F.lit(t)) for k, t in sentences.items()]
+    return insights(*said, *[(F.lit(True), F.lit(t)) for t in INSIGHT_GENERAL])
+
+
 def human_number(x) -> Column:
     """B / M / K formatting with one decimal from 1e9 / 1e6 / 1e3 on,
     two decimals below (so for every negative number)."""

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.operators.series import (BY, CORE, N, RN, ewm, full_rows, rows, running,
+from tickframe.operators.ranking import top_n_per_key
+from tickframe.operators.series import (BY, CORE, N, RN, TS, ewm, finish, full_rows, prepare, rows, running,
                                         series_op, win)
 
 
@@ -486,6 +487,20 @@ def monthly_targets(df: DataFrame, *, by: str = BY, warmup: int = 60, horizon: i
     return out.withColumn("_keep", (F.col(RN) >= warmup) & (F.col(RN) < F.col(N) - horizon))
 
 
+def key_levels(df: DataFrame, order: int = 5, last: int = 3, *, by: str = BY, ts=TS) -> DataFrame:
+    """W30 levels: the last ``last`` local maxima (resistance) and minima
+    (support) of each symbol in time order, and its last close."""
+    p = finish(local_extrema(prepare(df, by, ts), order, by=by), keep_index=True).select(by, RN, "close", "is_local_max", "is_local_min")
+    levels = p.filter("is_local_max OR is_local_min").withColumn("_kind", F.concat_ws("/", F.col(by).cast("string"), F.col("is_local_max").cast("string")))
+    kept = top_n_per_key(levels, "_kind", [F.col(RN).desc()], last)
+    listed = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct(RN, "close")))), lambda x: x["close"])
+    found = kept.groupBy(by).agg(listed(F.col("is_local_max")).alias("resistance_levels"), listed(F.col("is_local_min")).alias("support_levels"))
+    none = F.array().cast("array<double>")
+    return (p.groupBy(by).agg(F.max_by("close", RN).alias("current_price")).join(found, by, "left")
+            .select(by, F.coalesce("resistance_levels", none).alias("resistance_levels"),
+                    F.coalesce("support_levels", none).alias("support_levels"), "current_price"))
+
+
 # ------------------------------------------------------------------ per-symbol rows
 @series_op
 def latest_row(df: DataFrame, *, by: str = BY) -> DataFrame:

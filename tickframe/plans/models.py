@@ -10,8 +10,9 @@ so no symbol's rows are ever gathered into one task.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import sys
+
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
@@ -26,6 +27,8 @@ from tickframe.operators import indicators as ind
 from tickframe.operators import series
 from tickframe.operators.series import BY, N, RN
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
+
 PRICE_FEATURES = ["rsi_14", "macd", "macd_signal", "bb_position_20", "volume_ratio_prior_20",
                   "price_std_prior_20", "momentum_1", "momentum_5", "momentum_10",
                   "relative_volatility_prior_20", "price_sentiment", "trailing_pe", "profit_margin"]
@@ -215,51 +218,83 @@ def walk_forward_eval(samples: DataFrame, *, folds: int = 4, label: str = "fwd_r
     return spark.createDataFrame(rows, "fold int, cut_day int, mse double, mae double, r2 double")
 
 
-LINEAR_FEATURES = ["close_lag_1", "close_lag_2", "close_lag_3", "close_ma_5", "close_ma_10", "close_ma_20"]
-
-
-def _solve(batches):
-    k = len(LINEAR_FEATURES) + 1
-    for pdf in batches:
-        out = []
-        for _, r in pdf.iterrows():
-            xtx = np.array(r["xtx"], dtype=float).reshape(k, k)
-            xty = np.array(r["xty"], dtype=float)
-            coef = np.linalg.lstsq(xtx, xty, rcond=None)[0]
-            out.append((r[BY], float(coef[0]), [float(c) for c in coef[1:]]))
-        yield pd.DataFrame(out, columns=[BY, "intercept", "coef"])
+#: Fixed lists: features of the short form and of the all-feature form.
+LINEAR_FEATURES = ["sma_20", "sma_50", "rsi_wilder_14", "macd_rec_diff", "close_ma_5", "close_ma_10"]
+ALL_LINEAR_FEATURES = ["sma_20", "sma_50", "ema_rec_12", "ema_rec_26", "macd_rec_diff", "macd_rec_signal", "rsi_wilder_14",
+                       "bbp_upper_20", "bbp_lower_20", "bbp_mid_20", "close_lag_1", "close_lag_2", "close_lag_3", "close_lag_5",
+                       "close_lag_10", "volume_lag_1", "volume_lag_2", "volume_lag_3", "volume_lag_5", "volume_lag_10",
+                       "close_ma_5", "volume_ma_5", "close_std_5", "close_ma_10", "volume_ma_10", "close_std_10",
+                       "close_ma_20", "volume_ma_20", "close_std_20", "price_to_ma20", "volume_to_ma20"]
 
 
-def forecast_linear(bars: DataFrame, days: int = 30, *, decay: float = 0.99, by: str = BY) -> DataFrame:
-    """Per-symbol OLS of close on six lag/rolling features; path
-    y_k = b + decay^k * (w . x_last).  X'X and X'y are summed per symbol
-    (partial aggregation), each symbol's (k x k) system is solved with numpy
-    inside mapInPandas over one row per symbol."""
+def linear_features(bars: DataFrame, *, by: str = BY) -> DataFrame:
+    """The bars with every feature of M14, rows without a missing one."""
     p = series.prepare(bars, by, "ts")
-    p = ind.lag_features(p, (1, 2, 3), by=by)
+    for n in (20, 50):
+        p = ind.sma(p, n, by=by)
+    p = ind.ema_recursive(ind.ema_recursive(p, 12, by=by), 26, by=by)
+    p = ind.bollinger_pop(ind.rsi_wilder(ind.macd_recursive(p, by=by), 14, by=by), 20, by=by)
+    p = ind.lag_features(p, by=by)
     p = ind.rolling_features(p, (5, 10, 20), by=by)
-    rows = series.finish(p, keep_index=True)
-    xs = [F.lit(1.0)] + [F.col(c) for c in LINEAR_FEATURES]
-    complete = rows.na.drop(subset=LINEAR_FEATURES)
-    xtx = [F.sum(a * b) for a in xs for b in xs]
-    xty = [F.sum(a * F.col("close")) for a in xs]
-    g = complete.groupBy(by).agg(F.array(*xtx).alias("xtx"), F.array(*xty).alias("xty"),
-                                 F.max_by(F.array(*[F.col(c) for c in LINEAR_FEATURES]), RN).alias("x_last"))
-    fits = g.select(by, "xtx", "xty").mapInPandas(_solve, f"{by} {g.schema[by].dataType.simpleString()}, "
-                                                         "intercept double, coef array<double>")
-    j = fits.join(g.select(by, "x_last"), by)
+    return clean.drop_incomplete(series.finish(p, keep_index=True), columns=ALL_LINEAR_FEATURES)
+
+
+def _solver(names):
+    """Least squares of each symbol's centred normal equations, in unit scale."""
+    k = len(names)
+
+    def solve(batches):
+        import numpy
+        import pandas
+
+        for pdf in batches:
+            out = []
+            for _, r in pdf.iterrows():
+                n, m, my = r["n"], numpy.array(r["mean"], float), float(r["mean_y"])
+                xx = numpy.array(r["xtx"], float).reshape(k, k) / n
+                xy = numpy.array(r["xty"], float) / n
+                scale = numpy.sqrt(numpy.maximum(numpy.diag(xx), 1e-300))
+                w = numpy.linalg.lstsq(xx / numpy.outer(scale, scale), xy / scale, rcond=1e-12)[0] / scale
+                out.append((r["key"], float(my - w @ m), [float(c) for c in w]))
+            yield pandas.DataFrame(out, columns=["key", "intercept", "coef"])
+    return solve
+
+
+def forecast_linear(bars: DataFrame, days: int = 30, *, decay: float = 0.99, features=LINEAR_FEATURES, by: str = BY) -> DataFrame:
+    """Per-symbol OLS of close on ``features``; path
+    y_k = b + decay^(k-1) * (w . x_last).  The short form takes six features
+    and decay 0.99, the long form all features and 0.995.
+
+    Centred sums of products are aggregated per symbol (means first, so large
+    prices do not cancel); each symbol's small system is solved in an Arrow
+    batch over one row per symbol."""
+    rows = linear_features(bars, by=by)
+    xs = [F.col(c) for c in features]
+    means = rows.groupBy(by).agg(F.array(*[F.avg(x) for x in xs]).alias("mean"), F.avg("close").alias("mean_y"),
+                                 F.count(F.lit(1)).alias("n"), F.max_by(F.array(*xs), RN).alias("x_last"))
+    flat = rows.join(means, by).select(by, (F.col("close") - F.col("mean_y")).alias("y"),
+                                       *[(x - F.col("mean")[i]).alias(f"x{i}") for i, x in enumerate(xs)])
+    cs = [F.col(f"x{i}") for i in range(len(xs))]
+    sums = flat.groupBy(by).agg(F.array(*[F.sum(a * b) for a in cs for b in cs]).alias("xtx"),
+                                F.array(*[F.sum(a * F.col("y")) for a in cs]).alias("xty"))
+    g = sums.join(means, by)
+    kind = g.schema[by].dataType.simpleString()
+    fits = (g.select(F.col(by).alias("key"), "n", "mean", "mean_y", "xtx", "xty")
+            .mapInPandas(_solver(list(features)), f"key {kind}, intercept double, coef array<double>"))
+    j = fits.withColumnRenamed("key", by).join(means.select(by, "x_last"), by)
     dot = F.aggregate(F.zip_with("coef", "x_last", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     j = j.withColumn("_wx", dot)
     h = align.horizon_cross(j, n=days)
-    return h.select(by, "day", (F.col("intercept") + F.pow(F.lit(decay), F.col("day")) * F.col("_wx"))
+    return h.select(by, "day", (F.col("intercept") + F.pow(F.lit(decay), F.col("day") - 1) * F.col("_wx"))
                     .alias("predicted"))
 
 
-def forecast_ensemble(paths: dict, *, by: str = BY) -> DataFrame:
-    """0.4 / 0.3 / 0.3 blend of the linear, drift and third path (by
-    (symbol, day)); ``paths`` maps weight -> DataFrame(symbol, day, predicted)."""
+def forecast_ensemble(paths: list, *, by: str = BY) -> DataFrame:
+    """0.4 / 0.3 / 0.3 blend of the six-feature linear, drift and
+    all-feature linear path (by (symbol, day)); ``paths`` is a list of
+    (weight, DataFrame(symbol, day, predicted))."""
     out, expr = None, None
-    for i, (w, df) in enumerate(paths.items()):
+    for i, (w, df) in enumerate(paths):
         d = df.select(by, "day", F.col("predicted").alias(f"_p{i}"))
         out = d if out is None else out.join(d, [by, "day"])
         term = F.col(f"_p{i}") * w
@@ -275,10 +310,10 @@ def trend_probability(bars: DataFrame, *, seed: int = 42, by: str = BY) -> DataF
     for n in (5, 10, 20, 50):
         p = ind.ma_ratio(p, n, by=by)
     p = ind.forward_direction(p, by=by)
-    rows = series.finish(p, keep_index=True)
+    rows = series.finish(p, keep_index=True)  # warm-up rows drop out below, as in the reference
     feats = ["high_low_ratio", "close_open_ratio", "price_change", "volume_change", "ma_ratio_5", "ma_ratio_10",
              "ma_ratio_20", "ma_ratio_50"]
-    rows = clean.replace_inf(clean.fill_default(rows, {c: 0.0 for c in feats}), columns=feats)
+    rows = clean.replace_inf(clean.drop_incomplete(rows, columns=feats), columns=feats)
     train = rows.filter(F.col(RN) < F.col(N) - 1).withColumn("label", F.col("fwd_direction").cast("double"))
     m = _pipe(feats, RandomForestRegressor(labelCol="label", predictionCol="probability_up", numTrees=100,
                                            seed=seed)).fit(train)
@@ -301,3 +336,72 @@ def multi_period_training(samples: DataFrame, periods, *, label: str = "fwd_retu
         r = regression_metrics(m.transform(part), label=label)
         rows.append((name, start, end, part.count(), r["mse"], r["r2"]))
     return spark.createDataFrame(rows, "period string, start string, end string, samples long, mse double, r2 double")
+
+
+def monthly_rewards(bars: DataFrame, news: DataFrame, *, by: str = BY, trees: int = 100, depth: int = 10,
+                    rounds: int = 100, seed: int = 42) -> DataFrame:
+    """M9: price and risk forests, trend boosting, sentiment OLS and
+    fundamental ridge on the monthly samples (W41 + W42 + J5), applied to the
+    samples themselves and scored by R1-R5.
+
+    The reference refits per symbol; here one model per target is fitted on
+    the samples of all symbols.  The sample table is stored once."""
+    from tickframe.functions import rewards as rw
+    from tickframe.operators import monthly
+
+    p = ind.monthly_targets(series.prepare(bars, by, "ts"), by=by)
+    p = monthly.monthly_features(p, by=by)
+    rows = align.attach_sentiment(series.finish(p.filter("_sample AND _keep")), news, on=by)
+    feats = monthly.MONTHLY_FEATURES
+    rows = rows.withColumn("news_count", F.col("news_count").cast("double"))
+    targets = ["target_return", "target_volatility", "target_trend"]
+    rows = clean.fill_default(rows.withColumn("target_trend", F.col("target_trend").cast("double")), {c: 0.0 for c in [*feats, *targets]})
+    rows = clean.replace_inf(rows, columns=[*feats, *targets]).select(by, "ts", *feats, *targets).persist()
+    n = max(rows.count(), 1)
+    sd = rows.agg(F.stddev_pop("target_return")).first()[0] or 1.0
+    forest = lambda y, c: RandomForestRegressor(labelCol=y, predictionCol=c, numTrees=trees, maxDepth=depth, seed=seed)
+    learners = [
+        ("standard", forest("target_return", "pred_price")),
+        ("minmax", GBTRegressor(labelCol="target_trend", predictionCol="pred_trend", maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed)),
+        ("standard", forest("target_volatility", "pred_risk")),
+        ("minmax", LinearRegression(labelCol="sentiment_score", predictionCol="pred_sentiment", solver="normal")),
+        ("standard", LinearRegression(labelCol="target_return", predictionCol="pred_fundamental", elasticNetParam=0.0,
+                                      standardization=False, regParam=sd / n, solver="normal")),
+    ]
+    out = rows
+    for scaler, learner in learners:
+        out = _pipe(feats, learner, scaler=scaler).fit(rows).transform(out).drop("_raw", "features")
+    err = lambda a, b: F.abs(F.col(a) - F.col(b))
+    return out.select(by, "ts", rw.reward_price(err("pred_price", "target_return"), "target_return").alias("reward_price"),
+                      rw.reward_trend(err("pred_trend", "target_trend")).alias("reward_trend"),
+                      rw.reward_risk(err("pred_risk", "target_volatility")).alias("reward_risk"),
+                      rw.reward_sentiment(err("pred_sentiment", "sentiment_score")).alias("reward_sentiment"),
+                      rw.reward_fundamental(err("pred_fundamental", "target_return")).alias("reward_fundamental"))
+
+
+def wide_feature_table(bars: DataFrame, fundamentals: DataFrame, news: DataFrame, macro: DataFrame, *, by: str = BY) -> DataFrame:
+    """M2: every indicator of the library per bar, with fundamentals (J4), news
+    sentiment (J5) and the slow macro value at the bar's date (J3); targets
+    next return, next direction and next 5-row volatility.  Missing and
+    non-finite features are 0 (P5, P6)."""
+    with_macro = align.asof_ffill(bars, macro, value="cpi", by=by)
+    p = series.prepare(with_macro, by, "ts")
+    for n in (5, 10, 20, 50, 100, 200):
+        p = ind.sma(p, n, by=by)
+    for n in (5, 10, 12, 20, 26, 50):
+        p = ind.ema_adjusted(p, n, by=by)
+    p = ind.macd(p, by=by)
+    for n in (7, 14, 21):
+        p = ind.rsi_sma(p, n, by=by)
+    p = ind.bb_width(ind.bb_position(ind.bollinger(p, 20, by=by)))
+    p = ind.williams_r(ind.stochastic(p, by=by), by=by)
+    p = ind.obv(ind.atr(p, by=by), by=by)
+    for k in (1, 5, 10, 20):
+        p = ind.momentum(p, k, by=by)
+    for n in (5, 10, 20):
+        p = ind.rolling_volatility(p, n, by=by)
+    p = ind.volume_sma(ind.bar_shape(p, by=by), by=by)
+    p = ind.forward_direction(ind.forward_return(p, 1, by=by), by=by)
+    rows = align.attach_sentiment(align.attach_fundamentals(series.finish(p), fundamentals, on=by), news, on=by)
+    numeric = [f.name for f in rows.schema if f.dataType.typeName() == "double"]
+    return clean.replace_inf(clean.fill_default(rows, {c: 0.0 for c in numeric}), columns=numeric)

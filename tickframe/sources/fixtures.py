@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickframe.functions.fundamentals import INFO_FIELDS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -266,3 +268,39 @@ FROM bars JOIN supplier ON s_suppkey = symbol JOIN nation ON s_nationkey = n_nat
      JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, ts"""
 _ORDER.insert(_ORDER.index("sector_members"), "index_series")
 _DEPS["index_series"] = ["market_index"]
+
+
+# ---------------------------------------------------------------- company fields
+def _info_rule(i: int) -> tuple[int, int, int]:
+    """Multiplier, modulus and gap of the i-th company field."""
+    return 2 * i + 3, 89 + i, 5 + i % 7
+
+
+def company_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """company_info(symbol, one column per source field), every field null for some symbols."""
+    k = F.col("s_suppkey")
+    cols = []
+    for i, name in enumerate(INFO_FIELDS):
+        m, n, gap = _info_rule(i)
+        cols.append(F.when(k % gap != 0, ((k * m) % n).cast("double") / _d(8)).alias(name))
+    return table(spark, sf_dir, "supplier").select(k.alias("symbol"), *cols)
+
+
+FIXTURE_SQL["company_info"] = "SELECT s_suppkey AS symbol, " + ", ".join(
+    'CASE WHEN s_suppkey % {2} <> 0 THEN CAST((s_suppkey * {0}) % {1} AS DOUBLE) / 8 END AS "{3}"'.format(*_info_rule(i), name)
+    for i, name in enumerate(INFO_FIELDS)) + " FROM supplier"
+_ORDER.append("company_info")
+
+
+def market_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """market_months(month, vix, interest_rate, dollar_strength, momentum_20): one
+    row per month of the slow series, joined to the index's last bar of the month."""
+    from tickframe.operators import indicators, series
+
+    p = indicators.momentum(series.prepare(index_bars(spark, sf_dir)), 20)
+    p = indicators.rolling_volatility(p, 20)
+    last = (series.finish(p).groupBy(F.to_date(F.date_trunc("month", "ts")).alias("ts"))
+            .agg(F.max_by("momentum_20", "ts").alias("momentum_20"), F.max_by("volatility_20", "ts").alias("v")))
+    return (macro(spark, sf_dir).join(last, "ts", "left")
+            .select(F.col("ts").alias("month"), (F.col("v") * 100).alias("vix"), (F.col("cpi") / 40000).alias("interest_rate"),
+                    (F.col("cpi") / 1430).alias("dollar_strength"), "momentum_20"))
