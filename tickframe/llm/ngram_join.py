@@ -13,8 +13,8 @@ Which documents share enough 5-word shingles, exactly: two documents link when
    first ``n - ceil(NUM/DEN * n) + 1`` shingles.  Shingles of one node alone
    use up places without a posting, so only nodes with a possible partner
    go on.
-4. Nodes with a posting in common are candidates.  First each node is held
-   against one pivot, and linked nodes are joined to components.  Then, per
+4. Nodes with a posting in common are candidates.  First nodes are held
+   against pivots, and linked nodes are joined to components.  Then, per
    posting, nodes of different components go into an R-tree: shingles are
    hashed into ``GROUPS`` groups, the counts per group are a node's point, an
    entry's bound is the sum of coordinate minima with the box's upper corner.
@@ -45,13 +45,15 @@ NUM, DEN = 75, 100
 #: Coordinates of a node's point.
 GROUPS = 64
 #: Shingles gathered by a task before it sends them; shingles per part.
-FLUSH = 1_500_000
-PART = 1_000_000
+FLUSH = 1_000_000
+PART = 1_500_000
 #: A shingle in this share of all nodes is common.
 COMMON = 64
 #: Members of one posting that are compared in one task.
 BLOCK = 4096
 LEAF = 16
+#: Rounds in which components are joined over pivots before the trees.
+STAR_ROUNDS = 5
 _U = np.uint64
 
 
@@ -186,50 +188,72 @@ def _shared(common_df, n_parts):
             wide = np.zeros((len(raw[3]) // 5, 8), np.uint8)
             wide[:, :5] = np.frombuffer(raw[3], np.uint8).reshape(-1, 5)
             tok = wide.view(np.int64).ravel()
-            node = np.repeat(at, count)
-            order = np.lexsort((node, tok))
-            tok, node = tok[order], node[order]
-            new = np.ones(len(tok), bool)
-            new[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
-            tok, node = tok[new], node[new]
+            # one sorted key per (shingle, node): 40 bits and, as a part holds few nodes, 24 bits
+            pair = (tok.view(np.uint64) << _U(24)) | np.repeat(at, count).astype(np.uint64)
+            pair.sort()
+            pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
+            tok, node = (pair >> _U(24)).astype(np.int64), (pair & _U((1 << 24) - 1)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
             df = np.diff(np.concatenate([first, [len(tok)]]))
             df = np.repeat(df, df)
             keep = df > 1
             order = np.argsort(node[keep], kind="stable")
             tok, node, df = tok[keep][order] + (np.int64(part) << 40), node[keep][order], df[keep][order]
-        cut = np.searchsorted(node, np.arange(len(keys) + 1))
+        home = keys % n_parts
+        order = np.lexsort((node, home[node]))
+        tok, node, df = tok[order], node[order], df[order]
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, int)
+        who, many = node[first], np.diff(np.append(first, len(node)))
+        cut = np.searchsorted(home[who], np.arange(n_parts + 1))
         some = np.flatnonzero(np.diff(cut))
-        df = df.astype(np.int64)
-        return pa.table({"key": pa.array(keys[some]), "n": pa.array(size[some].astype(np.int64)),
-                         "tokens": pa.array([tok[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()),
-                         "dfs": pa.array([df[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary())})
+        edge = np.append(first, len(node))
+        piece = lambda x, kind: pa.array([np.ascontiguousarray(x[i:j]).astype(kind).tobytes() for i, j in zip(cut[some], cut[some + 1])], pa.binary())
+        inner = lambda x, kind: pa.array([x[edge[i]:edge[j]].astype(kind).tobytes() for i, j in zip(cut[some], cut[some + 1])], pa.binary())
+        return pa.table({"home": pa.array(some, pa.int64()), "keys": piece(keys[who], np.int64), "sizes": piece(size[who], np.uint32),
+                         "counts": piece(many, np.uint32), "tokens": inner(tok, np.int64), "dfs": inner(df, np.uint32)})
     return run
 
 
 def _postings(n_parts):
     """Nodes with a possible partner: their shared shingles, and those of the prefix."""
-    def run(batches):
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for key, n, got in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "got"))):
-                tok = np.frombuffer(b"".join(g["tokens"] for g in got), np.int64)
-                df = np.frombuffer(b"".join(g["dfs"] for g in got), np.int64)
-                take = prefix_length(n) - (n - len(tok))
-                if take <= 0:
-                    continue
-                hot = tok >= np.int64(n_parts) << 40
-                order = np.lexsort((tok, df, hot))[:take]
-                point = np.bincount((words.mix(tok.view(np.uint64)) % _U(GROUPS)).astype(np.int64), minlength=GROUPS)
-                for col, v in zip(out, (key, n, np.sort(tok).tobytes(), tok[order], point.astype(np.uint32).tobytes())):
+    def run(table: pa.Table) -> pa.Table:
+        raw = {c: b"".join(table.column(c).to_pylist()) for c in ("keys", "sizes", "counts", "tokens", "dfs")}
+        keys, tok = np.frombuffer(raw["keys"], np.int64), np.frombuffer(raw["tokens"], np.int64)
+        sizes, counts, df = (np.frombuffer(raw[c], np.uint32).astype(np.int64) for c in ("sizes", "counts", "dfs"))
+        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        node = np.repeat(at, counts)
+        order = np.lexsort((tok, df, tok >= np.int64(n_parts) << 40, node))
+        tok, node = tok[order], node[order]
+        cut = np.searchsorted(node, np.arange(len(keys) + 1))
+        out = [[], [], [], [], []]
+        for i, (key, n) in enumerate(zip(keys.tolist(), sizes[first].tolist())):
+            mine = tok[cut[i]:cut[i + 1]]
+            take = prefix_length(n) - (n - len(mine))
+            if take > 0:
+                point = np.bincount((words.mix(mine.view(np.uint64)) % _U(GROUPS)).astype(np.int64), minlength=GROUPS)
+                for col, v in zip(out, (key, n, np.sort(mine).tobytes(), mine[:take], point.astype(np.uint32).tobytes())):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()),
-                 pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
-                ["key", "n", "tokens", "prefix", "point"])
+        return pa.table({"key": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "tokens": pa.array(out[2], pa.binary()),
+                         "prefix": pa.array(out[3], pa.list_(pa.int64())), "point": pa.array(out[4], pa.binary())})
     return run
 
 
+def _bounded(batches):
+    """Pairs whose summed coordinate minima reach the needed intersection."""
+    for batch in batches:
+        pa_, pb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS) for c in ("pa", "pb"))
+        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+        ok = pa.array(np.minimum(pa_, pb).sum(1) >= needed(na, nb), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b", "ra", "rb")], ["a", "b", "ra", "rb"])
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b, ra, rb) whose points do not rule a link out."""
+    side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb", "pa", "pb")
+            .mapInArrow(_bounded, "a long, b long, ra long, rb long"))
+
+
 def _verify(batches):
     """Pairs whose sets reach the needed intersection."""
     for batch in batches:
@@ -238,14 +262,14 @@ def _verify(batches):
         both = np.array([len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), True))
                          for x, y in zip(ta, tb)], np.int64)
         ok = pa.array((DEN + NUM) * both >= NUM * (na + nb), pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column("ra").filter(ok), batch.column("rb").filter(ok)], ["ra", "rb"])
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of node keys that link."""
-    side = lambda x, y: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    return (pairs.join(side("a", "b"), "a").join(side("b", "a"), "b")
-            .select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_verify, "a long, b long"))
+    """The components (ra, rb) of the pairs of node keys (a, b) that link."""
+    side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .select("ra", "rb", "na", "nb", "ta", "tb").mapInArrow(_verify, "ra long, rb long"))
 
 
 class CountTree:
@@ -304,9 +328,11 @@ def _tree_pairs(table: pa.Table) -> pa.Table:
         for q, e in tree.search(point[left], size[left]):
             x, y = left[q], right[e]
             keep = comp[x] != comp[y]
-            seen.update(zip(np.minimum(key[x], key[y])[keep].tolist(), np.maximum(key[x], key[y])[keep].tolist()))
-    a, b = zip(*seen) if seen else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            x, y = x[keep], y[keep]
+            x, y = np.where(key[x] < key[y], x, y), np.where(key[x] < key[y], y, x)
+            seen.update(zip(key[x].tolist(), key[y].tolist(), comp[x].tolist(), comp[y].tolist()))
+    cols = zip(*seen) if seen else [()] * 4
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "ra", "rb"), cols)})
 
 
 def _blocked(postings: DataFrame) -> DataFrame:
@@ -340,30 +366,62 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     common = spark.sparkContext.broadcast(token[order])
     common_df = spark.sparkContext.broadcast(hot.df.to_numpy(np.int64)[order])
     dealt = rows.mapInArrow(_dealt(common, n_parts), "part long, keys binary, sizes binary, counts binary, tokens binary")
-    answers = dealt.groupBy("part").applyInArrow(_shared(common_df, n_parts), "key long, n long, tokens binary, dfs binary")
-    nodes = staged(answers.groupBy("key").agg(F.max("n").alias("n"), F.collect_list(F.struct("tokens", "dfs")).alias("got"))
-                   .mapInArrow(_postings(n_parts), "key long, n long, tokens binary, prefix array<long>, point binary"), "nodes")
+    answers = dealt.groupBy("part").applyInArrow(
+        _shared(common_df, n_parts), "home long, keys binary, sizes binary, counts binary, tokens binary, dfs binary")
+    nodes = staged(answers.groupBy("home").applyInArrow(
+        _postings(n_parts), "key long, n long, tokens binary, prefix array<long>, point binary"), "nodes")
     links = node_links(nodes)
     return _labelled(members, links)
 
 
 def node_links(nodes: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that link with another."""
-    posted = nodes.select("key", "n", F.explode("prefix").alias("token"))
-    pivot = (posted.groupBy("token").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("f"))
-             .filter("f > 1").drop("f"))
-    votes = (posted.join(pivot, "token").filter("key <> pivot").groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("votes")))
-    star = votes.groupBy("key").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("b")).select(F.col("key").alias("a"), "b")
-    first = staged(verified(star, nodes), "links")
-    roots = components(first)
-    labelled = (nodes.select("key", "n", "point", "prefix").join(roots, F.col("key") == F.col("node"), "left")
-                .select("key", "n", "point", F.coalesce("root", "key").alias("root"), F.explode("prefix").alias("token")))
-    spark = nodes.sparkSession
-    bucket = F.pmod(F.xxhash64("token", "cell"), F.lit(4 * parts(spark)))
-    pairs = (_blocked(labelled).withColumn("bucket", bucket).groupBy("bucket")
-             .applyInArrow(_tree_pairs, "a long, b long").distinct())
-    second = staged(verified(pairs, nodes), "links")
-    return components(first.union(second))
+    """(node, root) of all nodes that link with another.
+
+    Star rounds: under each posting with members of several components, the
+    others are held against one pivot (first the member that shares the
+    largest part of its set, later one chosen by hash), each node against the
+    pivot that it meets most often.  When a round joins nothing more, the
+    trees look for what is left between components.
+    """
+    few = max(1, parts(nodes.sparkSession) // 8)
+    roots = nodes.select("key", F.col("key").alias("root"))
+    for turn in range(STAR_ROUNDS):
+        posted = _posted(nodes, roots)
+        first = F.struct("share", "key") if turn == 0 else F.struct(F.xxhash64("key", F.lit(turn)), "key")
+        pivot = (posted.groupBy("token").agg(F.max_by(F.struct("key", "root"), first).alias("p"), F.min("root").alias("r0"),
+                                             F.max("root").alias("r1")).filter("r0 <> r1").select("token", "p"))
+        votes = (posted.join(pivot, "token").filter("root <> p.root")
+                 .groupBy("key", "root", "p").agg(F.count(F.lit(1)).alias("votes")))
+        star = (votes.groupBy("key", "root").agg(F.max_by("p", F.struct("votes", "p")).alias("p"))
+                .select(F.col("key").alias("a"), F.col("p.key").alias("b"), F.col("root").alias("ra"), F.col("p.root").alias("rb")))
+        star = staged(bounded(star, nodes).coalesce(few), "pairs")
+        links = staged(verified(star, nodes).coalesce(few), "links")
+        if links.isEmpty():
+            break
+        roots = _merged(roots, links)
+    bucket = F.pmod(F.xxhash64("token", "cell"), F.lit(4 * parts(nodes.sparkSession)))
+    posted = _posted(nodes, roots, "n", "point")
+    pairs = (_blocked(posted).withColumn("bucket", bucket).groupBy("bucket")
+             .applyInArrow(_tree_pairs, "a long, b long, ra long, rb long").distinct())
+    pairs = staged(pairs.coalesce(few), "pairs")
+    links = staged(verified(pairs, nodes).coalesce(few), "links")
+    roots = roots if links.isEmpty() else _merged(roots, links)
+    return roots.select(F.col("key").alias("node"), "root")
+
+
+def _posted(nodes: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
+    """A row per node and prefix shingle, with the node's component."""
+    share = F.length("tokens") / (8 * F.col("n"))
+    return (nodes.select("key", share.alias("share"), "prefix", *more).join(roots, "key")
+            .select("key", "root", "share", *more, F.explode("prefix").alias("token")))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after the links (ra, rb) between components."""
+    few = max(1, parts(roots.sparkSession) // 8)
+    up = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    return staged(roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+                  .select("key", F.coalesce("top", "root").alias("root")).coalesce(few), "roots")
 
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:

@@ -35,8 +35,8 @@ from tickframe.llm.common import parts, slices, small_batches, text_rows
 
 MIN_WORDS, GRAM = 50, 26
 #: Words gathered by a task before it compares and sends them; words per part.
-FLUSH = 1_500_000
-PART = 1_000_000
+FLUSH = 500_000
+PART = 500_000
 _U = np.uint64
 
 

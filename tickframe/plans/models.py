@@ -29,11 +29,19 @@ from tickframe.operators.series import BY, N, RN
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
 
-PRICE_FEATURES = ["rsi_14", "macd", "macd_signal", "bb_position_20", "volume_ratio_prior_20",
-                  "price_std_prior_20", "momentum_1", "momentum_5", "momentum_10",
-                  "relative_volatility_prior_20", "price_sentiment", "trailing_pe", "profit_margin"]
-FUND_FEATURES = ["trailing_pe", "profit_margin", "revenue_growth", "debt_to_equity", "current_ratio", "beta",
-                 "market_cap_bn"]
+# Fixed lists: the features of the five learners.
+PRICE_FEATURES = ["sma_20", "sma_50", "rsi", "macd", "volatility", "price_change_1d", "price_change_7d", "price_change_30d",
+                  "volume_ratio", "market_cap", "pe_ratio", "beta", "sentiment_score"]
+TREND_FEATURES = ["sma_20", "sma_50", "rsi", "macd", "volatility", "price_change_1d", "price_change_7d", "volume_ratio",
+                  "sentiment_score", "trend_strength"]
+RISK_FEATURES = ["volatility", "beta", "debt_to_equity", "current_ratio", "price_change_30d", "volume_ratio", "market_cap",
+                 "pe_ratio", "sentiment_score"]
+SENTIMENT_FEATURES = ["price_momentum_1d", "price_momentum_7d", "price_momentum_30d", "volume_surge", "volatility_level",
+                      "trend_strength"]
+FUND_FEATURES = ["pe_ratio", "forward_pe", "peg_ratio", "price_to_book", "price_to_sales", "debt_to_equity", "current_ratio",
+                 "gross_margin", "operating_margin", "profit_margin", "return_on_equity", "return_on_assets", "revenue_growth",
+                 "earnings_growth", "dividend_yield", "beta", "free_cashflow", "total_cash", "total_debt", "book_value"]
+BILLIONS = ["market_cap", "free_cashflow", "total_cash", "total_debt"]
 
 
 def feature_table(bars: DataFrame, fundamentals: DataFrame, *, by: str = BY, start: int = 50,
@@ -41,29 +49,38 @@ def feature_table(bars: DataFrame, fundamentals: DataFrame, *, by: str = BY, sta
     """M1: pooled samples over all symbols: indicators + fundamentals (J4) +
     per-row price sentiment (W29) + targets (forward 30-row return, 7-row
     direction, forward 30-row price std); rows with index in [start, n-tail)
-    (W43), or also each symbol's latest row when ``keep_latest``."""
+    (W43), or also each symbol's latest row when ``keep_latest``.  Money
+    columns of ``fundamentals`` are scaled to billions (P8); missing features
+    are 0 (a missing volume ratio 1)."""
     p = series.prepare(bars, by, "ts")
-    p = ind.rsi_sma(p, 14, by=by)
-    p = ind.macd(p, by=by)
-    p = ind.bb_position(ind.bollinger(p, 20, by=by))
-    p = ind.volume_ratio_prior(p, 20, by=by)
-    p = ind.price_std_prior(p, 20, by=by)
-    for k in (1, 5, 10):
+    for n in (20, 50):
+        p = ind.sma(p, n, by=by)
+    p = ind.macd(ind.rsi_sma(p, 14, by=by), by=by)
+    p = ind.price_std_prior(ind.volume_ratio_prior(p, 20, by=by), 20, by=by)
+    for k in (1, 7, 30):
         p = ind.momentum(p, k, by=by)
-    p = ind.relative_volatility(p, 20, by=by, prior=True)
-    p = ind.sentiment_from_price(p, by=by)
-    p = ind.forward_return(p, 30, by=by)
-    p = ind.forward_return(p, 7, by=by)
+    p = ind.volume_sma(ind.relative_volatility(p, 20, by=by), 20, by=by)
+    p = ind.trend_zscore(ind.sentiment_from_price(p, by=by), 50, by=by)
+    p = ind.forward_return(ind.forward_return(p, 30, by=by), 7, by=by)
     p = ind.forward_price_std(p, 30, by=by)
     keep = (F.col(RN) >= start) & (F.col(RN) < F.col(N) - tail)
     if keep_latest:
         keep = keep | (F.col(RN) == F.col(N) - 1)
     rows = series.finish(p.filter(keep), keep_index=True)
-    rows = rows.withColumn("is_latest", F.col(RN) == F.col(N) - 1)
-    f = clean.scale_units(fundamentals, ["market_cap"])
-    rows = align.attach_fundamentals(rows, f.drop("market_cap"), on=by)
-    rows = rows.withColumn("target_trend", F.when(F.col("fwd_return_7") > 0, 1.0).otherwise(0.0))
-    return clean.replace_inf(clean.fill_default(rows, {c: 0.0 for c in PRICE_FEATURES}), columns=PRICE_FEATURES)
+    named = {"rsi": "rsi_14", "volatility": "price_std_prior_20", "price_change_1d": "momentum_1", "price_change_7d": "momentum_7",
+             "price_change_30d": "momentum_30", "price_momentum_1d": "momentum_1", "price_momentum_7d": "momentum_7",
+             "price_momentum_30d": "momentum_30", "volume_surge": "volume_ratio_20", "volatility_level": "relative_volatility_20",
+             "trend_strength": "trend_zscore_50", "sentiment_score": "price_sentiment"}
+    rows = rows.withColumns({k: F.col(c) for k, c in named.items()} | {
+        "volume_ratio": F.coalesce("volume_ratio_prior_20", F.lit(1.0)), "is_latest": F.col(RN) == F.col(N) - 1,
+        "target_trend": F.when(F.col("fwd_return_7") > 0, 1.0).otherwise(0.0)})
+    money = [c for c in BILLIONS if c in fundamentals.columns]
+    dim = fundamentals.select(by, *[(F.col(c) / 1e9 if c in money else F.col(c)).alias(c) for c in fundamentals.columns if c != by])
+    rows = align.attach_fundamentals(rows, dim, on=by)
+    feats = [c for c in dict.fromkeys([*PRICE_FEATURES, *TREND_FEATURES, *RISK_FEATURES, *SENTIMENT_FEATURES, *FUND_FEATURES])
+             if c in rows.columns]
+    rows = clean.replace_inf(clean.fill_default(rows, {c: 0.0 for c in feats}), columns=feats)
+    return rows.select(by, "ts", "close", "is_latest", *feats, "fwd_return_30", "fwd_return_7", "fwd_price_std_30", "target_trend")
 
 
 def _pipe(features, learner, *, scaler: str | None = "standard"):
@@ -78,31 +95,30 @@ def _pipe(features, learner, *, scaler: str | None = "standard"):
     return Pipeline(stages=stages)
 
 
-def fit_models(train: DataFrame, *, seed: int = 42, trees: int = 100, depth: int = 10) -> dict:
+def fit_models(train: DataFrame, *, seed: int = 42, trees: int = 100, risk_trees: int = 50, depth: int = 10,
+               rounds: int = 100) -> dict:
     """M4-M8: price (forest on the 30-row forward return), trend (boosting on
     the 7-row direction), risk (forest on the forward price std), sentiment
     (OLS on the price sentiment), fundamental (ridge alpha=1 on the forward
-    return; Spark's penalty is scaled as SURVEY Q26)."""
-    t = train.filter(F.col("fwd_return_30").isNotNull() & F.col("fwd_price_std_30").isNotNull())
+    return; Spark's penalty is scaled as SURVEY Q26), each on min-max scaled
+    features.  Missing targets are 0.  The samples are kept while fitting."""
+    have = lambda names: [c for c in names if c in train.columns]
+    t = train.fillna(0.0, ["fwd_return_30", "fwd_return_7", "fwd_price_std_30"]).persist()
     n = t.count()
     sd = t.agg(F.stddev_pop("fwd_return_30")).first()[0] or 1.0
-    models = {
-        "price": _pipe(PRICE_FEATURES, RandomForestRegressor(labelCol="fwd_return_30", predictionCol="pred_price",
-                                                             numTrees=trees, maxDepth=depth, seed=seed)),
-        "trend": _pipe(PRICE_FEATURES[:10], GBTRegressor(labelCol="target_trend", predictionCol="pred_trend",
-                                                         maxIter=50, maxDepth=5, stepSize=0.1, seed=seed)),
-        "risk": _pipe(PRICE_FEATURES[:9], RandomForestRegressor(labelCol="fwd_price_std_30", predictionCol="pred_risk",
-                                                                numTrees=trees, maxDepth=depth, seed=seed)),
-        "sentiment": _pipe(["rsi_14", "momentum_5", "momentum_10", "volume_ratio_prior_20",
-                            "relative_volatility_prior_20", "bb_position_20"],
-                           LinearRegression(labelCol="price_sentiment", predictionCol="pred_sentiment",
-                                            solver="normal")),
-        "fundamental": _pipe(FUND_FEATURES + ["momentum_10"],
-                             LinearRegression(labelCol="fwd_return_30", predictionCol="pred_fundamental",
-                                              elasticNetParam=0.0, standardization=False,
-                                              regParam=1.0 * sd / max(n, 1), solver="normal")),
+    forest = lambda y, c, k: RandomForestRegressor(labelCol=y, predictionCol=c, numTrees=k, maxDepth=depth, seed=seed)
+    learners = {
+        "price": (PRICE_FEATURES, forest("fwd_return_30", "pred_price", trees)),
+        "trend": (TREND_FEATURES, GBTRegressor(labelCol="target_trend", predictionCol="pred_trend", maxIter=rounds, maxDepth=3,
+                                               stepSize=0.1, seed=seed)),
+        "risk": (RISK_FEATURES, forest("fwd_price_std_30", "pred_risk", risk_trees)),
+        "sentiment": (SENTIMENT_FEATURES, LinearRegression(labelCol="sentiment_score", predictionCol="pred_sentiment", solver="normal")),
+        "fundamental": (FUND_FEATURES, LinearRegression(labelCol="fwd_return_30", predictionCol="pred_fundamental", elasticNetParam=0.0,
+                                                        standardization=False, regParam=1.0 * sd / max(n, 1), solver="normal")),
     }
-    return {k: m.fit(t) for k, m in models.items()}
+    models = {k: _pipe(have(f), m, scaler="minmax").fit(t) for k, (f, m) in learners.items()}
+    t.unpersist()
+    return models
 
 
 def score_latest(models: dict, latest: DataFrame, *, by: str = BY, relative_risk: bool = False) -> DataFrame:
@@ -139,23 +155,27 @@ def score_latest(models: dict, latest: DataFrame, *, by: str = BY, relative_risk
 
 def voting_ensemble(train: DataFrame, test: DataFrame, *, seed: int = 42, label: str = "fwd_return_30",
                     features=PRICE_FEATURES) -> DataFrame:
-    """Mean prediction of forest, boosting, ridge and lasso(0.1)."""
-    learners = [RandomForestRegressor(numTrees=50, maxDepth=8, seed=seed), GBTRegressor(maxIter=30, seed=seed),
+    """Mean prediction of forest (100 trees), boosting (100 rounds), ridge
+    and lasso(0.1).  The training rows are kept while fitting."""
+    train = train.persist()
+    learners = [RandomForestRegressor(numTrees=100, maxDepth=10, seed=seed), GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed),
                 LinearRegression(regParam=1.0, elasticNetParam=0.0), LinearRegression(regParam=0.1, elasticNetParam=1.0)]
     out, cols = test, []
     for i, lr in enumerate(learners):
         lr.setLabelCol(label).setPredictionCol(f"_p{i}")
         out = _pipe(features, lr).fit(train).transform(out).drop("_raw", "features")
         cols.append(F.col(f"_p{i}"))
+    train.unpersist()
     return out.withColumn("prediction", sum(cols) / len(cols)).drop(*[f"_p{i}" for i in range(len(learners))])
 
 
 def seed_bagged_boosting(train: DataFrame, test: DataFrame, *, seeds=range(5), label: str = "fwd_return_30",
-                         features=PRICE_FEATURES) -> DataFrame:
+                         features=PRICE_FEATURES, rounds: int = 1000, depth: int = 10, rate: float = 0.01) -> DataFrame:
     """Boosting with subsample 0.8 fitted with seeds 0..4, averaged."""
     out, cols = test, []
     for s in seeds:
-        g = GBTRegressor(labelCol=label, predictionCol=f"_b{s}", maxIter=30, subsamplingRate=0.8, seed=s)
+        g = GBTRegressor(labelCol=label, predictionCol=f"_b{s}", maxIter=rounds, maxDepth=depth, stepSize=rate,
+                         subsamplingRate=0.8, seed=s)
         out = _pipe(features, g).fit(train).transform(out).drop("_raw", "features")
         cols.append(F.col(f"_b{s}"))
     return out.withColumn("prediction", sum(cols) / len(cols)).drop(*[f"_b{s}" for s in seeds])
@@ -169,8 +189,8 @@ def stacking_ensemble(train: DataFrame, *, folds: int = 5, seed: int = 42, label
     parts = []
     for k in range(folds):
         fit_on, pred_on = t.filter(F.col("_fold") != k), t.filter(F.col("_fold") == k)
-        rf = _pipe(features, RandomForestRegressor(labelCol=label, predictionCol="_rf", numTrees=30, seed=seed))
-        gb = _pipe(features, GBTRegressor(labelCol=label, predictionCol="_gb", maxIter=20, seed=seed))
+        rf = _pipe(features, RandomForestRegressor(labelCol=label, predictionCol="_rf", numTrees=100, maxDepth=10, seed=seed))
+        gb = _pipe(features, GBTRegressor(labelCol=label, predictionCol="_gb", maxIter=100, maxDepth=3, stepSize=0.1, seed=seed))
         o = rf.fit(fit_on).transform(pred_on).drop("_raw", "features")
         o = gb.fit(fit_on).transform(o).drop("_raw", "features")
         parts.append(o)
@@ -212,7 +232,7 @@ def walk_forward_eval(samples: DataFrame, *, folds: int = 4, label: str = "fwd_r
     for k in range(folds):
         tr = d.filter(F.col("_d") < cuts[k])
         te = d.filter((F.col("_d") >= cuts[k]) & (F.col("_d") < cuts[k + 1]))
-        m = _pipe(features, RandomForestRegressor(labelCol=label, numTrees=30, maxDepth=8, seed=seed)).fit(tr)
+        m = _pipe(features, RandomForestRegressor(labelCol=label, numTrees=100, maxDepth=10, seed=seed)).fit(tr)
         r = regression_metrics(m.transform(te), label=label)
         rows.append((k, int(cuts[k]), r["mse"], r["mae"], r["r2"]))
     return spark.createDataFrame(rows, "fold int, cut_day int, mse double, mae double, r2 double")
@@ -332,7 +352,7 @@ def multi_period_training(samples: DataFrame, periods, *, label: str = "fwd_retu
         part = samples.filter((F.col("ts") >= F.lit(start).cast("date")) & (F.col("ts") < F.lit(end).cast("date")))
         if part.limit(1).count() == 0:
             continue
-        m = _pipe(PRICE_FEATURES, RandomForestRegressor(labelCol=label, numTrees=30, maxDepth=8, seed=seed)).fit(part)
+        m = _pipe(PRICE_FEATURES, RandomForestRegressor(labelCol=label, numTrees=100, maxDepth=10, seed=seed)).fit(part)
         r = regression_metrics(m.transform(part), label=label)
         rows.append((name, start, end, part.count(), r["mse"], r["r2"]))
     return spark.createDataFrame(rows, "period string, start string, end string, samples long, mse double, r2 double")

@@ -167,19 +167,47 @@ def q_screen_summary(spark, sf_dir):
     return rounded(scr.screen_summary(_overall(spark, sf_dir)))
 
 
-@query("feature_table")
+def _company(spark, sf_dir):
+    """The learners' company columns from the two company fixtures."""
+    named = {"pe_ratio": "trailingPE", "forward_pe": "forwardPE", "peg_ratio": "pegRatio", "price_to_book": "priceToBook",
+             "price_to_sales": "priceToSalesTrailing12Months", "gross_margin": "grossMargins", "operating_margin": "operatingMargins",
+             "return_on_equity": "returnOnEquity", "return_on_assets": "returnOnAssets", "earnings_growth": "earningsGrowth",
+             "dividend_yield": "dividendYield", "free_cashflow": "operatingCashflow", "total_cash": "totalCash",
+             "total_debt": "totalDebt", "book_value": "bookValue"}
+    info = fx.company_info(spark, sf_dir).select("symbol", *[F.col(c).alias(n) for n, c in named.items()])
+    return fx.fundamentals(spark, sf_dir).drop("trailing_pe").join(info, "symbol")
+
+
+_FT = """WITH b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, COUNT(*) OVER (PARTITION BY symbol) AS n,
+  close / LAG(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM bars),
+x AS (SELECT symbol, ts, close, rn, n, AVG(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sma_20,
+  AVG(close) OVER (w ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS sma_50, STDDEV_SAMP(close) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS volatility,
+  r AS price_change_1d, close / LAG(close, 7) OVER w - 1 AS price_change_7d, close / LAG(close, 30) OVER w - 1 AS price_change_30d,
+  volume / AVG(volume) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS volume_ratio, volume / AVG(volume) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS volume_surge,
+  (close - AVG(close) OVER (w ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) / STDDEV_SAMP(close) OVER (w ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS trend_strength,
+  LEAD(close, 30) OVER w / close - 1 AS fwd_return_30, LEAD(close, 7) OVER w / close - 1 AS fwd_return_7,
+  STDDEV_SAMP(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING) AS fwd_price_std_30
+  FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, ts, sma_20, sma_50, volatility, price_change_1d, price_change_7d, price_change_30d, volume_ratio, volume_surge, trend_strength,
+  market_cap / 1e9 AS market_cap, COALESCE("trailingPE", 0.0) AS pe_ratio, beta, fwd_return_30, fwd_return_7, fwd_price_std_30
+FROM x JOIN fundamentals USING (symbol) JOIN company_info USING (symbol) WHERE rn >= 50 AND rn < n - 30"""
+_FT_COLS = ("sma_20", "sma_50", "volatility", "price_change_1d", "price_change_7d", "price_change_30d", "volume_ratio", "volume_surge",
+            "trend_strength", "market_cap", "pe_ratio", "beta", "fwd_return_30", "fwd_return_7", "fwd_price_std_30")
+
+
+@query("feature_table", Q(_FT, "bars", "fundamentals", "company_info", doubles=_FT_COLS))
 def q_feature_table(spark, sf_dir):
-    """M1: pooled training samples over all symbols."""
-    return ml.feature_table(fx.bars(spark, sf_dir), fx.fundamentals(spark, sf_dir))
+    """M1: pooled training samples over all symbols (the columns with a plain
+    SQL form; RSI, MACD and sentiment have oracles of their own)."""
+    return rounded(ml.feature_table(fx.bars(spark, sf_dir), _company(spark, sf_dir)).select("symbol", "ts", *_FT_COLS))
 
 
 @query("model_scores")
 def q_model_scores(spark, sf_dir):
     """Five learners fitted on the pooled samples, applied to
     each symbol's latest row, combined into the model score."""
-    ft = ml.feature_table(fx.bars(spark, sf_dir), fx.fundamentals(spark, sf_dir), keep_latest=True)
-    train = ft.filter(~F.col("is_latest"))
-    models = ml.fit_models(train, trees=50, depth=8)
+    ft = ml.feature_table(fx.bars(spark, sf_dir), _company(spark, sf_dir), keep_latest=True).persist()
+    models = ml.fit_models(ft.filter(~F.col("is_latest")))
     return ml.score_latest(models, ft.filter(F.col("is_latest")))
 
 
@@ -198,7 +226,7 @@ def q_trend_probability(spark, sf_dir):
 @query("voting_ensemble")
 def q_voting_ensemble(spark, sf_dir):
     """Mean of forest, boosting, ridge and lasso predictions on the samples."""
-    ft = ml.feature_table(fx.bars(spark, sf_dir), fx.fundamentals(spark, sf_dir))
+    ft = ml.feature_table(fx.bars(spark, sf_dir), _company(spark, sf_dir))
     t = ft.filter(F.col("fwd_return_30").isNotNull())
     return ml.voting_ensemble(t, t).select("symbol", "ts", "fwd_return_30", "prediction")
 
@@ -207,9 +235,9 @@ def q_voting_ensemble(spark, sf_dir):
 def q_feature_importance(spark, sf_dir):
     """Forest importances of the price-model features."""
     from pyspark.ml.regression import RandomForestRegressor
-    ft = ml.feature_table(fx.bars(spark, sf_dir), fx.fundamentals(spark, sf_dir))
+    ft = ml.feature_table(fx.bars(spark, sf_dir), _company(spark, sf_dir))
     t = ft.filter(F.col("fwd_return_30").isNotNull())
-    m = ml._pipe(ml.PRICE_FEATURES, RandomForestRegressor(labelCol="fwd_return_30", numTrees=50, seed=42)).fit(t)
+    m = ml._pipe(ml.PRICE_FEATURES, RandomForestRegressor(labelCol="fwd_return_30", numTrees=100, seed=42)).fit(t)
     return ml.feature_importance(m, ml.PRICE_FEATURES)
 
 
