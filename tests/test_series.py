@@ -1,7 +1,9 @@
-"""Series layout and EWM: pandas cross-checks and blocked == single layout."""
+"""Series layout and EWM: pandas cross-checks, many blocks == one block, windows beyond a block."""
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF001, SF01
 from tickframe.operators import indicators as ind
@@ -31,37 +33,57 @@ def test_ewm_and_rsi_match_pandas(spark):
         np.testing.assert_allclose(g.rsi_wilder_14.astype(float).values, ref.values, rtol=1e-12)
 
 
-def test_blocked_layout_equals_single(spark):
+def _run(spark, tb, **kw):
+    p = series.prepare(tb, ts=["ts", "event_id"], **kw)
+    p = ind.sma(p, 20)
+    p = ind.macd(p)
+    p = ind.obv(p)
+    p = ind.forward_return(p, 30)
+    p = ind.drawdown_series(p)
+    return series.finish(p, keep_index=True).toPandas().sort_values(["symbol", "_rn"]).reset_index(drop=True)
+
+
+def test_many_blocks_equal_one(spark):
     tb = fx.tick_bars(spark, SF01)
+    a = _run(spark, tb)
+    for block_rows in (1800, 300):  # halos within a block, and over several blocks
+        b = _run(spark, tb, block_rows=block_rows, halo_back=2000, halo_fwd=64)
+        assert len(a) == len(b) == 10000
+        for c in ["_rn", "_n", "sma_20", "obv", "fwd_return_30", "drawdown"]:
+            np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), rtol=1e-12, equal_nan=True)
+        np.testing.assert_allclose(a["macd"], b["macd"], rtol=1e-9, atol=1e-9)
 
-    def run(mode, **kw):
-        p = series.prepare(tb, ts=["ts", "event_id"], mode=mode, **kw)
-        p = ind.sma(p, 20)
-        p = ind.macd(p)
-        p = ind.obv(p)
-        p = ind.forward_return(p, 30)
-        p = ind.drawdown_series(p)
-        return series.finish(p, keep_index=True).toPandas().sort_values(["symbol", "_rn"]).reset_index(drop=True)
 
-    a = run("single")
-    b = run("blocked", block_rows=1800, halo_back=1600, halo_fwd=64, chunk="day")
-    assert len(a) == len(b) == 10000
-    for c in ["_rn", "_n", "sma_20", "obv", "fwd_return_30", "drawdown"]:
-        np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), rtol=1e-12, equal_nan=True)
-    # macd: the blocked EWM drops carry older than one sub-block (< e^-40)
-    np.testing.assert_allclose(a["macd"], b["macd"], rtol=1e-9, atol=1e-9)
+def test_windows_larger_than_block_and_halo(spark):
+    """On a raw frame the halo is what the operator looks back and ahead; on a
+    prepared one a window that does not fit is refused, never cut."""
+    tb = fx.tick_bars(spark, SF01)
+    ops = [(lambda d: ind.forward_return(d, 100), "fwd_return_100"), (lambda d: ind.forward_price_std(d, 100), "fwd_price_std_100"),
+           (lambda d: ind.sma(d, 450), "sma_450"), (lambda d: ind.momentum(d, 450), "momentum_450")]
+    whole = series.prepare(tb, ts=["ts", "event_id"])
+    small = series.prepare(tb, ts=["ts", "event_id"], block_rows=500, halo_back=400, halo_fwd=64)
+    fits = series.prepare(tb, ts=["ts", "event_id"], block_rows=500, halo_back=450, halo_fwd=100)
+    for op, name in ops:
+        want = series.finish(op(whole)).filter(F.col(name).isNotNull()).count()
+        assert want == 10000 - 5 * (100 if "fwd" in name else 449 if "sma" in name else 450)
+        assert series.finish(op(fits)).filter(F.col(name).isNotNull()).count() == want
+        with pytest.raises(series.HaloTooSmall):
+            op(small)
 
 
-def test_blocked_plan_splits_hot_symbol(spark):
+def test_pipeline_adds_up_what_it_looks_back(spark):
     tb = fx.tick_bars(spark, SF01)
-    p = series.prepare(tb, ts=["ts", "event_id"], mode="blocked", block_rows=700, halo_back=600, chunk="day")
-    blocks = p.filter("_core").groupBy("symbol").agg({"_blk": "max"}).collect()
-    assert all(r[1] >= 2 for r in blocks)  # each ~2000-row symbol spans three 700-row blocks
+    p = series.prepare(tb, ts=["ts", "event_id"], block_rows=1024, halo_back=50)
+    p = ind.sma(ind.sma(p, 20), 20, "sma_20", name="again")
+    assert series.layout_of(p)["used_back"] == 38
+    with pytest.raises(series.HaloTooSmall):
+        ind.sma(p, 20, "again", name="third")
+    with pytest.raises(series.HaloTooSmall):
+        ind.ema_adjusted(series.prepare(tb, ts=["ts", "event_id"], halo_back=200), 26)
 
 
-def test_halo_guard(spark):
-    import pytest
+def test_blocks_split_a_hot_symbol(spark):
     tb = fx.tick_bars(spark, SF01)
-    p = series.prepare(tb, ts=["ts", "event_id"], mode="blocked", block_rows=1024, halo_back=200, chunk="day")
-    with pytest.raises(ValueError):
-        ind.ema_adjusted(p, 26)
+    p = series.prepare(tb, ts=["ts", "event_id"], block_rows=700, halo_back=600)
+    blocks = p.filter("_core").groupBy("symbol").agg({"_blk": "max"}).collect()
+    assert all(r[1] >= 2 for r in blocks)  # each ~2000-row symbol spans three 700-row blocks

@@ -59,7 +59,7 @@ def asof_ffill(bars: DataFrame, slow: DataFrame, *, value: str, by: str = BY, ts
     cond = ((b["_b"] == iv["_b"]) & (b[ts] >= iv["_lo"]) & (iv["_hi"].isNull() | (b[ts] < iv["_hi"])))
     j = b.join(iv, cond, "left").select(*[b[c] for c in bars.columns], iv["_v"].alias(name))
     p = series.prepare(j, by, ts)
-    prev = F.lag(name, 1).over(series.win(by))
+    prev = series.lag(name, 1, by)
     p = p.withColumn(f"{name}_change", F.try_divide(F.col(name), prev) - 1.0)
     return series.finish(p)
 

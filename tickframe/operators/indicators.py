@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.operators.ranking import top_n_per_key
-from tickframe.operators.series import (BY, CORE, N, RN, TS, ewm, finish, full_rows, prepare, rows, running,
-                                        series_op, win)
+from tickframe.operators.series import (BY, CORE, N, RN, TS, ewm, finish, full_rows, lag, lead, prepare, rows, running,
+                                        running_all, series_op)
 
 
 def _c(name) -> Column:
@@ -30,7 +30,7 @@ def div(a: Column, b: Column) -> Column:
 
 
 def pct_change(x: Column, k: int = 1, by: str = BY) -> Column:
-    return div(x, F.lag(x, k).over(win(by))) - F.lit(1.0)
+    return div(x, lag(x, k, by)) - F.lit(1.0)
 
 
 # ------------------------------------------------------------------ moving averages
@@ -87,7 +87,7 @@ def macd_recursive(df: DataFrame, fast: int = 12, slow: int = 26, signal: int =
 
 # ------------------------------------------------------------------ RSI
 def _gain_loss(by: str):
-    delta = F.col("close") - F.lag("close", 1).over(win(by))
+    delta = F.col("close") - lag("close", 1, by)
     gain = F.when(delta > 0, delta).otherwise(F.lit(0.0))
     loss = F.when(delta < 0, -delta).otherwise(F.lit(0.0))
     return gain, loss
@@ -181,7 +181,7 @@ def williams_r(df: DataFrame, n: int = 14, *, by: str = BY) -> DataFrame:
 @series_op
 def atr(df: DataFrame, n: int = 14, *, by: str = BY) -> DataFrame:
     """Mean true range; the first row's true range is null (Q4)."""
-    pc = F.lag("close", 1).over(win(by))
+    pc = lag("close", 1, by)
     tr = F.when(pc.isNotNull(),
                 F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc)))
     out = df.withColumn("_tr", tr)
@@ -207,7 +207,7 @@ def volume_ratio_prior(df: DataFrame, n: int = 20, *, by: str = BY) -> DataFrame
 @series_op
 def obv(df: DataFrame, *, by: str = BY) -> DataFrame:
     """On-balance volume, cumulative volume · sign(Δclose); first row null."""
-    d = F.col("close") - F.lag("close", 1).over(win(by))
+    d = F.col("close") - lag("close", 1, by)
     out = df.withColumn("_ov", F.col("volume") * F.signum(d))
     out = running(out, F.col("_ov"), "sum", "obv", by)
     return out.withColumn("obv", F.when(F.col(RN) > 0, F.col("obv"))).drop("_ov")
@@ -303,8 +303,8 @@ def lag_features(df: DataFrame, lags=(1, 2, 3, 5, 10), *, by: str = BY) -> DataF
     """Close and volume k rows back."""
     out = df
     for k in lags:
-        out = (out.withColumn(f"close_lag_{k}", F.lag("close", k).over(win(by)))
-               .withColumn(f"volume_lag_{k}", F.lag("volume", k).over(win(by))))
+        out = (out.withColumn(f"close_lag_{k}", lag("close", k, by))
+               .withColumn(f"volume_lag_{k}", lag("volume", k, by)))
     return out
 
 
@@ -391,9 +391,9 @@ def cumulative_return(df: DataFrame, col: str = "ret", *, by: str = BY) -> DataF
     """
     r = _c(col)
     f = F.lit(1.0) + r
-    out = running(df, F.when(f != 0, F.log(F.abs(f))), "sum", "_lg", by)
-    out = running(out, F.when(f < 0, F.lit(1)).otherwise(F.lit(0)), "sum", "_neg", by)
-    out = running(out, F.when(f == 0, F.lit(1)).otherwise(F.lit(0)), "sum", "_zero", by)
+    out = running_all(df, [(F.when(f != 0, F.log(F.abs(f))), "sum", "_lg"),
+                           (F.when(f < 0, F.lit(1)).otherwise(F.lit(0)), "sum", "_neg"),
+                           (F.when(f == 0, F.lit(1)).otherwise(F.lit(0)), "sum", "_zero")], by)
     sign = F.when(F.col("_neg") % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
     val = F.when(F.col("_zero") > 0, F.lit(0.0)).otherwise(sign * F.exp(F.coalesce(F.col("_lg"), F.lit(0.0))))
     return out.withColumn("cum_return", val - 1.0).drop("_lg", "_neg", "_zero")
@@ -429,7 +429,7 @@ def direction_hit_rate(df: DataFrame, n: int = 10, *, by: str = BY, ts="ts") ->
 @series_op
 def price_change(df: DataFrame, k: int = 1, *, by: str = BY) -> DataFrame:
     """Absolute and % change over k rows; 0 when the symbol is too short."""
-    prev = F.lag("close", k).over(win(by))
+    prev = lag("close", k, by)
     ch = F.when(F.col(N) >= k + 1, F.col("close") - prev)
     pc = F.when(F.col(N) >= k + 1, div(F.col("close") - prev, prev) * 100.0)
     return (df.withColumn(f"change_{k}", F.coalesce(ch, F.lit(0.0)))
@@ -439,7 +439,7 @@ def price_change(df: DataFrame, k: int = 1, *, by: str = BY) -> DataFrame:
 @series_op
 def forward_return(df: DataFrame, k: int = 1, *, by: str = BY) -> DataFrame:
     """close(k rows ahead) / close - 1."""
-    return df.withColumn(f"fwd_return_{k}", div(F.lead("close", k).over(win(by)), F.col("close")) - 1.0)
+    return df.withColumn(f"fwd_return_{k}", div(lead("close", k, by), F.col("close")) - 1.0)
 
 
 @series_op
@@ -454,12 +454,12 @@ def forward_price_std(df: DataFrame, n: int = 30, *, by: str = BY) -> DataFrame:
 def forward_direction(df: DataFrame, *, by: str = BY) -> DataFrame:
     """1 if the next close is above this close else 0; and the next row's
     5-row return volatility (0 when missing)."""
-    nxt = F.lead("close", 1).over(win(by))
+    nxt = lead("close", 1, by)
     out = df.withColumn("fwd_direction", F.when(nxt > F.col("close"), F.lit(1)).otherwise(F.lit(0)))
     r = pct_change(F.col("close"), 1, by)
     out = out.withColumn("_r", r)
     out = out.withColumn("_v5", full_rows(5, F.stddev_samp("_r"), F.col("_r"), by))
-    return (out.withColumn("fwd_volatility_5", F.coalesce(F.lead("_v5", 1).over(win(by)), F.lit(0.0)))
+    return (out.withColumn("fwd_volatility_5", F.coalesce(lead("_v5", 1, by), F.lit(0.0)))
             .drop("_r", "_v5"))
 
 
@@ -474,11 +474,10 @@ def monthly_targets(df: DataFrame, *, by: str = BY, warmup: int = 60, horizon: i
     """Samples at rows 60 <= i < n-30: return from close(i-1) to
     close(i+29), std of the 29 one-row returns inside rows i+1..i+29, and
     trend = 1 if the return is positive."""
-    w = win(by)
     r = pct_change(F.col("close"), 1, by)
     out = df.withColumn("_r1", r)
     fw = rows(1, horizon - 1, by)
-    tgt_ret = div(F.lead("close", horizon - 1).over(w), F.lag("close", 1).over(w)) - 1.0
+    tgt_ret = div(lead("close", horizon - 1, by), lag("close", 1, by)) - 1.0
     out = (out.withColumn("target_return", tgt_ret)
            .withColumn("target_volatility",
                        F.when(F.count("_r1").over(fw) == horizon - 1, F.stddev_samp("_r1").over(fw)))

@@ -63,7 +63,7 @@ def news_price_daily(news: DataFrame, bars: DataFrame, *, by: str = BY, positive
     day's % change."""
     d = news_daily_stats(news, by=by, positive=positive, negative=negative)
     p = series.prepare(bars, by, "ts")
-    p = p.withColumn("change", F.try_divide(F.col("close"), F.lag("close", 1).over(series.win(by))) - 1.0)
+    p = p.withColumn("change", F.try_divide(F.col("close"), series.lag("close", 1, by)) - 1.0)
     b = series.finish(p).select(by, F.col("ts").alias("p_date"), "open", "close", "high", "low", "volume", "change")
     return d.join(b, [by, "p_date"], "left")
 

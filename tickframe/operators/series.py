@@ -8,19 +8,17 @@ DataFrame keyed by (symbol, ts), and every window operator runs over
 where ``_rn`` is the 0-based position of the row inside its symbol and
 ``_blk`` splits a symbol into blocks of ``block_rows`` rows.  A symbol that
 holds a third of all rows is therefore spread over many tasks instead of one.
-Bounded frames stay exact across block edges because each block also receives
-*halo* rows: the last ``halo_back`` rows of the block before it and the first
-``halo_fwd`` rows of the block after it (flagged ``_core = false``).
-``finish`` drops the halo rows again.
-
-Two physical plans, chosen by a size check (like a broadcast threshold):
+There is one layout, built without any driver action: ``_rn`` comes from a
+(symbol, period) count table (partial aggregation, small) plus a
+``row_number`` inside each (symbol, period).
 
-* ``single``: every symbol fits in one block -> ``_rn`` is a plain
-  ``row_number`` and the whole indicator pipeline costs one exchange on symbol.
-* ``blocked``: some symbol is longer than ``block_rows`` -> ``_rn`` is built
-  from a (symbol, month) count table (partial aggregation, small) plus a
-  ``row_number`` inside each (symbol, month); rows are then copied into their
-  block and the neighbours' halos and shuffled on (symbol, _blk).
+Bounded frames stay exact across block edges because each block also receives
+*halo* rows (flagged ``_core = false``): the ``halo_back`` rows before it and
+the ``halo_fwd`` rows after it, over as many blocks as that takes.
+``finish`` drops them again.  Operators report the rows they look back and
+ahead (``rows``, ``lag``, ``lead``, ``ewm``): on a raw frame the halo is
+exactly what the operator reports; a pipeline on one prepared frame adds the
+reports up and stops with ``HaloTooSmall`` before a value could be lost.
 
 Running aggregates over the whole history (OBV, running max for drawdowns,
 compounded returns) add a per-block carry computed from block totals; see
@@ -34,6 +32,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BY = "symbol"
 TS = "ts"
@@ -44,11 +43,42 @@ CORE = "_core"  # false for halo copies
 
 HELPERS = (RN, N, BLK, CORE)
 
-DEFAULT_BLOCK_ROWS = 1 << 20
-DEFAULT_HALO_BACK = 16384
-DEFAULT_HALO_FWD = 64
+DEFAULT_BLOCK_ROWS = 1 << 18
+DEFAULT_HALO_BACK = 32768
+DEFAULT_HALO_FWD = 4096
 
 _LAYOUT_KEY = "tickframe_layout"
+_SUB = "_sub_"  # sub-block columns of ewm, shared by equal smoothing
+
+
+class HaloTooSmall(ValueError):
+    """The operators of a pipeline look further than the frame's halo."""
+
+
+class _Needs:
+    """Rows that the operators under construction look back and ahead."""
+
+    def __init__(self):
+        self.open: list[list[int]] = []
+        self.probing = 0
+
+    def note(self, back: int, fwd: int) -> None:
+        if self.open:
+            self.open[-1][0] += max(back, 0)
+            self.open[-1][1] += max(fwd, 0)
+
+    def measure(self, build):
+        """(result of ``build``, rows back, rows ahead)."""
+        self.open.append([0, 0])
+        try:
+            out = build()
+        finally:
+            back, fwd = self.open.pop()
+        self.note(back, fwd)
+        return out, back, fwd
+
+
+_needs = _Needs()
 
 
 def is_prepared(df: DataFrame) -> bool:
@@ -56,73 +86,64 @@ def is_prepared(df: DataFrame) -> bool:
 
 
 def layout_of(df: DataFrame) -> dict:
-    md = df.schema[BLK].metadata or {}
-    return dict(md.get(_LAYOUT_KEY, {"mode": "single"}))
+    return dict((df.schema[BLK].metadata or {})[_LAYOUT_KEY])
 
 
 def _order_cols(ts) -> list[str]:
     return [ts] if isinstance(ts, str) else list(ts)
 
 
-def prepare(df: DataFrame, by: str = BY, ts=TS, *, mode: str = "auto",
-            block_rows: int = DEFAULT_BLOCK_ROWS, halo_back: int = DEFAULT_HALO_BACK,
-            halo_fwd: int = DEFAULT_HALO_FWD, chunk: str = "month") -> DataFrame:
-    """Add ``_rn``, ``_n``, ``_blk`` and ``_core`` (plus halo rows when blocked).
+def prepare(df: DataFrame, by: str = BY, ts=TS, *, block_rows: int = DEFAULT_BLOCK_ROWS,
+            halo_back: int = DEFAULT_HALO_BACK, halo_fwd: int = DEFAULT_HALO_FWD) -> DataFrame:
+    """Add ``_rn``, ``_n``, ``_blk`` and ``_core``, and the halo rows.
 
     ``ts`` may be a list of ordering columns (time first, then tie-breakers).
-    ``mode`` is ``auto`` (size check), ``single`` or ``blocked``.
+    Counting periods are months for dates and days for timestamps, so a busy
+    intraday symbol is ranked in many tasks.
     """
     if is_prepared(df):
         return df
     order = _order_cols(ts)
-    if halo_back > block_rows or halo_fwd > block_rows:
-        raise ValueError("halo larger than a block")
-    if mode == "auto":
-        longest = df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-        mode = "single" if longest <= block_rows else "blocked"
-    meta = {_LAYOUT_KEY: {"mode": mode, "block_rows": block_rows,
-                          "halo_back": halo_back, "halo_fwd": halo_fwd}}
-    if mode == "single":
-        w = Window.partitionBy(by).orderBy(*order)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return df.select("*",
-                         (F.row_number().over(w) - 1).cast("long").alias(RN),
-                         F.count(F.lit(1)).over(whole).cast("long").alias(N),
-                         F.lit(0).cast("long").alias(BLK, metadata=meta),
-                         F.lit(True).alias(CORE))
-    if mode != "blocked":
-        raise ValueError(f"unknown layout mode {mode!r}")
-
-    keyed = df.withColumn("_chunk", F.date_trunc(chunk, F.col(order[0])))
+    period = "month" if isinstance(df.schema[order[0]].dataType, T.DateType) else "day"
+    keyed = df.withColumn("_chunk", F.date_trunc(period, F.col(order[0])))
     counts = keyed.groupBy(by, "_chunk").agg(F.count(F.lit(1)).alias("_cn"))
     wc = Window.partitionBy(by).orderBy("_chunk")
     counts = counts.select(
-        by, "_chunk",
+        F.col(by).alias("_by"), F.col("_chunk").alias("_ch"),
         F.coalesce(F.sum("_cn").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
          .cast("long").alias("_off"),
         F.sum("_cn").over(wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
          .cast("long").alias(N))
     wr = Window.partitionBy(by, "_chunk").orderBy(*order)
-    indexed = (keyed.join(counts, [by, "_chunk"])
+    same = F.col(by).eqNullSafe(F.col("_by")) & F.col("_chunk").eqNullSafe(F.col("_ch"))
+    indexed = (keyed.join(counts, same)
                .withColumn(RN, (F.col("_off") + F.row_number().over(wr) - 1).cast("long"))
-               .drop("_off", "_chunk"))
-    b = F.lit(block_rows).cast("long")
-    blk = F.floor(F.col(RN) / b).cast("long")
-    pos = F.col(RN) - blk * b
-    copies = F.array(
-        F.struct(blk.alias("b"), F.lit(True).alias("c")),
-        F.when((pos >= block_rows - halo_back) & ((blk + 1) * b < F.col(N)),
-               F.struct((blk + 1).alias("b"), F.lit(False).alias("c"))),
-        F.when((pos < halo_fwd) & (blk > 0),
-               F.struct((blk - 1).alias("b"), F.lit(False).alias("c"))))
-    out = indexed.select("*", F.explode(F.array_compact(copies)).alias("_h"))
-    return out.select(*[c for c in out.columns if c != "_h"],
-                      F.col("_h.b").alias(BLK, metadata=meta), F.col("_h.c").alias(CORE))
+               .drop("_off", "_chunk", "_ch", "_by"))
+    size = F.lit(block_rows).cast("long")
+    block = lambda row: F.floor(row / size).cast("long")
+    first = F.greatest(F.lit(0).cast("long"), block(F.col(RN) - halo_fwd))
+    last = F.least(block(F.col(N) - 1), block(F.col(RN) + halo_back))
+    meta = {_LAYOUT_KEY: {"block_rows": block_rows, "halo_back": halo_back, "halo_fwd": halo_fwd, "used_back": 0, "used_fwd": 0}}
+    out = indexed.select("*", F.explode(F.sequence(first, last)).alias("_b"))
+    return out.select(*[c for c in out.columns if c != "_b"], F.col("_b").alias(BLK, metadata=meta),
+                      (F.col("_b") == block(F.col(RN))).alias(CORE))
+
+
+def _used(df: DataFrame, back: int, fwd: int) -> DataFrame:
+    """Book an operator's look back and ahead on a prepared frame."""
+    if not is_prepared(df) or not (back or fwd):
+        return df
+    lay = layout_of(df)
+    lay["used_back"], lay["used_fwd"] = lay["used_back"] + back, lay["used_fwd"] + fwd
+    if not _needs.probing and (lay["used_back"] > lay["halo_back"] or lay["used_fwd"] > lay["halo_fwd"]):
+        raise HaloTooSmall(f"the operators look {lay['used_back']} rows back and {lay['used_fwd']} ahead; "
+                           f"prepare(..., halo_back={lay['used_back']}, halo_fwd={lay['used_fwd']}) holds them")
+    return df.withMetadata(BLK, {_LAYOUT_KEY: lay})
 
 
 def finish(df: DataFrame, keep_index: bool = False) -> DataFrame:
     """Drop halo rows and (unless ``keep_index``) the helper columns."""
-    out = df.filter(F.col(CORE))
+    out = df.filter(F.col(CORE)).drop(*[c for c in df.columns if c.startswith(_SUB)])
     if keep_index:
         return out.drop(BLK, CORE)
     return out.drop(*HELPERS)
@@ -133,9 +154,20 @@ def win(by: str = BY) -> Window:
 
 
 def rows(lo: int, hi: int, by: str = BY) -> Window:
+    _needs.note(-lo, hi)
     return win(by).rowsBetween(lo, hi)
 
 
+def lag(x, k: int = 1, by: str = BY) -> Column:
+    _needs.note(k, 0)
+    return F.lag(x, k).over(win(by))
+
+
+def lead(x, k: int = 1, by: str = BY) -> Column:
+    _needs.note(0, k)
+    return F.lead(x, k).over(win(by))
+
+
 def full_rows(n: int, agg_col: Column, x: Column, by: str = BY) -> Column:
     """pandas ``rolling(n)`` semantics: value only once the frame holds n non-null rows."""
     w = rows(-(n - 1), 0, by)
@@ -143,13 +175,20 @@ def full_rows(n: int, agg_col: Column, x: Column, by: str = BY) -> Column:
 
 
 def series_op(fn):
-    """Decorator: run ``fn`` on a prepared frame; prepare and finish if needed."""
+    """Decorator: run ``fn`` on a prepared frame and book the rows it looks
+    back and ahead.  A raw frame is prepared with just that halo and finished."""
 
     @functools.wraps(fn)
     def wrapper(df: DataFrame, *args, by: str = BY, ts=TS, **kw):
         if is_prepared(df):
-            return fn(df, *args, by=by, **kw)
-        return finish(fn(prepare(df, by, ts), *args, by=by, **kw))
+            out, back, fwd = _needs.measure(lambda: fn(df, *args, by=by, **kw))
+            return _used(out, back, fwd) if is_prepared(out) else out
+        _needs.probing += 1
+        try:
+            _, back, fwd = _needs.measure(lambda: fn(prepare(df, by, ts), *args, by=by, **kw))
+        finally:
+            _needs.probing -= 1
+        return finish(fn(prepare(df, by, ts, halo_back=back, halo_fwd=fwd), *args, by=by, **kw))
 
     return wrapper
 
@@ -163,25 +202,31 @@ _RUNNING = {
 
 
 def running(df: DataFrame, x: Column, how: str, name: str, by: str = BY) -> DataFrame:
-    """Running ``sum|max|min`` of ``x`` from the symbol's first row to each row.
+    """Running ``sum|max|min`` of ``x`` from the symbol's first row to each row."""
+    return running_all(df, [(x, how, name)], by)
+
+
+def running_all(df: DataFrame, what: list[tuple[Column, str, str]], by: str = BY) -> DataFrame:
+    """Several running aggregates (x, how, name) with one carry join.
 
     Inside a block this is an O(n) unbounded-preceding frame over core rows;
     across blocks the carry is the aggregate of all earlier blocks, computed
     from a block-total table (one row per block: small) and joined back on
     (symbol, _blk), which keeps the existing partitioning.
     """
-    agg, combine, total = _RUNNING[how]
-    xc = F.when(F.col(CORE), x)
-    local = agg(xc).over(win(by).rowsBetween(Window.unboundedPreceding, 0))
-    if layout_of(df)["mode"] == "single":
-        return df.withColumn(name, local)
-    totals = (df.filter(F.col(CORE)).groupBy(by, BLK).agg(total(x).alias("_tot")))
-    wb = Window.partitionBy(by).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(by, BLK, total("_tot").over(wb).alias("_carry"))
-    out = df.join(carry, [by, BLK], "left").withColumn("_local", local)
-    val = F.when(F.col("_carry").isNull(), F.col("_local")).otherwise(
-        F.when(F.col("_local").isNull(), F.col("_carry")).otherwise(combine(F.col("_carry"), F.col("_local"))))
-    return out.withColumn(name, val).drop("_carry", "_local")
+    core = df.filter(F.col(CORE)).groupBy(F.col(by).alias("_by"), F.col(BLK).alias("_tb"))
+    totals = core.agg(*[_RUNNING[how][2](x).alias(f"_tot_{name}") for x, how, name in what])
+    wb = Window.partitionBy("_by").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("_by", "_tb", *[_RUNNING[how][2](f"_tot_{name}").over(wb).alias(f"_carry_{name}") for _, how, name in what])
+    layout = df.schema[BLK].metadata
+    out = df.join(carry, F.col(by).eqNullSafe(F.col("_by")) & (F.col(BLK) == F.col("_tb")), "left").drop("_by", "_tb")
+    for x, how, name in what:
+        agg, combine, _ = _RUNNING[how]
+        local = agg(F.when(F.col(CORE), x)).over(win(by).rowsBetween(Window.unboundedPreceding, 0))
+        before, here = F.col(f"_carry_{name}"), F.col(f"_local_{name}")
+        val = F.when(before.isNull(), here).otherwise(F.when(here.isNull(), before).otherwise(combine(before, here)))
+        out = out.withColumn(f"_local_{name}", local).withColumn(name, val).drop(f"_carry_{name}", f"_local_{name}")
+    return out.withMetadata(BLK, layout)
 
 
 # ------------------------------------------------------------------ exponential weighting
@@ -200,34 +245,31 @@ def ewm(df: DataFrame, x: Column, *, alpha: float, adjust: bool, name: str,
     with q = 1 - alpha and j, r counted from ``start``.  Rows before ``start``
     (and rows before ``start + min_periods - 1``) give null.
 
-    Exact without a UDF: rows are cut into sub-blocks of B rows (aligned on the
-    global row index); inside a sub-block the weighted sum is a running sum of
-    x * q^-p rescaled by q^p, and the previous sub-block's final sum is carried
-    with weight q^(p+1).  Older carry is below e^-40 and dropped.  Needs a halo
-    of at least 3 sub-blocks per chained EWM level in blocked layouts.
+    Without a UDF: rows are cut into sub-blocks of B rows (aligned on the row
+    index); inside a sub-block the weighted sum is a running sum of x * q^-p
+    rescaled by q^p, and the previous sub-block's final sum is carried with
+    weight q^(p+1).  Older terms weigh below e^-40, less than half a unit in
+    the last place of the result as long as values differ by less than 1e17.
+    All windows share the order (symbol, _blk, sub-block, _rn), one sort.
     """
     q = 1.0 - alpha
     B = ewm_block_rows(q)
-    lay = layout_of(df)
-    if lay["mode"] == "blocked" and lay["halo_back"] < 3 * B:
-        raise ValueError(f"halo_back {lay['halo_back']} too small for EWM sub-block {B}")
+    _needs.note(2 * B, 0)
     start_c = start if isinstance(start, Column) else F.lit(start)
     i = F.col(RN) - start_c
     valid = i >= 0
-    sub = F.when(valid, F.floor(i / F.lit(B))).otherwise(F.lit(-1)).cast("long")
-    p = F.when(valid, i - sub * F.lit(B)).otherwise(F.lit(0))
+    tmp, sub = f"_ewm_{name}", f"{_SUB}{B}_{start if isinstance(start, int) else name}"
+    out = df if sub in df.columns else df.withColumn(
+        sub, F.when(valid, F.floor(i / F.lit(B))).otherwise(F.lit(-1)).cast("long"))
+    p = F.when(valid, i - F.col(sub) * F.lit(B)).otherwise(F.lit(0))
     xv = x if adjust else F.when(i == 0, x / F.lit(alpha)).otherwise(x)
     xv = F.when(valid, xv).otherwise(F.lit(0.0))
-    tmp = f"_ewm_{name}"
-    wsub = Window.partitionBy(by, BLK, f"{tmp}_s").orderBy(RN)
-    out = (df.withColumn(f"{tmp}_s", sub).withColumn(f"{tmp}_p", p)
-           .withColumn(f"{tmp}_l",
-                       F.sum(xv * F.pow(F.lit(q), -F.col(f"{tmp}_p")))
-                        .over(wsub.rowsBetween(Window.unboundedPreceding, 0))
-                       * F.pow(F.lit(q), F.col(f"{tmp}_p"))))
-    prev = F.first(F.col(f"{tmp}_lag")).over(wsub.rowsBetween(Window.unboundedPreceding, 0))
-    out = (out.withColumn(f"{tmp}_lag", F.coalesce(F.lag(f"{tmp}_l", 1).over(win(by)), F.lit(0.0)))
-           .withColumn(f"{tmp}_prev", F.when(F.col(f"{tmp}_s") > 0, prev).otherwise(F.lit(0.0))))
+    inside = Window.partitionBy(by, BLK, sub).orderBy(RN).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(by, BLK).orderBy(sub, RN)
+    out = (out.withColumn(f"{tmp}_p", p)
+           .withColumn(f"{tmp}_l", F.sum(xv * F.pow(F.lit(q), -F.col(f"{tmp}_p"))).over(inside) * F.pow(F.lit(q), F.col(f"{tmp}_p")))
+           .withColumn(f"{tmp}_lag", F.coalesce(F.lag(f"{tmp}_l", 1).over(across), F.lit(0.0)))
+           .withColumn(f"{tmp}_prev", F.when(F.col(sub) > 0, F.first(f"{tmp}_lag").over(inside)).otherwise(F.lit(0.0))))
     num = F.col(f"{tmp}_l") + F.col(f"{tmp}_prev") * F.pow(F.lit(q), F.col(f"{tmp}_p") + 1)
     if adjust:
         den = (1.0 - F.pow(F.lit(q), i + 1)) / F.lit(1.0 - q)
@@ -235,4 +277,4 @@ def ewm(df: DataFrame, x: Column, *, alpha: float, adjust: bool, name: str,
     else:
         y = num * F.lit(alpha)
     y = F.when(valid & (i >= F.lit(max(min_periods, 1) - 1)), y)
-    return out.withColumn(name, y).drop(f"{tmp}_s", f"{tmp}_p", f"{tmp}_l", f"{tmp}_lag", f"{tmp}_prev")
+    return out.withColumn(name, y).drop(f"{tmp}_p", f"{tmp}_l", f"{tmp}_lag", f"{tmp}_prev")

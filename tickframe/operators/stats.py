@@ -196,7 +196,7 @@ def sector_rollup(bars: DataFrame, sectors: DataFrame, *, by: str = BY) -> DataF
 def market_snapshot(bars: DataFrame, *, by: str = BY) -> DataFrame:
     """Last close, change and % change vs the previous bar, last volume."""
     p = series.prepare(bars, by, "ts")
-    prev = F.lag("close", 1).over(series.win(by))
+    prev = series.lag("close", 1, by)
     p = p.withColumn("_prev", prev)
     last = series.finish(ind.latest_row(p, by=by))
     return last.select(by, F.col("ts").alias("last_date"), F.col("close").alias("price"),

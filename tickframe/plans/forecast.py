@@ -82,7 +82,7 @@ def ar1_fit(bars: DataFrame, *, by: str = BY) -> DataFrame:
     intercept of r_t on r_(t-1)) and the one-step forecast from the last return."""
     p = series.prepare(bars, by, "ts")
     p = ind.returns(p, by=by)
-    p = p.withColumn("_lr", F.lag("ret", 1).over(series.win(by)))
+    p = p.withColumn("_lr", series.lag("ret", 1, by))
     rows = series.finish(p, keep_index=True)
     g = rows.groupBy(by).agg(F.regr_slope("ret", "_lr").alias("phi"), F.regr_intercept("ret", "_lr").alias("c"),
                              F.regr_count("ret", "_lr").alias("pairs"), F.max_by("ret", RN).alias("last_ret"))
