@@ -282,4 +282,4 @@ def horizon_confidence(conf, day) -> Column:
 
 def parse_date(text) -> Column:
     """YYYY-MM-DD text to DATE, null when unparsable."""
-    return F.try_to_date(_c(text), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(_c(text), "yyyy-MM-dd")

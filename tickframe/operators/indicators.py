@@ -514,26 +514,5 @@ def tail_rows(df: DataFrame, n: int = 5, *, by: str = BY) -> DataFrame:
 
 
 def history_cap(df: DataFrame, n: int = 100, *, by: str = BY, ts: str = "timestamp") -> DataFrame:
-    """Keep the newest n entries per key (row_number over key, newest first).
-
-    Performance histories are small per key (a few hundred entries), so a
-    per-key window is bounded here.
-    """
-    w = Window.partitionBy(by).orderBy(F.col(ts).desc())
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
-
-
-def standard_indicators(df: DataFrame, *, by: str = BY, ts="ts") -> DataFrame:
-    """The analysis-path indicator set (SMA 20/50, recursive EMA 12/26,
-    recursive MACD, Wilder RSI, population Bollinger bands) in one layout."""
-    from tickframe.operators import series
-    p = series.prepare(df, by, ts)
-    p = sma(p, 20, by=by)
-    p = sma(p, 50, by=by)
-    p = ema_recursive(p, 12, by=by)
-    p = ema_recursive(p, 26, by=by)
-    p = macd_recursive(p, by=by)
-    p = rsi_wilder(p, 14, by=by)
-    p = bollinger_pop(p, 20, by=by)
-    return p
-
+    """Keep the newest n entries per key."""
+    return top_n_per_key(df, by, [F.col(ts).desc()], n)

@@ -25,10 +25,11 @@ def movers_top_n(snapshots: DataFrame, n: int = 5, *, col: str = "change_percent
 
 def sector_top3(perf: DataFrame, *, n: int = 3, group: str = "sector", col: str = "performance",
                 by: str = BY) -> DataFrame:
-    """The n best performers per sector, with % performance.
-    One row per symbol goes in, so each sector window holds its members."""
-    w = Window.partitionBy(group).orderBy(F.col(col).desc(), F.col(by).asc())
-    return (perf.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    """The n best performers per sector, with % performance; a sector's
+    rank window holds its n survivors of the salted ranking only."""
+    best = [F.col(col).desc(), F.col(by).asc()]
+    w = Window.partitionBy(group).orderBy(*best)
+    return (top_n_per_key(perf, group, best, n).withColumn("rank", F.row_number().over(w))
             .withColumn("performance_pct", F.col(col) * 100.0))
 
 

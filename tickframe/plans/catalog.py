@@ -28,4 +28,14 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from tickframe.plans import q_analysis, q_extra, q_indicators, q_misc, q_models, q_portfolio, q_stats, q_text  # noqa: F401
+    from tickframe.plans import (  # noqa: F401
+        q_analysis,
+        q_extra,
+        q_indicators,
+        q_misc,
+        q_models,
+        q_operators,
+        q_portfolio,
+        q_stats,
+        q_text,
+    )

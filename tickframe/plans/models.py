@@ -13,7 +13,7 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -83,6 +83,13 @@ def feature_table(bars: DataFrame, fundamentals: DataFrame, *, by: str = BY, sta
     return rows.select(by, "ts", "close", "is_latest", *feats, "fwd_return_30", "fwd_return_7", "fwd_price_std_30", "target_trend")
 
 
+class Identity(Transformer):
+    """A last pipeline stage that learns nothing: the scaled features alone (M3)."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset
+
+
 def _pipe(features, learner, *, scaler: str | None = "standard"):
     stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep")]
     if scaler == "standard":

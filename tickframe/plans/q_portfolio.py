@@ -148,12 +148,19 @@ def q_portfolio_outlook(spark, sf_dir):
     return rounded(pf.portfolio_outlook(_port(spark, sf_dir), 30))
 
 
-@query("validate_weights", Q("""SELECT symbol, weight, CASE WHEN weight <= 0 OR weight > 1 THEN 'weight out of range'
+_HOLDINGS = """(SELECT s_suppkey AS symbol, CASE WHEN s_suppkey % 9 = 0 THEN -0.5 WHEN s_suppkey % 10 = 0 THEN 1.5
+  ELSE CAST(s_acctbal AS DOUBLE) / 200000 END AS weight FROM supplier)"""
+
+
+@query("validate_weights", Q(f"""SELECT symbol, weight, CASE WHEN weight <= 0 OR weight > 1 THEN 'weight out of range'
   WHEN SUM(weight) OVER (ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 1 + 1e-9
-  THEN 'total above 100%' END AS reason FROM portfolio""", "portfolio", doubles=("weight",)))
+  THEN 'total above 100%' END AS reason FROM {_HOLDINGS}""", doubles=("weight",)))
 def q_validate_weights(spark, sf_dir):
-    """Weights checked for range and running total (valid rows have a null reason)."""
-    ok, bad = clean.validate_weights(fx.portfolio(spark))
+    """Weights checked for range and running total (valid rows have a
+    null reason); the holdings stand in for a user's portfolio."""
+    k = F.col("s_suppkey")
+    weight = F.when(k % 9 == 0, -0.5).when(k % 10 == 0, 1.5).otherwise(F.col("s_acctbal").cast("double") / 200000)
+    ok, bad = clean.validate_weights(fx.table(spark, sf_dir, "supplier").select(k.alias("symbol"), weight.alias("weight")))
     return rounded(ok.withColumn("reason", F.lit(None).cast("string")).unionByName(bad))
 
 
@@ -187,12 +194,13 @@ def q_union_dates(spark, sf_dir):
     return align.union_dates(fx.bars(spark, sf_dir))
 
 
-@query("common_dates", Q("SELECT ts FROM bars WHERE symbol = 1 INTERSECT SELECT ts FROM market_index", "bars",
-                         "market_index"))
+@query("common_dates", Q("""SELECT a.symbol, COUNT(*) AS shared FROM (SELECT DISTINCT symbol, ts FROM bars) a
+JOIN (SELECT DISTINCT ts FROM market_index) m USING (ts) GROUP BY a.symbol""", "bars", "market_index"))
 def q_common_dates(spark, sf_dir):
-    """Dates shared by one symbol's bars and the market index."""
+    """Dates that each symbol's bars share with the market index, counted."""
     bars = fx.bars(spark, sf_dir)
-    return align.common_dates(bars.filter(F.col("symbol") == 1), fx.market_index(spark, sf_dir, bars))
+    shared = align.common_dates(bars, fx.market_index(spark, sf_dir, bars))
+    return bars.select("symbol", "ts").distinct().join(shared, "ts").groupBy("symbol").agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query("missing_dates", Q("""WITH span AS (SELECT symbol, MIN(ts) AS lo, MAX(ts) AS hi FROM bars GROUP BY symbol),

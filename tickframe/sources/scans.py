@@ -7,10 +7,11 @@ filters); sinks are ``DataFrame.write``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickframe.operators.ranking import top_n_per_key
 from tickframe.operators.series import BY
 
 BARS_SCHEMA = T.StructType([
@@ -112,14 +113,9 @@ def statements_unpivot(df: DataFrame, *, ids=(BY, "statement", "period"), value:
 
 def news_scan(news: DataFrame, *, n: int = 20, by: str = BY, ts: str = "p_date",
               tie: str = "guid") -> DataFrame:
-    """The n most recent articles per symbol (ties by guid).
-
-    Top-n per key over a window: a symbol's articles are ranked in one task,
-    so the per-key sort is bounded by that symbol's article count (news per
-    symbol, not bars).
-    """
-    w = Window.partitionBy(by).orderBy(F.col(ts).desc(), F.col(tie).desc())
-    return news.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    """The n most recent articles per symbol (ties by guid); a busy
+    symbol is ranked in salted parts first."""
+    return top_n_per_key(news, by, [F.col(ts).desc(), F.col(tie).desc()], n)
 
 
 def csv_semicolon_scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -158,7 +154,7 @@ def macro_scan(series_df: DataFrame, *, key: str = "series", names: dict | None
     literal dimension (unknown tickers keep their ticker)."""
     spark = series_df.sparkSession
     dim = spark.createDataFrame(list((names or INDEX_NAMES).items()), f"{key} string, name string")
-    return (series_df.join(F.broadcast(dim), key, "left")
+    return (series_df.join(dim, key, "left")
             .withColumn("name", F.coalesce(F.col("name"), F.col(key))))
 
 
@@ -171,10 +167,12 @@ HISTORY_SCHEMA = T.MapType(T.StringType(), T.ArrayType(HISTORY_ENTRY))
 
 def history_json_sink(history: DataFrame, path: str, *, by: str = BY) -> None:
     """Performance history (one row per entry) -> JSON lines, one line
-    per symbol holding its list of entries (newest last)."""
+    per symbol holding its list of entries (newest last).  Cap the history
+    first (W44): a line holds all of a symbol's entries."""
     nested = (history.groupBy(by)
-              .agg(F.sort_array(F.collect_list(F.struct("timestamp", "total_reward", "avg_reward",
-                                                        "model_weights", "training_samples"))).alias("entries")))
+              .agg(F.array_sort(F.collect_list(F.struct("timestamp", "total_reward", "avg_reward", "model_weights", "training_samples")),
+                                lambda a, b: F.when(a["timestamp"] < b["timestamp"], -1).when(a["timestamp"] > b["timestamp"], 1)
+                                .otherwise(0)).alias("entries")))
     nested.write.mode("overwrite").json(path)
 
 
