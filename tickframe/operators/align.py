@@ -15,6 +15,8 @@ from tickframe.operators import series
 from tickframe.operators.series import BY
 
 MAX_PAIR_UNIVERSE = 1000
+#: Parts that a calendar bucket's bars are spread over in the as-of join.
+SALTS = 16
 
 
 def align_inner(bars: DataFrame, index: DataFrame, *, on: str = "ts", suffix: str = "_idx") -> DataFrame:
@@ -39,24 +41,27 @@ def asof_ffill(bars: DataFrame, slow: DataFrame, *, value: str, by: str = BY, ts
     """The last ``slow`` value at or before each bar (backward as-of),
     plus its percentage change along the bar series.
 
-    The slow series is turned into validity intervals [ts, next ts) (a
-    window over the slow table only), each interval is exploded to the
-    calendar buckets it touches, and bars are equi-joined on the bucket and
-    filtered to their interval: a bucketed range join, no cross product.
-    Bars before the first slow row keep a null value (left join).
+    Per calendar bucket the slow table gives its own values and, from the
+    bucket's start, the last value of an earlier bucket (a window over the
+    calendar of buckets, not over rows); bars meet them in a salted equi-join
+    on the bucket, filtered to the value's interval.  Bars before the first
+    slow row keep a null value.
     """
     name = name or value
-    w = Window.orderBy("_lo")  # over the slow series itself (one row per period)
-    iv = (slow.select(F.col(ts).alias("_lo"), F.col(value).alias("_v"))
-          .withColumn("_hi", F.lead("_lo", 1).over(w)))
-    # the last interval is open-ended: it covers buckets up to the last bar
-    last_bar = bars.agg(F.max(ts)).first()[0]
-    lo_b = F.date_trunc(bucket, F.col("_lo"))
-    hi_b = F.coalesce(F.date_trunc(bucket, F.col("_hi")),
-                      F.greatest(lo_b, F.date_trunc(bucket, F.lit(last_bar).cast("timestamp"))))
-    iv = iv.withColumn("_b", F.explode(F.sequence(lo_b, hi_b, F.expr(f"INTERVAL 1 {bucket.upper()}"))))
-    b = bars.withColumn("_b", F.date_trunc(bucket, F.col(ts)))
-    cond = ((b["_b"] == iv["_b"]) & (b[ts] >= iv["_lo"]) & (iv["_hi"].isNull() | (b[ts] < iv["_hi"])))
+    at = lambda c: F.date_trunc(bucket, F.col(c))
+    own = slow.select(at(ts).alias("_b"), F.col(ts).cast("timestamp").alias("_lo"), F.col(value).cast("double").alias("_v"))
+    calendar = (bars.select(at(ts).alias("_b")).distinct().withColumn("_last", F.lit(None).cast("double"))
+                .unionByName(own.groupBy("_b").agg(F.max_by("_v", "_lo").alias("_last")))
+                .groupBy("_b").agg(F.max("_last").alias("_last")))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    carried = calendar.select("_b", F.col("_b").alias("_lo"), F.last("_last", ignorenulls=True).over(earlier).alias("_v"), F.lit(0).alias("_k"))
+    within = Window.partitionBy("_b").orderBy("_lo", "_k")
+    iv = (carried.unionByName(own.withColumn("_k", F.lit(1)))
+          .withColumn("_hi", F.lead("_lo", 1).over(within)).drop("_k")
+          .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    b = bars.withColumn("_b", at(ts)).withColumn("_s", F.pmod(F.xxhash64(by, ts), F.lit(SALTS)).cast("int"))
+    when = b[ts].cast("timestamp")
+    cond = (b["_b"] == iv["_b"]) & (b["_s"] == iv["_s"]) & (when >= iv["_lo"]) & (iv["_hi"].isNull() | (when < iv["_hi"]))
     j = b.join(iv, cond, "left").select(*[b[c] for c in bars.columns], iv["_v"].alias(name))
     p = series.prepare(j, by, ts)
     prev = series.lag(name, 1, by)
