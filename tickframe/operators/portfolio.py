@@ -148,6 +148,8 @@ def weight_grid(weights: DataFrame, k: int = 10, *, by: str = BY) -> DataFrame:
         pick = F.explode(F.sequence(F.lit(0), rest)) if i < m - 1 else rest
         cur = cur.select("units", "used", pick.alias("_u")).select(
             F.concat("units", F.array("_u")).alias("units"), (F.col("used") + F.col("_u")).alias("used"))
+        if i == 1:
+            cur = cur.repartition("units")  # the first two members' vectors are extended in many tasks
     cand = cur.filter(F.col("used") == k).withColumn("cand", F.concat_ws(",", F.col("units").cast("array<string>")))
     sym_arr = F.array(*[F.lit(s) for s in syms])
     return cand.select("cand", F.posexplode("units").alias("i", "u")).select(
