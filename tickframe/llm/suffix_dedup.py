@@ -137,7 +137,7 @@ def _suffixes(n_parts):
             d, a, b = _stretches(doc[hit], place[hit])
             for p in range(0, len(d), 4096):  # spread over the parts
                 cut = slice(p, p + 4096)
-                for col, v in zip(rows, (n_parts + p // 4096 % n_parts, d[cut].tobytes(), b"", a[cut].astype(np.uint32).tobytes(),
+                for col, v in zip(rows, (n_parts + int(words.mix(d[p:p + 1].view(np.uint64))[0] % _U(n_parts)), d[cut].tobytes(), b"", a[cut].astype(np.uint32).tobytes(),
                                          b[cut].astype(np.uint32).tobytes(), b"")):
                     col.append(v)
             send = first | ~hit  # of a settled window one copy, of others all places
@@ -146,7 +146,8 @@ def _suffixes(n_parts):
             head[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (seed[1:] != seed[:-1])
             head = np.flatnonzero(head)
             many = np.diff(np.append(head, len(doc)))
-            part = (((seed[head] >> _U(32)) * _U(n_parts)) >> _U(32)).astype(np.int64)
+            # mixed again: a minimiser is the smallest of many hashes, so its high bits are not even
+            part = (((words.mix(seed[head]) >> _U(32)) * _U(n_parts)) >> _U(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
             low = np.ascontiguousarray(window).view(np.uint8).reshape(-1, 8)[:, :5]
