@@ -102,13 +102,13 @@ def test_bounds_hold_and_prune():
         assert (bound >= true - 1e-6).all()
         assert last is None or (bound <= last + 1e-6).all()
         last = bound
-    ids, scores, computed = S.best_of(rows, levels, q, asked, -1, 5)
-    assert scores.tolist() == sorted(true.astype(int).tolist(), reverse=True)[:5] and computed < 500
+    (found,), computed = S.best_of(rows, levels, q[None], np.array([-1]), 5)
+    assert found[1].tolist() == sorted(true.astype(int).tolist(), reverse=True)[:5] and computed < 500
 
 
 def test_large_components():
     big = np.array([[2.0 ** 40, 2.0 ** 40], [1.0, -(2.0 ** 40)]])
-    assert S.exact_scores(big, big[0]).tolist() == [(1 << 63) - 1, 2 ** 40 - 2 ** 80 if 2 ** 40 - 2 ** 80 > -(1 << 63) else -((1 << 63) - 1)]
+    assert S.exact_scores(big, big[[0, 0]]).tolist() == [(1 << 63) - 1, 2 ** 40 - 2 ** 80 if 2 ** 40 - 2 ** 80 > -(1 << 63) else -((1 << 63) - 1)]
 
 
 def test_walk_goes_by_summed_distance():

@@ -30,6 +30,8 @@ SCALE = 64
 LEVELS = (1, 4, 16, 32)
 #: Rows with the best coarse bounds that get exact scores first.
 PROBE = 64
+#: Queries bounded together; the share of pairs above which a level is one matrix product.
+BATCH, DENSE = 128, 0.1
 _LONG = (1 << 63) - 1
 
 
@@ -42,33 +44,64 @@ def statistics(v: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([mean * np.sqrt(size), np.sqrt(np.maximum(square - mean * mean, 0) * size)])
 
 
-def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products; held at the long range if they could pass it."""
-    most = np.abs(rows).max(initial=0) * np.abs(query).max(initial=0) * rows.shape[1]
+def exact_scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Integer inner products of row pairs; held at the long range if they could pass it."""
+    most = np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * rows.shape[1]
     if most < 2 ** 53:
-        return (rows @ query).astype(np.int64)
+        return (rows * queries).sum(1).astype(np.int64)
     if most < 2 ** 62:
-        return (rows.astype(np.int64) * query.astype(np.int64)).sum(1)
-    whole = [int(x) for x in query]
-    return np.array([max(-_LONG, min(_LONG, sum(int(a) * b for a, b in zip(r, whole)))) for r in rows], np.int64)
+        return (rows.astype(np.int64) * queries.astype(np.int64)).sum(1)
+    return np.array([max(-_LONG, min(_LONG, sum(int(a) * int(b) for a, b in zip(r, q)))) for r, q in zip(rows, queries)], np.int64)
 
 
-def best_of(rows: Distinct, levels: list[np.ndarray], query: np.ndarray, stats: list[np.ndarray], own: int, k: int):
-    """The k best rows of a block for a query: (ids, scores, exact scores computed)."""
+def _products(left: np.ndarray, right: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """left @ right.T where ``keep`` holds; the rest is -inf.  Few pairs are multiplied one by one."""
+    if keep.mean() > DENSE:
+        return np.where(keep, left @ right.T, -np.inf)
+    out = np.full(keep.shape, -np.inf)
+    i, j = np.nonzero(keep)
+    for a in range(0, len(i), 1 << 16):
+        cut = slice(a, a + (1 << 16))
+        out[i[cut], j[cut]] = (left[i[cut]] * right[j[cut]]).sum(1)
+    return out
+
+
+def best_of(rows: Distinct, levels: list[np.ndarray], queries: np.ndarray, ids: np.ndarray, k: int):
+    """Per query its k best rows of a block (ids, scores), and how many exact scores were computed."""
     copies = np.diff(rows.start)
-    bound = levels[0] @ stats[0]
-    probe = np.argsort(-bound, kind="stable")[:max(PROBE, k + 1)]
-    score = exact_scores(rows.vectors[probe], query)
-    order = np.argsort(-score, kind="stable")
-    enough = int(np.searchsorted(np.cumsum(copies[probe[order]]), k + 1))
-    least = float(score[order[enough]]) if enough < len(order) else -math.inf
-    slack = 1e-9 * (math.sqrt(float(query @ query)) * float(np.sqrt((levels[0] ** 2).sum(1)).max(initial=0)) + 1)
-    left = np.flatnonzero(bound >= least - slack)
-    for level, own_stats in zip(levels[1:], stats[1:]):
-        left = left[level[left] @ own_stats >= least - slack]
-    score = exact_scores(rows.vectors[left], query)
-    ids, scores = rows.best(left, score, own, k)
-    return ids, scores, len(left)
+    asked = [statistics(queries, s) for s in LEVELS]
+    norm = np.sqrt((levels[0] ** 2).sum(1)).max(initial=0)
+    slack = 1e-9 * (np.sqrt((queries * queries).sum(1)) * norm + 1)
+    keep = np.ones((len(queries), len(rows.vectors)), bool)
+    bound = _products(asked[0], levels[0], keep)
+    n = min(max(PROBE, k + 1), bound.shape[1])
+    probe = np.argpartition(-bound, n - 1, axis=1)[:, :n]
+    own = np.repeat(np.arange(len(queries)), n)
+    score = exact_scores(rows.vectors[probe.ravel()], queries[own]).reshape(-1, n)
+    order = np.argsort(-score, axis=1, kind="stable")
+    held = np.cumsum(copies[np.take_along_axis(probe, order, 1)], axis=1)
+    enough = (held < k + 1).sum(1)  # copies of one vector count, the query itself may be one
+    least = np.where(enough < n, np.take_along_axis(score, order, 1)[np.arange(len(queries)), np.minimum(enough, n - 1)], -np.inf)
+    least = (least - slack)[:, None]
+    keep &= bound >= least
+    for level, of_query in zip(levels[1:], asked[1:]):
+        keep &= _products(of_query, level, keep) >= least
+    safe = np.abs(rows.vectors).max(initial=0) * np.abs(queries).max(initial=0) * queries.shape[1] < 2 ** 53
+    if safe:
+        exact = _products(queries, rows.vectors, keep)
+    else:
+        i, j = np.nonzero(keep)
+        exact = np.full(keep.shape, -np.inf)
+        exact[i, j] = exact_scores(rows.vectors[j], queries[i])
+    out = []
+    for q in range(len(queries)):
+        found = np.flatnonzero(keep[q])
+        if len(found) > k + 1:
+            cut = np.partition(exact[q, found], len(found) - k - 1)[len(found) - k - 1]
+            found = found[exact[q, found] >= cut]
+        values = exact[q, found].astype(np.int64) if safe else exact_scores(rows.vectors[found], np.broadcast_to(queries[q], (len(found), queries.shape[1])))
+        out.append(rows.best(found, values, ids[q], k))
+    return out, int(keep.sum())
 
 
 def _searched(width, k):
@@ -79,12 +112,13 @@ def _searched(width, k):
         if is_query.any() and not is_query.all():
             rows = Distinct(v[~is_query], ids[~is_query], k)
             levels = [statistics(rows.vectors, s) for s in LEVELS]
-            asked = [statistics(v[is_query], s) for s in LEVELS]
-            for n, (q, own) in enumerate(zip(v[is_query], ids[is_query])):
-                best, score, _ = best_of(rows, levels, q, [a[n] for a in asked], own, k)
-                out[0] += [own] * len(best)
-                out[1] += best.tolist()
-                out[2] += score.tolist()
+            queries, own = v[is_query], ids[is_query]
+            for a in range(0, len(queries), BATCH):
+                found, _ = best_of(rows, levels, queries[a:a + BATCH], own[a:a + BATCH], k)
+                for q, (best, score) in zip(own[a:a + BATCH], found):
+                    out[0] += [q] * len(best)
+                    out[1] += best.tolist()
+                    out[2] += score.tolist()
         return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), out)})
     return run
 
