@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def held_out(doc_id="doc_id"):
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20):
     """Sub-batches of about ``max_bytes`` of text (one row at least)."""
     lens = batch.column(column).cast(pa.large_string()).fill_null("")
-    lens = pa.compute.binary_length(lens).to_numpy(zero_copy_only=False)
+    lens = pc.binary_length(lens).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(lens):
         if i > start and total + n > max_bytes:

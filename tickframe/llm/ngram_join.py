@@ -6,8 +6,8 @@ Which documents share enough 5-word shingles, exactly: two documents link when
 1. Every text becomes its set of 64-bit shingle hashes.  Equal sets become one
    node (a 64-bit key of the set).
 2. Shingles are dealt by hash into parts; each part finds the shingles that
-   two nodes or more share and how many nodes share them, and answers each
-   node.  Very common shingles (in 1/64 of all nodes) are found first, their
+   two nodes or more share and how many nodes share them, and answers the
+   chunk of documents that each node came from.  Very common shingles (in 1/64 of all nodes) are found first, their
    number is bounded by 64 times the mean set size, and they never travel.
 3. In the common order (rarest first) two linked nodes share one of their
    first ``n - ceil(NUM/DEN * n) + 1`` shingles.  Shingles of one node alone
@@ -33,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +50,13 @@ FLUSH = 1_000_000
 PART = 1_500_000
 #: A shingle in this share of all nodes is common.
 COMMON = 64
+#: Nodes of a chunk are numbered with 16 bits.
+MAX_NODES = 60_000
 #: Members of one posting that are compared in one task.
 BLOCK = 4096
 LEAF = 16
 #: Rounds in which components are joined over pivots before the trees.
-STAR_ROUNDS = 5
+STAR_ROUNDS = 3
 _U = np.uint64
 
 
@@ -92,7 +95,7 @@ def _flushes(batches, column="text"):
             new = sets(part.column(column))
             got += new
             n += sum(map(len, new))
-            if n >= FLUSH:
+            if n >= FLUSH or len(got) >= MAX_NODES:
                 yield ids, got
                 ids, got, n = [], [], 0
     if ids:
@@ -116,117 +119,97 @@ def _summaries(batches):
 
 
 def _dealt(common, n_parts):
-    """Shingles by part: node keys, set sizes, shingles per node, low 40 bits of each.
-    Part numbers from ``n_parts`` carry a node's common shingles."""
+    """The shingles of each chunk by part: the node's number in the chunk and
+    the low 40 bits.  Part numbers from ``n_parts`` carry a chunk's directory:
+    keys and set sizes of its nodes, and their common shingles."""
     def run(batches):
         hot = common.value
-        for _, got in _flushes(batches):
+        for number, (_, got) in enumerate(_flushes(batches)):
             own = {set_key(s): s for s in got if len(s)}
             if not own:
                 continue
-            keys = np.fromiter(own, np.int64, len(own))
+            chunk = TaskContext.get().partitionId() << 32 | number  # the same if the task runs again
             size = np.fromiter(map(len, own.values()), np.int64, len(own))
-            tok = np.concatenate(list(own.values()))
-            node = np.repeat(np.arange(len(own)), size)
-            rows = []
+            tok, node = np.concatenate(list(own.values())), np.repeat(np.arange(len(own)), size)
+            where, which = node[:0], node[:0]
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, tok), len(hot) - 1)
                 is_hot = hot[at] == tok
-                if is_hot.any():
-                    where, which = node[is_hot], at[is_hot]
-                    cut = np.flatnonzero(np.diff(where)) + 1
-                    rows = list(zip(where[np.concatenate([[0], cut])], np.split(which, cut)))
+                where, which = node[is_hot], at[is_hot]
                 tok, node = tok[~is_hot], node[~is_hot]
-            part = ((tok >> _U(32)) * _U(n_parts)) >> _U(32)
-            part = part.astype(np.uint16 if n_parts <= 65536 else np.int64)
+            out = [[n_parts + chunk % n_parts], [np.fromiter(own, np.int64, len(own)).tobytes()], [size.astype(np.uint32).tobytes()],
+                   [where.astype(np.uint16).tobytes() + which.astype(np.uint32).tobytes()]]
+            part = (((tok >> _U(32)) * _U(n_parts)) >> _U(32)).astype(np.uint16 if n_parts <= 65536 else np.int64)
             order = np.argsort(part, kind="stable")
             tok, node, part = tok[order], node[order], part[order]
             cuts = np.searchsorted(part, np.arange(n_parts + 1))
-            out = [[], [], [], [], []]
             low = np.ascontiguousarray(tok).view(np.uint8).reshape(-1, 8)[:, :5]
-            for p in range(n_parts):
+            for p in np.flatnonzero(np.diff(cuts)):
                 a, b = cuts[p], cuts[p + 1]
-                if a == b:
-                    continue
-                mine = node[a:b]
-                first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-                who = mine[first]
-                for col, v in zip(out, (p, keys[who].tobytes(), size[who].astype(np.uint32).tobytes(),
-                                        np.diff(np.concatenate([first, [b - a]])).astype(np.uint32).tobytes(),
-                                        low[a:b].tobytes())):
+                # steps between node numbers, low bytes first, compress well
+                step = np.diff(node[a:b], prepend=0).astype(np.uint16).view(np.uint8).reshape(-1, 2).T
+                for col, v in zip(out, (int(p), step.tobytes(), low[a:b].tobytes(), b"")):
                     col.append(v)
-            for i, which in rows:
-                for col, v in zip(out, (n_parts + int(keys[i]) % n_parts, keys[i].tobytes(),
-                                        size[i].astype(np.uint32).tobytes(), np.uint32(len(which)).tobytes(),
-                                        which.astype(np.uint32).tobytes())):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64())] + [pa.array(c, pa.binary()) for c in out[1:]],
-                                             ["part", "keys", "sizes", "counts", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([chunk] * len(out[0]), pa.int64())]
+                                             + [pa.array(c, pa.binary()) for c in out[1:]], ["part", "chunk", "a", "b", "c"])
     return run
 
 
-def _shared(common_df, n_parts):
-    """Per part: the shingles of two nodes or more, sent back to each node."""
+def _wide(raw: bytes) -> np.ndarray:
+    """40-bit numbers as long."""
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(np.int64).ravel()
+
+
+def _shared(n_parts):
+    """Of each part, the shingles of two nodes or more go back to their chunks
+    with the number of nodes (255 at most: an order is all that is needed)."""
     def run(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        raw = [b"".join(table.column(c).to_pylist()) for c in ("keys", "sizes", "counts", "tokens")]
-        keys, size, count = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.uint32), np.frombuffer(raw[2], np.uint32)
-        if part >= n_parts:
-            tok = np.frombuffer(raw[3], np.uint32).astype(np.int64)
-            df = common_df.value[tok]
-            tok, node = tok + (np.int64(n_parts) << 40), np.repeat(np.arange(len(keys)), count)
-            keys, first = np.unique(keys, return_index=True)
-            place = np.full(len(count), -1)
-            place[first] = np.arange(len(first))
-            keep = place[node] >= 0
-            tok, df, node, size = tok[keep], df[keep], place[node[keep]], size[first]
-            order = np.argsort(node, kind="stable")
-            tok, df, node = tok[order], df[order], node[order]
-        else:
-            keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-            size = size[first]
-            wide = np.zeros((len(raw[3]) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(raw[3], np.uint8).reshape(-1, 5)
-            tok = wide.view(np.int64).ravel()
-            # one sorted key per (shingle, node): 40 bits and, as a part holds few nodes, 24 bits
-            pair = (tok.view(np.uint64) << _U(24)) | np.repeat(at, count).astype(np.uint64)
-            pair.sort()
-            pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
-            tok, node = (pair >> _U(24)).astype(np.int64), (pair & _U((1 << 24) - 1)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-            df = np.diff(np.concatenate([first, [len(tok)]]))
-            df = np.repeat(df, df)
-            keep = df > 1
-            order = np.argsort(node[keep], kind="stable")
-            tok, node, df = tok[keep][order] + (np.int64(part) << 40), node[keep][order], df[keep][order]
-        home = keys % n_parts
-        order = np.lexsort((node, home[node]))
-        tok, node, df = tok[order], node[order], df[order]
-        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, int)
-        who, many = node[first], np.diff(np.append(first, len(node)))
-        cut = np.searchsorted(home[who], np.arange(n_parts + 1))
-        some = np.flatnonzero(np.diff(cut))
-        edge = np.append(first, len(node))
-        piece = lambda x, kind: pa.array([np.ascontiguousarray(x[i:j]).astype(kind).tobytes() for i, j in zip(cut[some], cut[some + 1])], pa.binary())
-        inner = lambda x, kind: pa.array([x[edge[i]:edge[j]].astype(kind).tobytes() for i, j in zip(cut[some], cut[some + 1])], pa.binary())
-        return pa.table({"home": pa.array(some, pa.int64()), "keys": piece(keys[who], np.int64), "sizes": piece(size[who], np.uint32),
-                         "counts": piece(many, np.uint32), "tokens": inner(tok, np.int64), "dfs": inner(df, np.uint32)})
+        if table.column("part")[0].as_py() >= n_parts:
+            return table
+        steps, raw = table.column("a").to_pylist(), table.column("b").to_pylist()
+        tok = _wide(b"".join(raw))
+        _, at, df = np.unique(tok, return_inverse=True, return_counts=True)
+        df = np.minimum(df, 255).astype(np.uint8)[at]
+        del at
+        keep = df > 1
+        out, first = [[], [], [], []], 0
+        for i, (a, b) in enumerate(zip(steps, raw)):
+            n = len(b) // 5
+            mine = keep[first:first + n]
+            if mine.any():
+                node = np.cumsum(np.ascontiguousarray(np.frombuffer(a, np.uint8).reshape(2, -1).T).view(np.uint16).ravel(), dtype=np.uint16)
+                for col, v in zip(out, (i, node[mine].tobytes(), np.frombuffer(b, np.uint8).reshape(-1, 5)[mine].tobytes(),
+                                        df[first:first + n][mine].tobytes())):
+                    col.append(v)
+            first += n
+        return pa.table([table.column("part").take(pa.array(out[0], pa.int64())), table.column("chunk").take(pa.array(out[0], pa.int64()))]
+                        + [pa.array(c, pa.binary()) for c in out[1:]], ["part", "chunk", "a", "b", "c"])
     return run
 
 
 def _postings(n_parts):
-    """Nodes with a possible partner: their shared shingles, and those of the prefix."""
+    """A chunk's nodes with a possible partner: their shared shingles, and those of the prefix."""
     def run(table: pa.Table) -> pa.Table:
-        raw = {c: b"".join(table.column(c).to_pylist()) for c in ("keys", "sizes", "counts", "tokens", "dfs")}
-        keys, tok = np.frombuffer(raw["keys"], np.int64), np.frombuffer(raw["tokens"], np.int64)
-        sizes, counts, df = (np.frombuffer(raw[c], np.uint32).astype(np.int64) for c in ("sizes", "counts", "dfs"))
-        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        node = np.repeat(at, counts)
+        node, tok, df = [], [], []
+        keys = sizes = np.zeros(0, np.int64)
+        for part, a, b, c in zip(*(table.column(x).to_pylist() for x in ("part", "a", "b", "c"))):
+            if part >= n_parts:
+                keys, sizes, hot = np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32).astype(np.int64), len(c) // 6
+                node.append(np.frombuffer(c[:2 * hot], np.uint16))
+                tok.append(np.frombuffer(c[2 * hot:], np.uint32).astype(np.int64) + (np.int64(n_parts) << 40))
+                df.append(np.full(hot, 255, np.uint8))
+            else:
+                node.append(np.frombuffer(a, np.uint16))
+                tok.append(_wide(b) + (np.int64(part) << 40))
+                df.append(np.frombuffer(c, np.uint8))
+        node, tok, df = (np.concatenate(x) for x in (node, tok, df))
         order = np.lexsort((tok, df, tok >= np.int64(n_parts) << 40, node))
         tok, node = tok[order], node[order]
         cut = np.searchsorted(node, np.arange(len(keys) + 1))
         out = [[], [], [], [], []]
-        for i, (key, n) in enumerate(zip(keys.tolist(), sizes[first].tolist())):
+        for i, (key, n) in enumerate(zip(keys.tolist(), sizes.tolist())):
             mine = tok[cut[i]:cut[i + 1]]
             take = prefix_length(n) - (n - len(mine))
             if take > 0:
@@ -351,7 +334,11 @@ def _blocked(postings: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
+    """(doc_id, n_shingles, component_id) for every row of (doc_id, text).
+
+    ``docs`` is read twice and, if an executor is lost, in part again: pass a
+    stored table, whose rows come in the same order each time.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = text_rows(docs)
@@ -361,16 +348,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nodes_n, n_parts = total["nodes"], max(parts(spark), math.ceil((total["n"] or 0) / PART))
     hot = (summary.filter("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("key").alias("df"))
            .filter(F.col("df") >= max(256, nodes_n // COMMON)).toPandas())
-    token = hot.token.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    common = spark.sparkContext.broadcast(token[order])
-    common_df = spark.sparkContext.broadcast(hot.df.to_numpy(np.int64)[order])
-    dealt = rows.mapInArrow(_dealt(common, n_parts), "part long, keys binary, sizes binary, counts binary, tokens binary")
-    answers = dealt.groupBy("part").applyInArrow(
-        _shared(common_df, n_parts), "home long, keys binary, sizes binary, counts binary, tokens binary, dfs binary")
-    nodes = staged(answers.groupBy("home").applyInArrow(
-        _postings(n_parts), "key long, n long, tokens binary, prefix array<long>, point binary"), "nodes")
-    links = node_links(nodes)
+    common = spark.sparkContext.broadcast(np.sort(hot.token.to_numpy(np.int64).view(np.uint64)))
+    kind = "part long, chunk long, a binary, b binary, c binary"
+    answers = (rows.mapInArrow(_dealt(common, n_parts), kind).groupBy("part").applyInArrow(_shared(n_parts), kind))
+    nodes = (answers.groupBy("chunk").applyInArrow(
+        _postings(n_parts), "key long, n long, tokens binary, prefix array<long>, point binary"))
+    links = node_links(staged(nodes.dropDuplicates(["key"]), "nodes"))  # equal sets of several chunks
     return _labelled(members, links)
 
 
@@ -385,12 +368,15 @@ def node_links(nodes: DataFrame) -> DataFrame:
     """
     few = max(1, parts(nodes.sparkSession) // 8)
     roots = nodes.select("key", F.col("key").alias("root"))
+    share = F.length("tokens") / (8 * F.col("n"))
+    posted = nodes.select("key", share.alias("share"), F.explode("prefix").alias("token"))
+    opened = None
     for turn in range(STAR_ROUNDS):
-        posted = _posted(nodes, roots)
+        named = posted.join(roots, "key") if turn else posted.withColumn("root", F.col("key"))
         first = F.struct("share", "key") if turn == 0 else F.struct(F.xxhash64("key", F.lit(turn)), "key")
-        pivot = (posted.groupBy("token").agg(F.max_by(F.struct("key", "root"), first).alias("p"), F.min("root").alias("r0"),
-                                             F.max("root").alias("r1")).filter("r0 <> r1").select("token", "p"))
-        votes = (posted.join(pivot, "token").filter("root <> p.root")
+        pivot = (named.groupBy("token").agg(F.max_by(F.struct("key", "root"), first).alias("p"), F.min("root").alias("r0"),
+                                            F.max("root").alias("r1")).filter("r0 <> r1").select("token", "p"))
+        votes = (named.join(pivot, "token").filter("root <> p.root")
                  .groupBy("key", "root", "p").agg(F.count(F.lit(1)).alias("votes")))
         star = (votes.groupBy("key", "root").agg(F.max_by("p", F.struct("votes", "p")).alias("p"))
                 .select(F.col("key").alias("a"), F.col("p.key").alias("b"), F.col("root").alias("ra"), F.col("p.root").alias("rb")))
@@ -399,9 +385,12 @@ def node_links(nodes: DataFrame) -> DataFrame:
         if links.isEmpty():
             break
         roots = _merged(roots, links)
+        if opened is None:
+            posted = opened = _open(nodes, roots, share)
     bucket = F.pmod(F.xxhash64("token", "cell"), F.lit(4 * parts(nodes.sparkSession)))
-    posted = _posted(nodes, roots, "n", "point")
-    pairs = (_blocked(posted).withColumn("bucket", bucket).groupBy("bucket")
+    opened = _open(nodes, roots, share) if opened is None else opened
+    named = opened.join(roots, "key").join(nodes.select("key", "n", "point"), "key")
+    pairs = (_blocked(named).withColumn("bucket", bucket).groupBy("bucket")
              .applyInArrow(_tree_pairs, "a long, b long, ra long, rb long").distinct())
     pairs = staged(pairs.coalesce(few), "pairs")
     links = staged(verified(pairs, nodes).coalesce(few), "links")
@@ -409,11 +398,11 @@ def node_links(nodes: DataFrame) -> DataFrame:
     return roots.select(F.col("key").alias("node"), "root")
 
 
-def _posted(nodes: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
-    """A row per node and prefix shingle, with the node's component."""
-    share = F.length("tokens") / (8 * F.col("n"))
-    return (nodes.select("key", share.alias("share"), "prefix", *more).join(roots, "key")
-            .select("key", "root", "share", *more, F.explode("prefix").alias("token")))
+def _open(nodes: DataFrame, roots: DataFrame, share) -> DataFrame:
+    """The postings whose members are still in several components."""
+    posted = nodes.join(roots, "key").select("key", "root", share.alias("share"), F.explode("prefix").alias("token"))
+    tokens = posted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
+    return staged(posted.join(staged(tokens, "tokens"), "token").select("key", "share", "token"), "postings")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
