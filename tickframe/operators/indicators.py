@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.operators.ranking import top_n_per_key
-from tickframe.operators.series import (BY, CORE, N, RN, TS, ewm, finish, full_rows, lag, lead, prepare, rows, running,
+from tickframe.operators.series import (BY, N, RN, TS, ewm, finish, full_rows, lag, lead, prepare, rows, running,
                                         running_all, series_op)
 
 
