@@ -11,7 +11,8 @@ Queries are sent to the first-half lists with the visited second halves as 64
 bits.  Lists are split into blocks of rows and queries, so no task holds a
 long list; copies of one vector are scored once per block.  Zero vectors take
 no part.  For vectors without any cluster structure (as in the test tables)
-recall grows slowly with the visited share; 0.4 measures 0.94 and more.
+recall grows slowly with the visited share: at 0.5 it is 0.92
+to 0.98 at all given sizes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from tickframe.llm.vectors import BLOCK_QUERIES, BLOCK_ROWS, Distinct, clean, ha
 #: Bound of the sample that the centroids are fitted on.
 MAX_SAMPLE = 20_000
 CENTROIDS = 64
-SHARE = 0.4
+SHARE = 0.5
 _TURNS = 12
 _NEAR = 1e-9
 
