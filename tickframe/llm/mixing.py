@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.llm import words
-from tickframe.llm.common import slices, small_batches, staged
+from tickframe.llm.common import lean, slices, small_batches, staged
 
 MAX_REPEATS = 2.0
 #: Tokens of a block, and the largest number of blocks of a source.
@@ -54,7 +54,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, source, tokens): white-space separated words of every whole text."""
     small_batches(docs.sparkSession)
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
-            .mapInArrow(_counts, "doc_id long, source string, tokens long"))
+            .mapInArrow(lean(_counts), "doc_id long, source string, tokens long"))
 
 
 def _refine(shares: DataFrame, accept) -> float:

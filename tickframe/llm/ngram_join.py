@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm import words
-from tickframe.llm.common import parts, slices, small_batches, staged, text_rows
+from tickframe.llm.common import lean, lean_group, parts, slices, small_batches, staged, text_rows
 from tickframe.llm.components import components
 
 SIZE = 5
@@ -46,8 +46,8 @@ NUM, DEN = 75, 100
 #: Coordinates of a node's point.
 GROUPS = 64
 #: Shingles gathered by a task before it sends them; shingles per part.
-FLUSH = 1_000_000
-PART = 1_500_000
+FLUSH = 700_000
+PART = 1_000_000
 #: A shingle in this share of all nodes is common.
 COMMON = 64
 #: Nodes of a chunk are numbered with 16 bits.
@@ -234,7 +234,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b, ra, rb) whose points do not rule a link out."""
     side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
     return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb", "pa", "pb")
-            .mapInArrow(_bounded, "a long, b long, ra long, rb long"))
+            .mapInArrow(lean(_bounded), "a long, b long, ra long, rb long"))
 
 
 def _verify(batches):
@@ -252,7 +252,7 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The components (ra, rb) of the pairs of node keys (a, b) that link."""
     side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
-            .select("ra", "rb", "na", "nb", "ta", "tb").mapInArrow(_verify, "ra long, rb long"))
+            .select("ra", "rb", "na", "nb", "ta", "tb").mapInArrow(lean(_verify), "ra long, rb long"))
 
 
 class CountTree:
@@ -342,7 +342,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = text_rows(docs)
-    summary = staged(rows.mapInArrow(_summaries, "kind int, doc_id long, key long, n long"), "sets")
+    summary = staged(rows.mapInArrow(lean(_summaries), "kind int, doc_id long, key long, n long"), "sets")
     members = summary.filter("kind = 0").select("doc_id", "key", "n")
     total = members.agg(F.count("key").alias("nodes"), F.sum("n").alias("n")).first()
     nodes_n, n_parts = total["nodes"], max(parts(spark), math.ceil((total["n"] or 0) / PART))
@@ -350,9 +350,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
            .filter(F.col("df") >= max(256, nodes_n // COMMON)).toPandas())
     common = spark.sparkContext.broadcast(np.sort(hot.token.to_numpy(np.int64).view(np.uint64)))
     kind = "part long, chunk long, a binary, b binary, c binary"
-    answers = (rows.mapInArrow(_dealt(common, n_parts), kind).groupBy("part").applyInArrow(_shared(n_parts), kind))
+    answers = (rows.mapInArrow(lean(_dealt(common, n_parts)), kind).groupBy("part").applyInArrow(lean_group(_shared(n_parts)), kind))
     nodes = (answers.groupBy("chunk").applyInArrow(
-        _postings(n_parts), "key long, n long, tokens binary, prefix array<long>, point binary"))
+        lean_group(_postings(n_parts)), "key long, n long, tokens binary, prefix array<long>, point binary"))
     links = node_links(staged(nodes.dropDuplicates(["key"]), "nodes"))  # equal sets of several chunks
     return _labelled(members, links)
 
@@ -391,7 +391,7 @@ def node_links(nodes: DataFrame) -> DataFrame:
     opened = _open(nodes, roots, share) if opened is None else opened
     named = opened.join(roots, "key").join(nodes.select("key", "n", "point"), "key")
     pairs = (_blocked(named).withColumn("bucket", bucket).groupBy("bucket")
-             .applyInArrow(_tree_pairs, "a long, b long, ra long, rb long").distinct())
+             .applyInArrow(lean_group(_tree_pairs), "a long, b long, ra long, rb long").distinct())
     pairs = staged(pairs.coalesce(few), "pairs")
     links = staged(verified(pairs, nodes).coalesce(few), "links")
     roots = roots if links.isEmpty() else _merged(roots, links)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import parts, slices, small_batches, staged, text_rows
+from tickframe.llm.common import lean, parts, slices, small_batches, staged, text_rows
 
 CAPACITY = 2048
 END_ID = 0
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, *, tokenizer: str = TOKENIZER, capacity: int = CAPAC
     """(doc_id, piece, start, length, ids_crc32 and, if wanted, ids as little-endian bytes)."""
     small_batches(docs.sparkSession, 256)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return text_rows(docs).mapInArrow(_pieces(tokenizer, capacity, end_id, keep_ids), schema)
+    return text_rows(docs).mapInArrow(lean(_pieces(tokenizer, capacity, end_id, keep_ids)), schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -188,7 +188,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
               .withColumn("_rank", (F.col("_before") + F.row_number().over(within) - 1).cast("long"))
               .select(*found.columns, "_rank"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
-    return ranked.mapInArrow(_placed(table), f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_placed(table)), f"{schema}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, *, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID,

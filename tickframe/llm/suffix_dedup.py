@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.llm import words
-from tickframe.llm.common import parts, slices, small_batches, text_rows
+from tickframe.llm.common import lean, lean_group, parts, slices, small_batches, text_rows
 
 MIN_WORDS, GRAM = 50, 26
 #: Words gathered by a task before it compares and sends them; words per part.
@@ -191,8 +191,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = text_rows(docs).filter("doc_id is not null")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n_parts = max(parts(spark), math.ceil(size / 6 / PART))
-    found = (rows.mapInArrow(_suffixes(n_parts), "part long, docs binary, seeds binary, starts binary, counts binary, windows binary")
-             .groupBy("part").applyInArrow(_compared(n_parts), "doc_id long, start long, end long"))
+    found = (rows.mapInArrow(lean(_suffixes(n_parts)), "part long, docs binary, seeds binary, starts binary, counts binary, windows binary")
+             .groupBy("part").applyInArrow(lean_group(_compared(n_parts)), "doc_id long, start long, end long"))
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.coalesce(F.col("start") > F.col("reach"), F.lit(True)), 1).otherwise(0)

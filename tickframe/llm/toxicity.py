@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm import words
-from tickframe.llm.common import held_out, slices, small_batches
+from tickframe.llm.common import lean, held_out, slices, small_batches
 
 #: Bound of the labelled sample that the model is fitted on.
 MAX_TRAIN_ROWS = 40_000
@@ -226,21 +226,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_TRAIN_ROWS) -
     small_batches(spark)
     rows = training_rows(docs, labels, max_rows)
     train, calib = rows.filter(~F.col("calibrate")).drop("calibrate"), rows.filter("calibrate").drop("calibrate")
-    counts = (train.mapInArrow(_count_tokens, "bucket long, clean long, toxic long")
+    counts = (train.mapInArrow(lean(_count_tokens), "bucket long, clean long, toxic long")
               .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas())
     clean, toxic = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
     clean[counts.bucket], toxic[counts.bucket] = counts.clean, counts.toxic
     weights = log_odds(clean, toxic).astype(np.float32)
-    hist = (calib.filter("toxic = 0").mapInArrow(_histogram(spark.sparkContext.broadcast(weights)), "bin long, n long")
+    hist = (calib.filter("toxic = 0").mapInArrow(lean(_histogram(spark.sparkContext.broadcast(weights))), "bin long, n long")
             .groupBy("bin").agg(F.sum("n").alias("n")).toPandas())
     lam = solve_lambda(hist.bin.to_numpy() * _STEP, hist.n.to_numpy() / max(hist.n.sum(), 1))
     draft = ToxicityModel(weights, lam, 0.0, 1.0, 0.0, 1.0)
-    cells = calib.mapInArrow(_calibrate(spark.sparkContext.broadcast(vars(draft))), "toxic int, best double, bin int")
+    cells = calib.mapInArrow(lean(_calibrate(spark.sparkContext.broadcast(vars(draft)))), "toxic int, best double, bin int")
     m = cells.filter("toxic = 0").agg(F.avg("best").alias("m"), F.stddev_samp("best").alias("s")).first()
     scale = max((m["s"] or 1.0) * math.sqrt(6) / math.pi, 1e-3)
     location = (m["m"] or 0.0) - np.euler_gamma * scale
     draft = ToxicityModel(weights, lam, float(location), float(scale), 0.0, 1.0)
-    bins = (calib.mapInArrow(_calibrate(spark.sparkContext.broadcast(vars(draft))), "toxic int, best double, bin int")
+    bins = (calib.mapInArrow(lean(_calibrate(spark.sparkContext.broadcast(vars(draft)))), "toxic int, best double, bin int")
             .groupBy("bin").agg(F.sum("toxic").alias("y"), F.count(F.lit(1)).alias("n")).toPandas())
     y, n = bins.y.to_numpy(float), bins.n.to_numpy(float)
     if not 0 < y.sum() < n.sum():
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     small_batches(spark)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, score double, passages {PASSAGES}"
-    return rows.mapInArrow(_score(spark.sparkContext.broadcast(vars(model))), schema)
+    return rows.mapInArrow(lean(_score(spark.sparkContext.broadcast(vars(model)))), schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
