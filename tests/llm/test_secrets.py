@@ -4,6 +4,8 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import urllib.parse
 import zlib
@@ -91,3 +93,36 @@ def test_odd_rows_and_redaction(spark):
     assert out[2] == out[3] == {"doc_id": 3, "text": "é [SECRET], [SECRET]", "spans": "y", "n_chars": 20}
     assert out[5]["text"] == "[SECRET]"
     assert S.secrets(docs.limit(0)).count() == 0
+
+
+PACKS = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress,
+         "zstd": zstandard.ZstdCompressor().compress}
+
+
+@pytest.mark.parametrize("name", PACKS)
+def test_packed_data_at_any_offset(name):
+    b = PACKS[name](b"key " + base64.b64encode(b"... " + SECRET.encode()))
+    for coded in ("path/to/" + base64.b64encode(b).decode(), "data-" + base64.urlsafe_b64encode(b).decode(),
+                  urllib.parse.quote(b), "".join(f"\\x{x:02x}" for x in b), "".join(f"%{x:02x}" for x in b),
+                  base64.b64encode(PACKS[name](b"a first member") + b).decode(),
+                  base64.b64encode(gzip.compress(b"head " + b + b" tail")).decode()):
+        text = f"some é text ({coded}) and more"
+        _, found, _ = S.find(text)
+        at = text.index(coded)
+        hits = [f for f in found if f[0] == "assign"]
+        assert hits and all(at <= s < e <= at + len(coded) for _, s, e, *_ in hits), (coded, found)
+
+
+def test_a_run_that_a_window_cuts_is_carried(monkeypatch):
+    monkeypatch.setattr(S, "WINDOW", 4096)
+    monkeypatch.setattr(S, "OVERLAP", 256)
+    noise = random.Random(1).randbytes(9000)
+    inner = gzip.compress(noise + b" " + SECRET.encode())
+    for coded in (base64.b64encode(inner), urllib.parse.quote(inner).encode(), inner):
+        _, found, _ = S.find(base64.b64encode(gzip.compress(b"words " * 500 + coded + b" more words" * 500)).decode())
+        assert any(f[0] == "assign" for f in found)
+
+
+def test_a_stream_that_unpacks_to_itself_ends(monkeypatch):
+    monkeypatch.setattr(S, "decompressed", lambda data: [(0, len(data), data)])
+    assert S.find(base64.b64encode(gzip.compress(b"x" * 99)).decode())[2] < 9

@@ -3,13 +3,16 @@
 The whole text is the first layer.  A layer is scanned for the three kinds of
 secrets, then unwrapped: URL escapes, Unicode escapes (backslash, HTML and
 full-width forms), base64 runs (all four alignments, line-wrapped runs,
-UTF-16 content) and compressed data inside them (zlib, gzip, bzip2, xz, zstd).
+UTF-16 content) and compressed data at any place in their bytes (zlib, gzip,
+bzip2, xz, zstd; adjoining members are one stream).
 Every new layer joins the worklist unless its text was seen before, so cycles
 end.  Each character of a layer knows the span of the original text that it
 came from; a finding is reported as that span.
 
 A decompressed layer is read in windows of ``WINDOW`` characters that overlap
-by ``OVERLAP``, so memory stays bounded and nothing is skipped.  Null text
+by ``OVERLAP``; an encoded run or a compressed member that a window cuts off is
+carried whole into the next one, up to ``LONGEST`` bytes, so memory stays
+bounded.  Null text
 counts as empty; empty texts and tables give no finding; repeated rows give
 repeated results; other columns are kept as they are.
 """
@@ -19,10 +22,10 @@ from __future__ import annotations
 import binascii
 import bz2
 import hashlib
-import io
 import lzma
 import re
 import zlib
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +43,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 
+ESCAPE = re.compile(rb"%[0-9A-Fa-f]{2}")
 ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
                      r"|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|([\uff01-\uff5e])")
 #: The shortest secret ("token:" and 8 characters) has 14 bytes, 19 in base64.
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{19,}={0,2}")
-PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{14}")
+#: Bytes that a secret could be in.
+KEEP = re.compile(rb"[\t\n\r\x20-\x7e]{14}")
 WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){14,}")
 URL_SAFE = str.maketrans("-_", "+/")
-WINDOW, OVERLAP = 8 << 20, 1 << 16
+#: Starts of gzip, zlib, bzip2, xz and zstd members; the same as characters.
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+LATIN = re.compile(MAGIC.pattern.decode("latin-1"))
+BELOW_256 = re.compile("[\x00-\xff]+")
+#: Bytes read at a time (little comes out of so few at once), and the bytes of encoded runs.
+PIECE = 512
+RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=%.~-\\{}&#;\r\n"
+#: A window of unpacked data, its overlap, and the longest run carried into the next one.
+WINDOW, OVERLAP, LONGEST = 8 << 20, 1 << 16, 64 << 20
 
 #: What a batch is searched for first (RE2, one pass over the whole batch each).
 HINTS = {
@@ -71,11 +84,25 @@ def scan(text: str, hints=frozenset(HINTS)) -> list[tuple[str, int, int]]:
     return got
 
 
+def flat(place) -> bool:
+    """One place for all characters, held once."""
+    return place.strides == (0,) and len(place) > 0
+
+
+def pick(place, index):
+    return np.broadcast_to(place[:1], len(index)) if flat(place) else place[index]
+
+
 class Layer:
-    """A text whose character i came from [first[i], last[i]) of the original."""
+    """A text whose character i came from [first[i], last[i]) of the original;
+    ``data`` are the bytes that it was decoded from, with their places."""
 
-    def __init__(self, text: str, first, last, via: tuple = ()):
-        self.text, self.first, self.last, self.via = text, first, last, via
+    def __init__(self, text: str, first, last, via: tuple = (), data: tuple = ()):
+        self.text, self.first, self.last, self.via, self.data = text, first, last, via, data
+
+    @classmethod
+    def of(cls, data: bytes, first, last, via: tuple) -> Layer:
+        return cls(*_text(data, first, last), via, (data, first, last))
 
     @classmethod
     def root(cls, text: str) -> Layer:
@@ -96,64 +123,141 @@ class Layer:
                 first[-1] += int(self.first[start])
                 last[-1] += int(self.last[end - 1])
             at = end
-        return Layer("".join([*text, self.text[at:]]), np.concatenate([*first, self.first[at:]]),
+        whole = "".join([*text, self.text[at:]])
+        if flat(self.first):
+            return Layer(whole, *(np.broadcast_to(x[:1], len(whole)) for x in (self.first, self.last)), (*self.via, via))
+        return Layer(whole, np.concatenate([*first, self.first[at:]]),
                      np.concatenate([*last, self.last[at:]]), (*self.via, via))
 
 
-def decompressed(data: bytes):
-    """Windows of the unpacked data, or nothing if it isn't compressed."""
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda")):
-        unpack = zlib.decompressobj(wbits=47)
-        step = lambda held: (unpack.decompress(held, WINDOW), unpack.unconsumed_tail)
-    elif data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00":
-        unpack = bz2.BZ2Decompressor() if data[:3] == b"BZh" else lzma.LZMADecompressor()
-        step = lambda held: (unpack.decompress(held, WINDOW), None if unpack.eof else b"")
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data))
-        step = lambda _: (reader.read(WINDOW), b"")
-    else:
-        return
-    held, tail = data, b""
-    try:
-        while True:
-            new, held = step(held)
-            if not new:
-                return
-            yield tail + new
-            tail = new[-OVERLAP:]
-            if held is None:
-                return
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return
+def _stream(data: bytes, start: int, ends: list):
+    """Output of the adjoining compressed members from ``start`` on; ``ends``
+    gets (end, state) of each: done, cut off by the end of the data, or bad."""
+    at, kind = start, data[start]
+    while MAGIC.match(data, at):
+        if data[at] in (0x1F, 0x78):
+            unpack, bound = zlib.decompressobj(wbits=47), ()
+        elif data[at] == 0x28:
+            unpack, bound = zstandard.ZstdDecompressor().decompressobj(), ()
+        else:
+            unpack, bound = (bz2.BZ2Decompressor() if data[at] == 0x42 else lzma.LZMADecompressor()), (WINDOW,)
+        if at > start and data[at] != kind:
+            return
+        some, stop = False, at
+        try:
+            while stop < len(data) and not unpack.eof:
+                piece = data[stop:stop + PIECE]
+                stop += len(piece)
+                while out := unpack.decompress(piece, *bound):
+                    some = True
+                    yield out
+                    piece = b""
+                    if not bound or unpack.eof:
+                        break
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            if some:
+                ends.append((stop, "bad"))
+            return
+        if not unpack.eof:
+            ends.append((stop, "cut"))
+            return
+        at = stop - len(unpack.unused_data)
+        ends.append((at, "done"))
+
+
+def _carried(window: bytes) -> int:
+    """Where the next window starts: the overlap, and before it an encoded run
+    or a compressed member that reaches the end of this window."""
+    at = min(len(window) - OVERLAP, len(window.rstrip(RUN)))
+    for m in MAGIC.finditer(window, 0, max(at, 0)):
+        ends = []
+        for _ in _stream(window, m.start(), ends):
+            pass
+        if ends and ends[-1][1] == "cut":
+            at = m.start()
+            break
+    return max(at if len(window) - at <= LONGEST else len(window) - OVERLAP, 0)
+
+
+def _windows(pieces):
+    held, size = [], 0
+    for out in pieces:
+        held.append(out)
+        size += len(out)
+        if size >= WINDOW:
+            window = b"".join(held)
+            yield window
+            tail = window[_carried(window):]
+            held, size = [tail], 0
+    if size:
+        yield b"".join(held)
 
 
-def _byte_layers(layer: Layer, data: bytes, first, last, via: str):
-    """Layers of decoded bytes: unpacked, UTF-16, or as they are."""
-    packed = False
-    for window in decompressed(data):
-        packed = True
+def decompressed(data: bytes):
+    """(start, end, window) of everything packed in the data, at any offset."""
+    at = 0
+    while m := MAGIC.search(data, at):
+        start, ends, held, size = m.start(), [], [], 0
+        for out in _stream(data, start, ends):
+            size += len(out)
+            if size <= WINDOW:
+                held.append(out)
+        at = start + 1
+        if size:
+            for window in _windows(held if size <= WINDOW else _stream(data, start, [])):
+                yield start, ends[-1][0], window
+        done = [e for e, state in ends if state == "done"]
+        if done:
+            at = done[-1]
+
+
+def _text(data: bytes, first, last):
+    return data.decode("latin-1"), first, last
+
+
+def _unpacked(data: bytes, first, last, via: tuple):
+    for start, end, window in decompressed(data):
         n = len(window)
-        yield Layer(window.decode("latin-1"), np.broadcast_to(np.int64(first.min()), n),
-                    np.broadcast_to(np.int64(last.max()), n), (*layer.via, via, "compressed"))
-    if packed:
-        return
-    for m in WIDE.finditer(data):
-        yield Layer(data[m.start():m.end():2].decode("latin-1"), first[m.start():m.end():2],
-                    last[m.start():m.end():2], (*layer.via, via, "utf16"))
-    if PRINTABLE.search(data):
-        yield Layer(data.decode("latin-1"), first, last, (*layer.via, via))
+        yield Layer.of(window, np.broadcast_to(np.int64(first[start:end].min()), n),
+                       np.broadcast_to(np.int64(last[start:end].max()), n), (*via, "compressed"))
+
+
+def _bytes(layer: Layer):
+    """What is packed in a decoded layer's bytes, or in its characters below 256 taken as bytes."""
+    if layer.data:
+        data, first, last = layer.data
+        yield from _unpacked(data, first, last, layer.via)
+        for m in WIDE.finditer(data):
+            yield Layer(data[m.start():m.end():2].decode("latin-1"), first[m.start():m.end():2],
+                        last[m.start():m.end():2], (*layer.via, "utf16"))
+        if len(data) == len(layer.text):
+            return
+    if LATIN.search(layer.text):
+        for m in BELOW_256.finditer(layer.text):
+            if LATIN.search(m[0]):
+                at = slice(*m.span())
+                yield Layer.of(m[0].encode("latin-1"), layer.first[at], layer.last[at], (*layer.via, "bytes"))
 
 
 def _url(layer: Layer):
-    pieces, packed = [], []
+    raw = layer.text.encode("utf-8", "surrogatepass")
+    starts = np.fromiter((m.start() for m in ESCAPE.finditer(raw)), np.int64)
+    if not len(starts):
+        return
+    code = np.frombuffer(layer.text.encode("utf-32-le", "surrogatepass"), "<u4")
+    char = np.repeat(np.arange(len(code)), 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+    low, high = char, char.copy()
+    high[starts] += 2
+    keep = np.ones(len(raw), bool)
+    keep[starts + 1] = keep[starts + 2] = False
+    data = unquote_to_bytes(raw)
+    yield Layer.of(data, pick(layer.first, low[keep]), pick(layer.last, high[keep]), (*layer.via, "url"))
+    # A run of escapes alone: a member that is cut off there must not go on with the text behind it.
     for m in ESCAPED.finditer(layer.text):
         data = binascii.unhexlify(m[0].replace("%", ""))
-        pieces += [(m.start() + 3 * i, m.start() + 3 * i + 3, chr(b)) for i, b in enumerate(data)]
-        if data[:1] in (b"\x1f", b"\x78", b"B", b"\xfd", b"\x28"):
+        if MAGIC.match(data):
             place = m.start() + 3 * np.arange(len(data))
-            packed += [x for x in _byte_layers(layer, data, layer.first[place], layer.last[place + 2], "url")
-                       if x.via[-1] == "compressed"]
-    return ([layer.replaced(pieces, "url")] if pieces else []) + packed
+            yield from _unpacked(data, pick(layer.first, place), pick(layer.last, place + 2), (*layer.via, "url"))
 
 
 def _unicode(layer: Layer):
@@ -171,25 +275,34 @@ def _base64(layer: Layer):
         run = m[0].rstrip("=").translate(URL_SAFE)
         place = None
         if "\n" in run:
-            place = np.array([i for i, c in enumerate(run) if c not in "\r\n"])
+            place = None if flat(layer.first) else np.array([i for i, c in enumerate(run) if c not in "\r\n"])
             run = run.replace("\r", "").replace("\n", "")
         for skip in range(4):
             part = run[skip:]
             part = part[:-1] if len(part) % 4 == 1 else part
             data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
-            if not PRINTABLE.search(data) and not WIDE.search(data) and next(decompressed(data), None) is None:
+            if not KEEP.search(data) and not WIDE.search(data) and not MAGIC.search(data):
                 continue
-            byte = np.arange(len(data))
-            low, high = skip + byte * 4 // 3, np.minimum(skip + (byte * 4 + 7) // 3 - 1, len(run) - 1)
-            if place is not None:
-                low, high = place[low], place[high]
-            high[-1] = len(m[0]) - 1
-            yield from _byte_layers(layer, data, layer.first[m.start() + low], layer.last[m.start() + high], "base64")
+            if flat(layer.first):
+                first, last = (np.broadcast_to(x[:1], len(data)) for x in (layer.first, layer.last))
+            else:
+                byte = np.arange(len(data))
+                low, high = skip + byte * 4 // 3, np.minimum(skip + (byte * 4 + 7) // 3 - 1, len(run) - 1)
+                if place is not None:
+                    low, high = place[low], place[high]
+                high[-1] = len(m[0]) - 1
+                first, last = layer.first[m.start() + low], layer.last[m.start() + high]
+            yield Layer.of(data, first, last, (*layer.via, "base64"))
 
 
 UNWRAP = {"url": _url, "unicode": _unicode, "base64": _base64}
 
 
+def _unwrapped(layer: Layer):
+    for unwrap in (*UNWRAP.values(), _bytes):
+        yield from unwrap(layer)
+
+
 def find(text: str, hints=frozenset(HINTS)):
     """(base findings, all findings as (kind, start, end, depth, via), layers unwrapped)."""
     base = scan(text, hints)
@@ -198,12 +311,14 @@ def find(text: str, hints=frozenset(HINTS)):
     work = []
     if hints & UNWRAP.keys():
         root = Layer.root(text)
-        for name in UNWRAP.keys() & hints:
-            work += UNWRAP[name](root)
+        work = [iter(UNWRAP[name](root)) for name in UNWRAP.keys() & hints]
     layers = 0
     while work:
-        layer = work.pop()
-        mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16,
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        mark = hashlib.blake2b(layer.data[0] if layer.data else layer.text.encode("utf-8", "surrogatepass"), digest_size=16,
                                key=repr((layer.first[:1], layer.last[-1:])).encode()[:64]).digest()
         if mark in seen or not layer.text:
             continue
@@ -213,8 +328,7 @@ def find(text: str, hints=frozenset(HINTS)):
             span = (kind, *layer.span(s, e))
             rank = (len(layer.via), ">".join(layer.via))
             found[span] = min(found.get(span, rank), rank)
-        for unwrap in UNWRAP.values():
-            work += unwrap(layer)
+        work.append(_unwrapped(layer))
     order = sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))
     return base, [(*span, *how) for span, how in order], layers
 
