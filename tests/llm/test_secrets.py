@@ -124,5 +124,64 @@ def test_a_run_that_a_window_cuts_is_carried(monkeypatch):
 
 
 def test_a_stream_that_unpacks_to_itself_ends(monkeypatch):
-    monkeypatch.setattr(S, "decompressed", lambda data: [(0, len(data), data)])
+    monkeypatch.setattr(S, "decompressed", lambda data, *_: [(0, len(data), data)])
     assert S.find(base64.b64encode(gzip.compress(b"x" * 99)).decode())[2] < 9
+
+
+def fullwidth(text):
+    return "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in text)
+
+
+def escaped(data):
+    return "".join(f"\\x{x:02x}" for x in data)
+
+
+#: From text to text; all but the first four by way of bytes.
+KINDS = {
+    "fullwidth": fullwidth, "html": lambda t: "".join(f"&#{ord(c)};" for c in t),
+    "u4": lambda t: "".join(f"\\u{ord(c):04x}" for c in t), "x": lambda t: escaped(t.encode()),
+    "url": lambda t: "".join(f"%{x:02X}" for x in t.encode()), "quote": lambda t: urllib.parse.quote(t, safe=""),
+    "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "le": lambda t: base64.b64encode(t.encode("utf-16-le")).decode(),
+    "be": lambda t: base64.b64encode(t.encode("utf-16-be")).decode(),
+    "url_be": lambda t: urllib.parse.quote(t.encode("utf-16-be")),
+    "x_le": lambda t: escaped(t.encode("utf-16-le")),
+    "gzip": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+    "url_zlib": lambda t: urllib.parse.quote(zlib.compress(t.encode())),
+    "x_bz2": lambda t: escaped(bz2.compress(t.encode())),
+    "js_zstd": lambda t: urllib.parse.quote(zstandard.ZstdCompressor().compress(t.encode()).decode("latin-1")),
+    "u_xz": lambda t: "".join(f"\\u{x:04x}" for x in lzma.compress(t.encode())),
+}
+
+
+@pytest.mark.parametrize("outer", KINDS)
+@pytest.mark.parametrize("inner", KINDS)
+def test_every_pair_of_layer_kinds(inner, outer):
+    coded = KINDS[outer](KINDS[inner](SECRET))
+    text = f"some é text ({coded}) and more"
+    _, found, _ = S.find(text)
+    at = text.index(coded)
+    spans = [(s, e) for k, s, e, *_ in found if k == "assign"]
+    assert any(at <= s < e <= at + len(coded) for s, e in spans), (coded, found)
+
+
+@pytest.mark.parametrize("code", ["utf-16-le", "utf-16-be"])
+@pytest.mark.parametrize("secret", ["token=abcdefgh", SECRET])
+def test_utf16_keeps_all_characters(code, secret):
+    for coded in (base64.b64encode(secret.encode(code)).decode(), "".join(f"%{x:02x}" for x in secret.encode(code))):
+        text = f"({coded})"
+        spans = {(s, e) for k, s, e, *_ in S.find(text)[1] if k == "assign"}
+        assert (1, 1 + len(coded)) in spans and (min(spans)[0], max(e for _, e in spans)) == (1, 1 + len(coded))
+
+
+def test_characters_of_several_bytes_map_to_their_bytes():
+    text = "%C3%A9 %E2%82%AC " + urllib.parse.quote(fullwidth("token=abcdefgh")) + " %FF"
+    assert [f[:3] for f in S.find(text)[1]] == [("assign", 17, 17 + 9 * 14)]
+
+
+@pytest.mark.parametrize("quote", [urllib.parse.quote, escaped, lambda b: "".join(f"%{x:02x}" for x in b)])
+def test_a_member_cut_off_ends_with_its_run(quote):
+    coded = quote(zlib.compress(b"%s " % SECRET.encode() + random.Random(2).randbytes(2000))[:1500])
+    text = f"text ({coded}) and more " + "words " * 500
+    spans = [(s, e) for k, s, e, *_ in S.find(text)[1] if k == "assign"]
+    assert spans and all(6 <= s < e <= 6 + len(coded) for s, e in spans)

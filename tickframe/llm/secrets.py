@@ -2,9 +2,10 @@
 
 The whole text is the first layer.  A layer is scanned for the three kinds of
 secrets, then unwrapped: URL escapes, Unicode escapes (backslash, HTML and
-full-width forms), base64 runs (all four alignments, line-wrapped runs,
-UTF-16 content) and compressed data at any place in their bytes (zlib, gzip,
-bzip2, xz, zstd; adjoining members are one stream).
+full-width forms), base64 runs (all four alignments, line-wrapped runs),
+UTF-16 content and compressed data at any place in their bytes (zlib, gzip,
+bzip2, xz, zstd; adjoining members are one stream).  Decoded bytes are read as
+UTF-8, where they aren't as Latin-1.
 Every new layer joins the worklist unless its text was seen before, so cycles
 end.  Each character of a layer knows the span of the original text that it
 came from; a finding is reported as that span.
@@ -44,18 +45,24 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 
 ESCAPE = re.compile(rb"%[0-9A-Fa-f]{2}")
-ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+QUOTED = re.compile(r"[A-Za-z0-9_.~/+-]*%[0-9A-Fa-f]{2}(?:[A-Za-z0-9_.~/+-]|%[0-9A-Fa-f]{2})*")
+UNIT = re.compile(r"%[0-9A-Fa-f]{2}|.")
 UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
                      r"|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|([\uff01-\uff5e])")
 #: The shortest secret ("token:" and 8 characters) has 14 bytes, 19 in base64.
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{19,}={0,2}")
-#: Bytes that a secret could be in.
-KEEP = re.compile(rb"[\t\n\r\x20-\x7e]{14}")
-WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){14,}")
+#: Bytes that a secret could be in: plain ones, full-width ones in UTF-8, and what LATIN finds in UTF-8.
+KEEP = re.compile(rb"[\t\n\r\x20-\x7e]{14}|\xef(?:\xbc[\x81-\xbf]|\xbd[\x80-\x9e])|\xc3\xaf\xc2[\xbc\xbd]"
+                  rb"|\x1f\xc2\x8b|x(?:[\x01\x5e]|\xc2\x9c|\xc3\x9a)|BZh|\xc3\xbd7zXZ|\(\xc2\xb5/\xc3\xbd")
+#: UTF-16 of printable or full-width characters.
+WIDE = ((re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00|[\x01-\x5e]\xff){14,}"), "utf-16-le"),
+        (re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]|\xff[\x01-\x5e]){14,}"), "utf-16-be"))
 URL_SAFE = str.maketrans("-_", "+/")
-#: Starts of gzip, zlib, bzip2, xz and zstd members; the same as characters.
+#: Starts of gzip, zlib, bzip2, xz and zstd members.
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
-LATIN = re.compile(MAGIC.pattern.decode("latin-1"))
+#: The same as characters, UTF-8 of full-width characters and UTF-16.
+LATIN = re.compile(MAGIC.pattern.decode("latin-1") + "|\xef(?:\xbc[\x81-\xbf]|\xbd[\x80-\x9e])"
+                   "|" + "|".join(p.pattern.decode("latin-1") for p, _ in WIDE))
 BELOW_256 = re.compile("[\x00-\xff]+")
 #: Bytes read at a time (little comes out of so few at once), and the bytes of encoded runs.
 PIECE = 512
@@ -193,8 +200,9 @@ def _windows(pieces):
         yield b"".join(held)
 
 
-def decompressed(data: bytes):
-    """(start, end, window) of everything packed in the data, at any offset."""
+def decompressed(data: bytes, partial: bool = True):
+    """(start, end, window) of everything packed in the data, at any offset;
+    without ``partial`` only members that end, as the data goes on with other text."""
     at = 0
     while m := MAGIC.search(data, at):
         start, ends, held, size = m.start(), [], [], 0
@@ -202,21 +210,47 @@ def decompressed(data: bytes):
             size += len(out)
             if size <= WINDOW:
                 held.append(out)
-        at = start + 1
-        if size:
-            for window in _windows(held if size <= WINDOW else _stream(data, start, [])):
-                yield start, ends[-1][0], window
         done = [e for e, state in ends if state == "done"]
-        if done:
-            at = done[-1]
+        at = done[-1] if done else start + 1
+        if size and (partial or done):
+            whole = partial or ends[-1][1] == "done"
+            again = held if whole and size <= WINDOW else _stream(data if whole else data[:at], start, [])
+            for window in _windows(again):
+                yield start, ends[-1][0] if whole else at, window
 
 
 def _text(data: bytes, first, last):
-    return data.decode("latin-1"), first, last
-
-
-def _unpacked(data: bytes, first, last, via: tuple):
-    for start, end, window in decompressed(data):
+    """Bytes as UTF-8 with the places of the characters; bytes that aren't UTF-8 as Latin-1."""
+    if data.isascii():
+        return data.decode("ascii"), first, last
+    text = data.decode("utf-8", "surrogateescape")
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    odd = (code >= 0xDC80) & (code <= 0xDCFF)
+    width = 1 + ((code >= 0x80) & ~odd) + ((code >= 0x800) & ~odd) + (code >= 0x10000)
+    if flat(first):
+        first, last = (np.broadcast_to(x[:1], len(code)) for x in (first, last))
+    else:
+        end = np.cumsum(width)
+        first, last = first[end - width], last[end - 1]
+    if odd.any():
+        text = np.where(odd, code - 0xDC00, code).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return text, first, last
+
+
+def _wide(data: bytes):
+    """(start, end, text) of UTF-16 runs, little and big end first; of two readings
+    of the same run, one byte apart, the one that has all characters."""
+    runs = sorted(((*m.span(), m[0].decode(code)) for p, code in WIDE for m in p.finditer(data)),
+                  key=lambda x: (x[0], -x[1]))
+    kept = (0, 0, "")
+    for run in runs:
+        if run[1] > kept[1] or run[2] not in kept[2]:
+            kept = run
+            yield run
+
+
+def _unpacked(data: bytes, first, last, via: tuple, partial: bool = True):
+    for start, end, window in decompressed(data, partial):
         n = len(window)
         yield Layer.of(window, np.broadcast_to(np.int64(first[start:end].min()), n),
                        np.broadcast_to(np.int64(last[start:end].max()), n), (*via, "compressed"))
@@ -226,10 +260,9 @@ def _bytes(layer: Layer):
     """What is packed in a decoded layer's bytes, or in its characters below 256 taken as bytes."""
     if layer.data:
         data, first, last = layer.data
-        yield from _unpacked(data, first, last, layer.via)
-        for m in WIDE.finditer(data):
-            yield Layer(data[m.start():m.end():2].decode("latin-1"), first[m.start():m.end():2],
-                        last[m.start():m.end():2], (*layer.via, "utf16"))
+        yield from _unpacked(data, first, last, layer.via, flat(first) or layer.via[-1] not in ("url", "bytes"))
+        for start, end, text in _wide(data):
+            yield Layer(text, first[start:end:2], last[start + 1:end:2], (*layer.via, "utf16"))
         if len(data) == len(layer.text):
             return
     if LATIN.search(layer.text):
@@ -252,22 +285,36 @@ def _url(layer: Layer):
     keep[starts + 1] = keep[starts + 2] = False
     data = unquote_to_bytes(raw)
     yield Layer.of(data, pick(layer.first, low[keep]), pick(layer.last, high[keep]), (*layer.via, "url"))
-    # A run of escapes alone: a member that is cut off there must not go on with the text behind it.
-    for m in ESCAPED.finditer(layer.text):
-        data = binascii.unhexlify(m[0].replace("%", ""))
-        if MAGIC.match(data):
-            place = m.start() + 3 * np.arange(len(data))
-            yield from _unpacked(data, pick(layer.first, place), pick(layer.last, place + 2), (*layer.via, "url"))
+    # A quoted word alone: a member that is cut off there must not go on with the text behind it.
+    for m in QUOTED.finditer(layer.text):
+        data = unquote_to_bytes(m[0])
+        if MAGIC.search(data):
+            low = np.array([x.start() for x in UNIT.finditer(m[0])]) + m.start()
+            high = np.append(low[1:], m.end()) - 1
+            yield from _unpacked(data, pick(layer.first, low), pick(layer.last, high), (*layer.via, "url"))
 
 
 def _unicode(layer: Layer):
-    pieces = []
+    pieces, data, low, high = [], bytearray(), [], []
     for m in UNICODE.finditer(layer.text):
         digits = next((g for g in m.groups()[:5] if g), None)
         code = int(digits, 16) if digits else int(m[6]) if m[6] else ord(m[7]) - 0xFEE0
         if code < 0x110000:
             pieces.append((m.start(), m.end(), chr(code)))
-    return [layer.replaced(pieces, "unicode")] if pieces else []
+    if not pieces:
+        return
+    yield layer.replaced(pieces, "unicode")
+    # A run of escapes alone, as in _url.
+    for start, end, new in [*pieces, (-1, -1, "")]:
+        if data and (start != high[-1] + 1 or not "" < new < "\u0100"):
+            if MAGIC.search(data):
+                yield from _unpacked(bytes(data), pick(layer.first, np.array(low)), pick(layer.last, np.array(high)),
+                                     (*layer.via, "unicode", "bytes"))
+            data, low, high = bytearray(), [], []
+        if "" < new < "\u0100":
+            data.append(ord(new))
+            low.append(start)
+            high.append(end - 1)
 
 
 def _base64(layer: Layer):
@@ -281,7 +328,7 @@ def _base64(layer: Layer):
             part = run[skip:]
             part = part[:-1] if len(part) % 4 == 1 else part
             data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
-            if not KEEP.search(data) and not WIDE.search(data) and not MAGIC.search(data):
+            if not KEEP.search(data) and not any(p.search(data) for p, _ in WIDE) and not MAGIC.search(data):
                 continue
             if flat(layer.first):
                 first, last = (np.broadcast_to(x[:1], len(data)) for x in (layer.first, layer.last))
@@ -319,7 +366,7 @@ def find(text: str, hints=frozenset(HINTS)):
             work.pop()
             continue
         mark = hashlib.blake2b(layer.data[0] if layer.data else layer.text.encode("utf-8", "surrogatepass"), digest_size=16,
-                               key=repr((layer.first[:1], layer.last[-1:])).encode()[:64]).digest()
+                               key=repr((bool(layer.data), layer.first[:1], layer.last[-1:])).encode()[:64]).digest()
         if mark in seen or not layer.text:
             continue
         seen.add(mark)
