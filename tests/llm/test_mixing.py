@@ -72,5 +72,25 @@ def test_progress_and_odd_rows(spark):
     assert {r.doc_id for r in again.collect()} == {r[0] for r in rows}
 
 
+@pytest.mark.parametrize("block", [40, 1 << 20])
+def test_a_long_document_does_not_end_its_source(spark, monkeypatch, block):
+    monkeypatch.setattr(M, "BLOCK_TOKENS", block)
+    rows = [(0, "a", 400), *((k, "a", 10) for k in range(1, 61)), *((k, "b", 7) for k in range(100, 150)), (200, "b", 0)]
+    counts = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    for seed in range(3):
+        for repeats in (0.55, 1.3):
+            weighted = spark.createDataFrame([("a", 1000, 1.0, 0.5, repeats), ("b", 350, 1.0, 0.5, repeats)],
+                                             "source string, source_tokens long, exponent double, weight double, repeats double")
+            out = M.realise(counts, weighted, seed=seed).collect()
+            given = defaultdict(int)
+            for r in out:
+                given[r.source] += r.tokens
+                assert 0 <= r.progress <= 1
+            for s, total, least in (("a", 1000, 10), ("b", 350, 7)):
+                assert round(total * repeats) - least < given[s] <= round(total * repeats)
+            assert len({(r.doc_id, r.epoch) for r in out}) == len(out)
+            assert all(r.realised == pytest.approx(given[r.source] / sum(given.values())) for r in out)
+
+
 def test_query_runs(spark):
     assert queries.QUERIES["op10_mixing"](spark, SF001).count() > 0

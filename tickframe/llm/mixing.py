@@ -9,10 +9,11 @@ on the table of sources; only a few numbers reach the driver.
 Weights become rows by budgeted block permutations: a source's documents are
 dealt into blocks by hash, each pass goes through the blocks, and through the
 documents of a block, in a new pseudo-random order, and the source gives
-documents until its token budget is spent (a document that would pass the
-budget ends the source's list).  ``progress`` is the place of a document in
-its source's budget: sorted by it, every stretch of the result has the
-target weights.
+documents until its token budget is spent.  A document that would pass the
+budget is left out and the source goes on with the next ones that fit.
+``progress`` is the place of a document in its source's budget: sorted by it,
+every stretch of the result has the target weights.  ``realised`` is the share
+of the given tokens that the source got, beside its ``weight``.
 
 A null source counts as source ''.  Null and empty texts have no tokens; a
 source without tokens has no weight and its documents are left out of a
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.llm import words
-from tickframe.llm.common import lean, slices, small_batches, staged
+from tickframe.llm.common import lean, lean_group, slices, small_batches, staged
 
 MAX_REPEATS = 2.0
 #: Tokens of a block, and the largest number of blocks of a source.
@@ -104,9 +105,47 @@ def weights(counts: DataFrame, *, max_repeats: float | None = MAX_REPEATS, entro
                          (F.pow("share", F.lit(exponent - 1)) / F.lit(scale or 1.0)).alias("repeats"))
 
 
+GIVEN = "doc_id long, source string, tokens long, weight double, exponent double, epoch int, block long, progress double"
+
+
+def _greedy(table: pa.Table) -> pa.Table:
+    """The documents of one block, in order, that still fit into what is left of the budget."""
+    table = table.sort_by([("end", "ascending"), ("doc_id", "ascending")])
+    budget, left = table.column("budget")[0].as_py(), table.column("left")[0].as_py()
+    take, progress = [], []
+    for i, n in enumerate(table.column("tokens").to_pylist()):
+        if n <= left:
+            take.append(i)
+            progress.append((budget - left) / budget)
+            left -= n
+    got = table.take(pa.array(take, pa.int64()))
+    return got.select(GIVEN.replace(",", "").split()[:-2:2]).append_column("progress", pa.array(progress, pa.float64()))
+
+
+def _filled(rest: DataFrame, left: DataFrame) -> list:
+    """Parts of ``rest``, the documents behind the first that passes its source's
+    budget, that fit into what is ``left`` (source, left, done) of it.
+
+    A round takes from each source the next block that has a document that fits;
+    what is left soon is less than any document.
+    """
+    out = []
+    while True:
+        fits = rest.join(left, "source").filter((F.col("tokens") <= F.col("left")) & (F.col("end") > F.col("done")))
+        nearest = staged(fits.groupBy("source").agg(F.min_by("block", "end").alias("block")), "nearest")
+        if nearest.isEmpty():
+            return out
+        block = staged(fits.join(nearest, ["source", "block"]), "block")
+        got = staged(block.groupBy("source").applyInArrow(lean_group(_greedy), GIVEN), "filled")
+        out.append(got)
+        spent = got.groupBy("source").agg(F.sum("tokens").alias("spent"))
+        left = staged(block.groupBy("source", "left").agg(F.max("end").alias("done")).join(spent, "source")
+                      .select("source", (F.col("left") - F.col("spent")).alias("left"), "done"), "left")
+
+
 def realise(counts: DataFrame, weighted: DataFrame, *, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, tokens, weight, exponent, epoch, block, progress): one
-    row for each time a document is given."""
+    """(doc_id, source, tokens, weight, exponent, epoch, block, progress, realised):
+    one row for each time a document is given."""
     mark = lambda *c: F.xxhash64(F.lit(seed), *c)
     blocks = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("source_tokens") / BLOCK_TOKENS))).cast("long")
     budget = F.round(F.col("repeats") * F.col("source_tokens")).cast("long")
@@ -121,9 +160,19 @@ def realise(counts: DataFrame, weighted: DataFrame, *, seed: int = SEED) -> Data
     inside = Window.partitionBy("source", "epoch", "block").orderBy(mark("epoch", "doc_id"), "doc_id", "tokens").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     end = F.col("epoch") * F.col("source_tokens") + F.col("before") + F.sum("tokens").over(inside)
-    return (docs.join(cells, ["source", "epoch", "block"]).withColumn("end", end).filter(F.col("end") <= F.col("budget"))
-            .select("doc_id", "source", "tokens", "weight", "exponent", "epoch", "block",
-                    ((F.col("end") - F.col("tokens")) / F.greatest(F.col("budget"), F.lit(1))).alias("progress")))
+    placed = staged(docs.join(cells, ["source", "epoch", "block"]).withColumn("end", end)
+                    .select("doc_id", "source", "tokens", "weight", "exponent", "epoch", "block", "budget", "end"), "placed")
+    fits = (F.col("end") <= F.col("budget")) | (F.col("tokens") == 0)
+    place = F.least(F.col("end") - F.col("tokens"), "budget") / F.greatest(F.col("budget"), F.lit(1))
+    given = placed.filter(fits).select("doc_id", "source", "tokens", "weight", "exponent", "epoch", "block", place.alias("progress"))
+    left = placed.groupBy("source", "budget").agg(F.sum(F.when(fits, F.col("tokens")).otherwise(0)).alias("spent"))
+    left = left.select("source", (F.col("budget") - F.col("spent")).alias("left"), F.lit(0).cast("long").alias("done"))
+    for part in _filled(placed.filter(~fits), staged(left.filter("left > 0"), "left")):
+        given = given.unionByName(part)
+    shares = staged(given.groupBy("source").agg(F.sum("tokens").alias("n")), "given")
+    every = shares.agg(F.greatest(F.sum("n"), F.lit(1)).alias("every"))
+    shares = shares.crossJoin(every).select("source", (F.col("n") / F.col("every")).alias("realised"))
+    return given.join(shares, "source").select(*given.columns, "realised")
 
 
 def mix(docs: DataFrame, *, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None,
