@@ -16,6 +16,7 @@ from tickframe.llm import (
     secrets,
     segment_topk,
     suffix_dedup,
+    token_files,
     toxicity,
     url_filters,
 )
@@ -131,3 +132,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed by source: flattest weights that repeat no source more
     than twice, within a budget of as many tokens as there are."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_files")
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to Simple-8b files in doc_id order and read back."""
+    return token_files.token_files(table(spark, sf_dir, "documents"))
