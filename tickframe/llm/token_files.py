@@ -27,25 +27,28 @@ Very long texts are tokenised whole; a task holds one document's ids at least.
 from __future__ import annotations
 
 import math
+import re
 import struct
 import uuid
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import lean, shared_dir, slices, small_batches, staged, text_rows
-from tickframe.llm.words import text_bytes
+from tickframe.llm.words import LOWER, text_bytes
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Ids in a block; blocks decoded together; text bytes of a file, about.
 BLOCK, RUN, FILE_BYTES = 1 << 14, 32, 32 << 20
 #: Words whose ids a task remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 
 #: (ids, bits) by selector; selector 0 is the escape.
 LAYOUT = [(1, 64), (240, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15),
@@ -53,6 +56,9 @@ LAYOUT = [(1, 64), (240, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6
 ESCAPE = 0
 _COUNT = np.array([n for n, _ in LAYOUT])
 _U = np.uint64
+#: 2^bits of the selectors 1 to 15, and how many of them an id reaches; small ids by a table.
+_LIMITS = np.array([1 << bits for _, bits in LAYOUT[1:]], _U)
+_LEVEL = np.searchsorted(_LIMITS, np.arange(1 << 16).astype(_U), side="right").astype(np.uint8)
 MAGIC, VERSION = b"TFS8", 1
 HEADER, FOOTER = "<4sIII", "<QQQQQI4s"
 FOOTER_SIZE = struct.calcsize(FOOTER)
@@ -61,11 +67,17 @@ FOOTER_SIZE = struct.calcsize(FOOTER)
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, exceptions) of the unsigned 64-bit ``ids`` of a block."""
     ids = ids.astype(_U, copy=False)
-    n = len(ids)
+    n, most = len(ids), int(ids.max(initial=0))
     chosen = np.zeros(n, np.int8)
+    level = _LEVEL[ids] if most < len(_LEVEL) else np.searchsorted(_LIMITS, ids, side="right").astype(np.uint8)
     for selector in range(15, 0, -1):  # from few ids in a word to many: the last that fits is the fullest
         count, bits = LAYOUT[selector]
-        edge = np.concatenate([[-1], np.flatnonzero(ids >> _U(bits)), [n]])
+        if most >> bits == 0:
+            chosen[:max(n - count + 1, 0)] = selector
+            if n < count:
+                break
+            continue
+        edge = np.concatenate([[-1], np.flatnonzero(level >= selector), [n]])
         free = np.diff(edge) - 1
         runs = np.flatnonzero(free >= count)
         if not len(runs):
@@ -214,58 +226,94 @@ _MARK[[ord(c) for c in ".,;:!?"]] = True
 def chunks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of the parts whose ids don't depend on their neighbours: at a
     text's start, after white space, and where one of ``.,;:!?`` follows an
-    ASCII letter.  The tokenizer drops white space and never joins these."""
+    ASCII or Latin-1 letter.  The tokenizer drops white space and never joins
+    a letter with what follows there."""
     first = np.zeros(len(data), bool)
     space = _SPACE[data]
     if len(data) > 1:
         first[1:] = (space[:-1] & ~space[1:]) | (_LETTER[data[:-1]] & _MARK[data[1:]])
+    if len(data) > 2:
+        latin = (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)  # all other bytes after 0xC3 end a letter
+        first[2:] |= latin & _MARK[data[2:]]
     first[offsets[:-1][np.diff(offsets) > 0]] = True
     return np.flatnonzero(first)
 
 
+#: One word of ASCII and Latin-1 letters: the tokenizer lowers it and looks up its bytes, nothing else applies.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: How byte-level vocabularies write a byte (a fixed rule of this file format).
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+
+
 class WordEncoder:
-    """Token ids of texts by ``tokenizers``, each different part encoded once."""
+    """Token ids of texts by ``tokenizers``, each different part encoded once:
+    single words by its model alone, all other parts by the whole tokenizer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         if "/" not in path:
             import public_tokenizers
             path = public_tokenizers.path(path)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.plain = path.rsplit("/", 1)[-1] == TOKENIZER  # the rule for single words holds for this vocabulary
         self._clear()
 
     def _clear(self):
-        self.slot, self.flat, self.begin = {}, array("Q"), array("q", [0])
-
-    def _slots(self, parts: list[str]) -> list[int]:
-        if len(self.slot) + len(parts) > CACHE:
+        """Slot 0 is the end id; part i of ``known`` has slot i + 1; slot i has the ids begin[i]:begin[i + 1] of flat."""
+        self.known, self.flat, self.begin = pa.array([], pa.large_string()), array("I", [self.end_id]), array("q", [0, 1])
+
+    def _ids(self, parts: list[str]) -> list[list[int]]:
+        out, tokenize, others = [None] * len(parts), self.tokenizer.model.tokenize, []
+        for i, part in enumerate(parts):
+            if self.plain and PLAIN.fullmatch(part):
+                word = part if part.isascii() else part.lower().encode().decode("latin-1").translate(BYTE_CHARS)
+                out[i] = [t.id for t in tokenize(word)]
+            else:
+                others.append(i)
+        for a in range(0, len(others), 4096):
+            these = others[a:a + 4096]
+            for i, got in zip(these, self.tokenizer.encode_batch_fast([parts[i] for i in these], add_special_tokens=False)):
+                out[i] = got.ids
+        return out
+
+    def _slots(self, parts: pa.Array) -> np.ndarray:
+        if len(self.known) + len(parts) > CACHE:
             self._clear()
-        new = [p for p in parts if p not in self.slot]
-        for a in range(0, len(new), 4096):
-            for part, got in zip(new[a:a + 4096], self.tokenizer.encode_batch(new[a:a + 4096], add_special_tokens=False)):
-                self.slot[part] = len(self.begin) - 1
-                self.flat.extend(got.ids)
-                self.begin.append(len(self.flat))
-        return [self.slot[p] for p in parts]
-
-    def __call__(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        at = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(pc.is_null(at))
+        slot = at.fill_null(-1).to_numpy().astype(np.int32) + 1
+        slot[slot == 0] = len(self.known) + 1 + np.arange(len(new), dtype=np.int32)
+        ids = self._ids(new.to_pylist())
+        self.flat.extend(chain.from_iterable(ids))
+        self.begin.extend((self.begin[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)).tolist())
+        self.known = pa.concat_arrays([self.known, new])
+        return slot
+
+    def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, ids of each text), the end id included."""
         data, offsets = text_bytes(column)
         n = len(offsets) - 1
         start = chunks(data, offsets)
-        buffers = [None, pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
-        parts = pa.Array.from_buffers(pa.large_string(), len(start), buffers).dictionary_encode() if len(start) else None
         per = np.searchsorted(start, offsets[1:]) - np.searchsorted(start, offsets[:-1])
-        slot = np.array(self._slots(parts.dictionary.to_pylist()), np.int64)[parts.indices.to_numpy()] if len(start) else np.zeros(0, np.int64)
-        begin, flat = np.array(self.begin, np.int64), np.append(np.array(self.flat, _U), _U(end_id))
-        size = np.append(np.diff(begin), 1)
-        begin[-1] = len(flat) - 1  # the slot after the last is the end id
-        slot = np.insert(slot, np.cumsum(per), len(size) - 1)
-        length = size[slot]
-        out = flat[np.repeat(begin[slot] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
-        owner = np.repeat(np.arange(n), per + 1)
-        return out, np.bincount(owner, weights=length, minlength=n).astype(np.int64)
+        slot = np.zeros(len(start) + n, np.int32)  # 0, the end id, after the parts of each text
+        if len(start):
+            # without white space, and in lower case where a part is ASCII and has no special token's "<"
+            other = np.logical_or.reduceat((data >= 128) | (data == 60), start)
+            seen = ~_SPACE[data]
+            data = np.where(np.repeat(other, np.diff(np.append(start, len(data)))), data, LOWER[data])[seen]
+            place = np.append(np.append(0, np.cumsum(seen))[start], len(data)).astype(np.int64)
+            buffers = [None, pa.py_buffer(place), pa.py_buffer(np.ascontiguousarray(data))]
+            parts = pa.Array.from_buffers(pa.large_string(), len(start), buffers).dictionary_encode()
+            own = self._slots(parts.dictionary)
+            slot[np.arange(len(start)) + np.repeat(np.arange(n), per)] = own[parts.indices.to_numpy()]
+        begin, flat = np.frombuffer(self.begin, np.int64), np.frombuffer(self.flat, np.uint32)
+        length = np.diff(begin)[slot]
+        end = np.cumsum(length)
+        out = flat[np.repeat(begin[slot] - (end - length), length) + np.arange(end[-1] if n else 0)]
+        last = end[np.cumsum(per + 1) - 1]
+        return out, np.diff(last, prepend=0)
 
 
 def _filesystem(uri: str):
@@ -278,17 +326,17 @@ def _written(folder, tokenizer, end_id, block):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, out, rows = WordEncoder(tokenizer), None, 0
+        encode, out, rows = WordEncoder(tokenizer, end_id), None, 0
         shard = TaskContext.get().partitionId()
         fs, base = _filesystem(folder)
         name = f"{base}/part-{shard:08d}.s8b"
         temporary = f"{base}/_{uuid.uuid4().hex}"
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 if out is None:
                     stream = fs.open_output_stream(temporary)
                     out = Writer(stream, block)
-                out.add(part.column("doc_id").to_pylist(), *encode(part.column("text"), end_id))
+                out.add(part.column("doc_id").to_pylist(), *encode(part.column("text")))
                 rows += part.num_rows
         if out is not None:
             out.close()
