@@ -45,7 +45,7 @@ from tickframe.llm.words import LOWER, PUNCT, hashes, spans, text_bytes
 
 TOP = 50
 #: Documents of a tree and of a leaf; leaves scored per block in the first round; query terms of a group of items.
-BLOCK, LEAF, PROBE, GROUP_TERMS = 8192, 8, 4, 200_000
+BLOCK, LEAF, PROBE, GROUP_TERMS = 2048, 8, 4, 200_000
 #: Upper ends of the bands of term weights but the last.
 BANDS = (500, 1500, 3000, 5000, 7000)
 
