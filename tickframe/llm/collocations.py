@@ -13,8 +13,9 @@ Misra and Gries, and no phrase that reaches the threshold is lost.  A partition
 heavier than its share keeps more counters instead of losing one.
 
 Pass 2 counts exactly: the survivors' fingerprints, one bitmap of a bounded
-size, tell which phrases to count by their text.  Other phrases that meet a
-survivor's bit are counted too and leave when the exact counts are filtered.
+size, tell which phrases to count.  Each task sends their texts and counts, again
+one summary per partition, and partitions add them up by text.  Other phrases that
+meet a survivor's bit are counted too and leave when the exact counts are filtered.
 
 A phrase is scored by f(phrase) / (f(first part) + f(rest)) at its worst cut;
 phrases that nearly always stand in one longer phrase leave.
@@ -32,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,13 @@ from tickframe.llm.words import _BASE, LOWER, hashes, mix, text_bytes
 
 MIN_COUNT, MAX_WORDS, TOP, SCALE, NESTED = 30, 4, 2000, 2_000_000, 80
 #: Counters per partition over mass / threshold; phrases of a partition, about.
-SLACK, PART_MASS = 4, 16 << 20
+SLACK, PART_MASS = 8, 16 << 20
 #: Most partitions (as a power of two) and bits of the survivors' bitmap (64 MB).
 MOST_PARTS, MOST_BITS = 16, 1 << 29
 #: Bytes of text handled at once; different phrases held by a counting task; salts of a language's final ranking.
 SECTION, HELD, SALTS = 4 << 20, 400_000, 16
 UNKNOWN = "und"
+PHRASES = ["lang", "n_words", "phrase", "f"]
 
 _PIECE, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
 _PIECE[[*(ord(c) for c in ".,;:!?"), 10, 11, 12, 13]] = True
@@ -219,11 +222,18 @@ def _counted(shared, bits, width, max_words):
         keys, slots = np.zeros(0, _U), np.zeros(0, np.int64)
         counts, rows = np.zeros(0, np.int64), []
 
-        def flush():
-            for a in range(0, len(rows), 1 << 15):
-                lang, n, phrase = zip(*rows[a:a + (1 << 15)])
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(phrase, pa.string()),
-                                                  pa.array(counts[a:a + (1 << 15)], pa.int64())], ["lang", "n_words", "phrase", "f"])
+        def flush():  # one summary per partition: its phrases with their counts
+            if not rows:
+                return
+            lang, n, phrase = zip(*(rows[i] for i in slots.tolist()))
+            found = pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(phrase, pa.string()),
+                                                pa.array(counts[slots], pa.int64())], PHRASES)
+            cuts = np.append(np.searchsorted(keys, np.arange(1 << bits).astype(_U) << _U(64 - bits)), len(keys))
+            for p in np.flatnonzero(np.diff(cuts)):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, found.schema) as stream:
+                    stream.write_batch(found.slice(cuts[p], cuts[p + 1] - cuts[p]))
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["part", "summary"])
 
         for names, of, data, offsets in sections(batches):
             words = Words(data, offsets, of)
@@ -255,6 +265,26 @@ def _counted(shared, bits, width, max_words):
     return run
 
 
+def _merged(min_count):
+    """Exact counts of a partition's phrases by their text, from all tasks' summaries."""
+    def added(tables):
+        got = pa.concat_tables(tables).group_by(PHRASES[:3]).aggregate([("f", "sum")])
+        return got.select([*PHRASES[:3], "f_sum"]).rename_columns(PHRASES)
+
+    def run(batches):
+        held: dict[int, list[pa.Table]] = {}
+        for batch in batches:
+            for p, summary in zip(batch.column("part").to_pylist(), batch.column("summary")):
+                tables = held.setdefault(p, [])
+                tables.append(pa.ipc.open_stream(summary.as_buffer()).read_all())
+                if sum(t.num_rows for t in tables[1:]) > max(HELD, tables[0].num_rows):
+                    held[p] = [added(tables)]
+        for p in list(held):
+            exact = added(held.pop(p))
+            yield from exact.filter(pc.greater_equal(exact.column("f"), min_count)).combine_chunks().to_batches(max_chunksize=1 << 15)
+    return run
+
+
 def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
     """((lang, n_words, phrase, f) of all phrases of up to ``max_words`` words
     with f >= min_count, stored; (lang, n): all words of each language)."""
@@ -274,8 +304,9 @@ def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, max_words:
     for r in staged(found, "phrase-bits").toLocalIterator():  # 64 MB in all at most, whatever the corpus
         bitmap[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bitmap.ravel())
-    counted = rows.mapInArrow(lean(_counted(shared, bits, width, max_words)), "lang string, n_words int, phrase string, f long")
-    exact = counted.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
+    exact = (rows.mapInArrow(lean(_counted(shared, bits, width, max_words)), "part int, summary binary")
+             .repartition(parts(spark), "part")
+             .mapInArrow(lean(_merged(min_count)), "lang string, n_words int, phrase string, f long"))
     return staged(exact, "phrases"), sizes.groupBy("lang").agg(F.sum("words").alias("n"))
 
 
