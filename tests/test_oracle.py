@@ -12,7 +12,7 @@ NAMES = ["technical_snapshot", "rsi_sma", "bollinger", "beta", "value_at_risk",
          "portfolio_metrics", "asof_ffill", "signal_backtest", "reward_rollup", "sector_top3", "ema_adjusted",
          "ema_recursive", "macd", "obv", "cumulative_return", "monthly_targets", "path_direction", "validate_weights", "common_dates"]
 NAMES += sorted(n for n, q in ent.queries().items()
-                if n in ent.oracle_sql() and q.__module__.rpartition(".")[2] in ("q_operators", "q_extra", "q_misc"))
+                if n in ent.oracle_sql() and q.__module__.rpartition(".")[2] in ("q_operators", "q_extra", "q_misc", "q_training"))
 
 
 def _norm(v):

@@ -38,4 +38,5 @@ def load_all() -> None:
         q_portfolio,
         q_stats,
         q_text,
+        q_training,
     )

@@ -160,91 +160,19 @@ def score_latest(models: dict, latest: DataFrame, *, by: str = BY, relative_risk
                       sg.recommendation("model_score", model=True).alias("recommendation"))
 
 
-def voting_ensemble(train: DataFrame, test: DataFrame, *, seed: int = 42, label: str = "fwd_return_30",
-                    features=PRICE_FEATURES) -> DataFrame:
-    """Mean prediction of forest (100 trees), boosting (100 rounds), ridge
-    and lasso(0.1).  The training rows are kept while fitting."""
-    train = train.persist()
-    learners = [RandomForestRegressor(numTrees=100, maxDepth=10, seed=seed), GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed),
-                LinearRegression(regParam=1.0, elasticNetParam=0.0), LinearRegression(regParam=0.1, elasticNetParam=1.0)]
-    out, cols = test, []
-    for i, lr in enumerate(learners):
-        lr.setLabelCol(label).setPredictionCol(f"_p{i}")
-        out = _pipe(features, lr).fit(train).transform(out).drop("_raw", "features")
-        cols.append(F.col(f"_p{i}"))
-    train.unpersist()
-    return out.withColumn("prediction", sum(cols) / len(cols)).drop(*[f"_p{i}" for i in range(len(learners))])
-
-
-def seed_bagged_boosting(train: DataFrame, test: DataFrame, *, seeds=range(5), label: str = "fwd_return_30",
-                         features=PRICE_FEATURES, rounds: int = 1000, depth: int = 10, rate: float = 0.01) -> DataFrame:
-    """Boosting with subsample 0.8 fitted with seeds 0..4, averaged."""
-    out, cols = test, []
-    for s in seeds:
-        g = GBTRegressor(labelCol=label, predictionCol=f"_b{s}", maxIter=rounds, maxDepth=depth, stepSize=rate,
-                         subsamplingRate=0.8, seed=s)
-        out = _pipe(features, g).fit(train).transform(out).drop("_raw", "features")
-        cols.append(F.col(f"_b{s}"))
-    return out.withColumn("prediction", sum(cols) / len(cols)).drop(*[f"_b{s}" for s in seeds])
-
-
-def stacking_ensemble(train: DataFrame, *, folds: int = 5, seed: int = 42, label: str = "fwd_return_30",
-                      features=PRICE_FEATURES) -> tuple:
-    """Out-of-fold predictions of forest and boosting (fold = hash of
-    the key), then a ridge meta-model on them.  Returns (meta model, oof rows)."""
-    t = train.withColumn("_fold", F.pmod(F.xxhash64(BY, "ts"), F.lit(folds)))
-    parts = []
-    for k in range(folds):
-        fit_on, pred_on = t.filter(F.col("_fold") != k), t.filter(F.col("_fold") == k)
-        rf = _pipe(features, RandomForestRegressor(labelCol=label, predictionCol="_rf", numTrees=100, maxDepth=10, seed=seed))
-        gb = _pipe(features, GBTRegressor(labelCol=label, predictionCol="_gb", maxIter=100, maxDepth=3, stepSize=0.1, seed=seed))
-        o = rf.fit(fit_on).transform(pred_on).drop("_raw", "features")
-        o = gb.fit(fit_on).transform(o).drop("_raw", "features")
-        parts.append(o)
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    meta = _pipe(["_rf", "_gb"], LinearRegression(labelCol=label, regParam=1.0, elasticNetParam=0.0),
-                 scaler=None).fit(oof)
-    return meta, oof
-
-
 def regression_metrics(pred: DataFrame, *, label: str, prediction: str = "prediction") -> dict:
     """A36 via MLlib's evaluator (also available as a DataFrame: stats.regression_metrics)."""
     ev = RegressionEvaluator(labelCol=label, predictionCol=prediction)
     return {m: ev.setMetricName(m).evaluate(pred) for m in ("mse", "mae", "r2")}
 
 
-def feature_importance(model, features) -> DataFrame:
-    """Forest feature importances joined to the feature names."""
-    spark = model.stages[-1].featureImportances and None
+def feature_importance(model, features, spark) -> DataFrame:
+    """Forest importances joined to the feature names."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
     df = spark.createDataFrame(list(zip(features, imp)), "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), "feature")
 
 
-def walk_forward_eval(samples: DataFrame, *, folds: int = 4, label: str = "fwd_return_30", seed: int = 42,
-                      features=PRICE_FEATURES) -> DataFrame:
-    """Expanding date folds: fold k trains on dates before cut k and
-    evaluates on [cut k, cut k+1); MSE / MAE / R2 per fold.  Cuts are date
-    quantiles (approx_percentile over the date ordinal, a bounded aggregate)."""
-    d = samples.withColumn("_d", F.datediff("ts", F.lit("1970-01-01")))
-    qs = [i / (folds + 1) for i in range(1, folds + 2)]
-    cuts = d.agg(F.percentile_approx("_d", qs, 10000)).first()[0]
-    rows = []
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    for k in range(folds):
-        tr = d.filter(F.col("_d") < cuts[k])
-        te = d.filter((F.col("_d") >= cuts[k]) & (F.col("_d") < cuts[k + 1]))
-        m = _pipe(features, RandomForestRegressor(labelCol=label, numTrees=100, maxDepth=10, seed=seed)).fit(tr)
-        r = regression_metrics(m.transform(te), label=label)
-        rows.append((k, int(cuts[k]), r["mse"], r["mae"], r["r2"]))
-    return spark.createDataFrame(rows, "fold int, cut_day int, mse double, mae double, r2 double")
-
-
 #: Fixed lists: features of the short form and of the all-feature form.
 LINEAR_FEATURES = ["sma_20", "sma_50", "rsi_wilder_14", "macd_rec_diff", "close_ma_5", "close_ma_10"]
 ALL_LINEAR_FEATURES = ["sma_20", "sma_50", "ema_rec_12", "ema_rec_26", "macd_rec_diff", "macd_rec_signal", "rsi_wilder_14",
@@ -349,63 +277,6 @@ def trend_probability(bars: DataFrame, *, seed: int = 42, by: str = BY) -> DataF
                        sg.prob_confidence("probability_up").alias("confidence"))
 
 
-def multi_period_training(samples: DataFrame, periods, *, label: str = "fwd_return_30", seed: int = 42) -> DataFrame:
-    """The price model fitted per date period (name, start, end) with
-    in-sample MSE/R2 per period."""
-    rows = []
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    for name, start, end in periods:
-        part = samples.filter((F.col("ts") >= F.lit(start).cast("date")) & (F.col("ts") < F.lit(end).cast("date")))
-        if part.limit(1).count() == 0:
-            continue
-        m = _pipe(PRICE_FEATURES, RandomForestRegressor(labelCol=label, numTrees=100, maxDepth=10, seed=seed)).fit(part)
-        r = regression_metrics(m.transform(part), label=label)
-        rows.append((name, start, end, part.count(), r["mse"], r["r2"]))
-    return spark.createDataFrame(rows, "period string, start string, end string, samples long, mse double, r2 double")
-
-
-def monthly_rewards(bars: DataFrame, news: DataFrame, *, by: str = BY, trees: int = 100, depth: int = 10,
-                    rounds: int = 100, seed: int = 42) -> DataFrame:
-    """M9: price and risk forests, trend boosting, sentiment OLS and
-    fundamental ridge on the monthly samples (W41 + W42 + J5), applied to the
-    samples themselves and scored by R1-R5.
-
-    The reference refits per symbol; here one model per target is fitted on
-    the samples of all symbols.  The sample table is stored once."""
-    from tickframe.functions import rewards as rw
-    from tickframe.operators import monthly
-
-    p = ind.monthly_targets(series.prepare(bars, by, "ts"), by=by)
-    p = monthly.monthly_features(p, by=by)
-    rows = align.attach_sentiment(series.finish(p.filter("_sample AND _keep")), news, on=by)
-    feats = monthly.MONTHLY_FEATURES
-    rows = rows.withColumn("news_count", F.col("news_count").cast("double"))
-    targets = ["target_return", "target_volatility", "target_trend"]
-    rows = clean.fill_default(rows.withColumn("target_trend", F.col("target_trend").cast("double")), {c: 0.0 for c in [*feats, *targets]})
-    rows = clean.replace_inf(rows, columns=[*feats, *targets]).select(by, "ts", *feats, *targets).persist()
-    n = max(rows.count(), 1)
-    sd = rows.agg(F.stddev_pop("target_return")).first()[0] or 1.0
-    forest = lambda y, c: RandomForestRegressor(labelCol=y, predictionCol=c, numTrees=trees, maxDepth=depth, seed=seed)
-    learners = [
-        ("standard", forest("target_return", "pred_price")),
-        ("minmax", GBTRegressor(labelCol="target_trend", predictionCol="pred_trend", maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed)),
-        ("standard", forest("target_volatility", "pred_risk")),
-        ("minmax", LinearRegression(labelCol="sentiment_score", predictionCol="pred_sentiment", solver="normal")),
-        ("standard", LinearRegression(labelCol="target_return", predictionCol="pred_fundamental", elasticNetParam=0.0,
-                                      standardization=False, regParam=sd / n, solver="normal")),
-    ]
-    out = rows
-    for scaler, learner in learners:
-        out = _pipe(feats, learner, scaler=scaler).fit(rows).transform(out).drop("_raw", "features")
-    err = lambda a, b: F.abs(F.col(a) - F.col(b))
-    return out.select(by, "ts", rw.reward_price(err("pred_price", "target_return"), "target_return").alias("reward_price"),
-                      rw.reward_trend(err("pred_trend", "target_trend")).alias("reward_trend"),
-                      rw.reward_risk(err("pred_risk", "target_volatility")).alias("reward_risk"),
-                      rw.reward_sentiment(err("pred_sentiment", "sentiment_score")).alias("reward_sentiment"),
-                      rw.reward_fundamental(err("pred_fundamental", "target_return")).alias("reward_fundamental"))
-
-
 def wide_feature_table(bars: DataFrame, fundamentals: DataFrame, news: DataFrame, macro: DataFrame, *, by: str = BY) -> DataFrame:
     """M2: every indicator of the library per bar, with fundamentals (J4), news
     sentiment (J5) and the slow macro value at the bar's date (J3); targets

@@ -45,14 +45,6 @@ def q_monthly_features(spark, sf_dir):
     return rounded(out.select("symbol", "ts", *[c for c in monthly.MONTHLY_FEATURES if c not in ("sentiment_score", "news_count")]))
 
 
-@query("monthly_models")
-def q_monthly_models(spark, sf_dir):
-    """M9: the five learners on the monthly samples, scored in-sample by R1-R5
-    and rolled up per symbol (A25)."""
-    rewards = ml.monthly_rewards(fx.bars(spark, sf_dir), _news_scores(spark, sf_dir))
-    return rounded(scr.reward_rollup(rewards))
-
-
 def _news_scores(spark, sf_dir):
     """(symbol, sentiment_score, news_count) of all articles of a symbol."""
     from tickframe.functions import text as tx

@@ -223,14 +223,6 @@ def q_trend_probability(spark, sf_dir):
     return ml.trend_probability(fx.bars(spark, sf_dir))
 
 
-@query("voting_ensemble")
-def q_voting_ensemble(spark, sf_dir):
-    """Mean of forest, boosting, ridge and lasso predictions on the samples."""
-    ft = ml.feature_table(fx.bars(spark, sf_dir), _company(spark, sf_dir))
-    t = ft.filter(F.col("fwd_return_30").isNotNull())
-    return ml.voting_ensemble(t, t).select("symbol", "ts", "fwd_return_30", "prediction")
-
-
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """Forest importances of the price-model features."""
@@ -238,7 +230,7 @@ def q_feature_importance(spark, sf_dir):
     ft = ml.feature_table(fx.bars(spark, sf_dir), _company(spark, sf_dir))
     t = ft.filter(F.col("fwd_return_30").isNotNull())
     m = ml._pipe(ml.PRICE_FEATURES, RandomForestRegressor(labelCol="fwd_return_30", numTrees=100, seed=42)).fit(t)
-    return ml.feature_importance(m, ml.PRICE_FEATURES)
+    return ml.feature_importance(m, ml.PRICE_FEATURES, spark)
 
 
 def _time(name: str):
