@@ -46,6 +46,8 @@ from tickframe.llm.words import LOWER, PUNCT, hashes, spans, text_bytes
 TOP = 50
 #: Documents of a tree and of a leaf; leaves scored per block in the first round; query terms of a group of items.
 BLOCK, LEAF, PROBE, GROUP_TERMS = 2048, 8, 4, 200_000
+#: Trees written to one file.
+FILE_TREES = 2
 #: Upper ends of the bands of term weights but the last.
 BANDS = (500, 1500, 3000, 5000, 7000)
 
@@ -102,7 +104,7 @@ def _vectors(shared):
     def run(batches):
         vocabulary = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 data, start, end, of = _terms(part.column("text"))
                 n = np.bincount(of, minlength=part.num_rows)
                 term = vocabulary.find(data, start, end)
@@ -323,7 +325,7 @@ def _trees(weight, n_docs, length, block):
             value = saturated(tf, np.repeat(n, per), n_docs, length)
             keep = weights[term] > 0
             cut = np.append(0, np.cumsum(np.bincount(np.repeat(np.arange(len(per)), per)[keep], minlength=len(per))))
-            return pa.RecordBatch.from_arrays([pa.array([Tree(ids, Rows(cut, term[keep], value[keep]), weights).dump()], pa.large_binary())], ["tree"])
+            return pa.RecordBatch.from_arrays([pa.array([Tree(ids, Rows(cut, term[keep], value[keep]), weights).dump()], pa.binary())], ["tree"])
 
         for batch in batches:
             for a in range(0, batch.num_rows, block):
@@ -375,7 +377,8 @@ def _group(docs: DataFrame, terms: list[list[str]], k: int, block: int) -> DataF
     for r in counts.groupBy("term").agg(F.sum("df").alias("df")).collect():  # GROUP_TERMS rows or so at most
         df[r["term"]] = r["df"]
     weight = share(weights(df, n_docs))
-    trees = staged(vectors.mapInArrow(lean(_trees(weight, n_docs, length or 1, block)), "tree binary"), "ball-trees")
+    trees = vectors.mapInArrow(lean(_trees(weight, n_docs, length or 1, block)), "tree binary")
+    trees = staged(trees, "ball-trees", maxRecordsPerFile=FILE_TREES)  # a reader holds the trees of a file
     asked = share([np.array([number[t] for t in own], np.int64) for own in terms])
     schema = "item int, doc_id long, score long"
     probed = trees.mapInArrow(lean(_searched(weight, asked, None, k, PROBE)), schema)

@@ -26,12 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts the
-    lineage, and survives lost executors."""
+    lineage, and survives lost executors.  ``options`` go to the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickframe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
