@@ -11,6 +11,8 @@ from tickframe.operators import scores as scr
 from tickframe.operators import stats as st
 from tickframe.plans import models as ml
 from tickframe.plans.catalog import query
+from tickframe.plans.q_indicators import BASE
+from tickframe.plans.q_stats import _TREND, _overall_sql
 from tickframe.plans.q_text import HEADLINE, NEG, POS, s_polarity
 from tickframe.plans.sqlkit import Q, R, rounded
 from tickframe.sources import fixtures as fx
@@ -155,13 +157,26 @@ def _overall(spark, sf_dir):
     return o.join(tr, "symbol").withColumn("risk_level", sg.risk_level("risk_score"))
 
 
-@query("market_overview")
+_ADVICE = """CASE WHEN AVG(overall_score) > 70 THEN 'increase exposure' WHEN AVG(overall_score) > 50 THEN 'maintain exposure'
+  ELSE 'reduce exposure' END"""
+_SCORES = ("bars", "market_index", "fundamentals", "news", "ratings")
+
+
+@query("market_overview", Q(f"""WITH o AS ({_overall_sql()}), t AS (WITH {BASE}, {_TREND} SELECT * FROM trend),
+j AS (SELECT o.*, t.trend, CASE WHEN risk_score > 70 THEN 'very_high' WHEN risk_score > 50 THEN 'high' WHEN risk_score > 30 THEN 'medium'
+        WHEN risk_score > 15 THEN 'low' ELSE 'very_low' END AS risk_level FROM o JOIN t USING (symbol)),
+lv AS (SELECT risk_level FROM j GROUP BY risk_level ORDER BY COUNT(*) DESC, risk_level LIMIT 1)
+SELECT AVG(overall_score) AS average_score, COUNT(*) AS symbols, CASE WHEN AVG(CASE WHEN contains(trend, 'up') THEN 1.0 ELSE 0.0 END) > 0.5
+  THEN 'bullish' ELSE 'bearish' END AS market_sentiment, (SELECT risk_level FROM lv) AS dominant_risk, {_ADVICE} AS advice FROM j""",
+    *_SCORES, doubles=("average_score",)))
 def q_market_overview(spark, sf_dir):
     """Market-wide mean score, up-trend share, dominant risk level, advice."""
     return rounded(scr.market_overview(_overall(spark, sf_dir)))
 
 
-@query("screen_summary")
+@query("screen_summary", Q(f"""WITH o AS ({_overall_sql()})
+SELECT AVG(overall_score) AS average_score, COUNT(*) FILTER (contains(recommendation, 'Buy')) AS buy_recommendations, COUNT(*) AS analysed FROM o""",
+    *_SCORES, doubles=("average_score",)))
 def q_screen_summary(spark, sf_dir):
     """Mean overall score and number of Buy-type recommendations."""
     return rounded(scr.screen_summary(_overall(spark, sf_dir)))
