@@ -100,3 +100,23 @@ def test_tree_bound_finds_all(spark):
 def test_given_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect()]
     assert run(spark, rows) == brute(rows)
+
+
+def test_one_of_each_keeps_different_texts(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(30))
+    schema = "doc_id int, text string, key string, text_hash int, row string, n long"
+    rows = [(7, base, "a", 1, "r", 1), (7, other, "b", 2, "r", 2), (7, base, "c", 3, "r", 3), (3, base + " more", "d", 4, "r", 4),
+            (9, "", "e", 5, None, 5), (9, " ", "f", 6, None, 6), (9, None, "g", 7, None, 7), (None, base, "h", 8, "r", 8), (None, base, "h", 8, "r", 8)]
+    got = J.one_of_each(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "key", "text_hash", "row", "n"]
+    assert [f.dataType for f in got.schema] == [f.dataType for f in spark.createDataFrame(rows, schema).schema]
+    got = [tuple(r) for r in got.collect()]
+    assert sorted(r[4 - 1] for r in got if r[0] in (3, 7)) == [2, 4]
+    assert sum(r[0] == 9 for r in got) == 1 and sum(r[0] is None for r in got) == 2
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y")]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, key int, root string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 1), (2, 2, 1)]

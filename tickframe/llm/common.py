@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,6 +36,21 @@ def staged(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, name: str, key: str):
+    """``df`` with one row per ``key``, written as a table in buckets of ``key``
+    in the shared folder: joins on the key move the other side only.  The table's
+    name is given up when the block ends, so results must be staged before."""
+    spark = df.sparkSession
+    n, label = parts(spark), f"tickframe_{name}_{uuid.uuid4().hex}"
+    (df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key)
+     .option("path", f"{shared_dir(spark)}/{label}").saveAsTable(label))
+    try:
+        yield spark.table(label)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {label}")
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound Arrow batches to ``rows`` rows, so that long texts fit a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

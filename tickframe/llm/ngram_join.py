@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm import words
-from tickframe.llm.common import lean, lean_group, parts, slices, small_batches, staged, text_rows
+from tickframe.llm.common import bucketed, lean, lean_group, parts, slices, small_batches, staged, text_rows
 from tickframe.llm.components import components
 
 SIZE = 5
@@ -87,11 +87,11 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def _flushes(batches, column="text"):
-    """Chunks of (doc ids, sets) with about FLUSH shingles."""
+    """Chunks of ((doc id, text hash) of each row, sets) with about FLUSH shingles."""
     ids, got, n = [], [], 0
     for batch in batches:
         for part in slices(batch, column):
-            ids += part.column("doc_id").to_pylist()
+            ids += zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist())
             new = sets(part.column(column))
             got += new
             n += sum(map(len, new))
@@ -103,7 +103,7 @@ def _flushes(batches, column="text"):
 
 
 def _summaries(batches):
-    """kind 0: (doc_id, key, n) of each row.  kind 1: (shingle, nodes) common in a chunk."""
+    """kind 0: (doc_id, key, n, text_hash) of each row.  kind 1: (shingle, nodes) common in a chunk."""
     for ids, got in _flushes(batches):
         keys = [set_key(s) if len(s) else None for s in got]
         own = {k: s for k, s in zip(keys, got) if k is not None}
@@ -112,10 +112,11 @@ def _summaries(batches):
         tok, df = tok[hot].view(np.int64), df[hot]
         yield pa.RecordBatch.from_arrays(
             [pa.array([0] * len(ids) + [1] * len(tok), pa.int32()),
-             pa.concat_arrays([pa.array(ids, pa.int64()), pa.array(tok)]),
+             pa.concat_arrays([pa.array([i for i, _ in ids], pa.int64()), pa.array(tok)]),
              pa.concat_arrays([pa.array(keys, pa.int64()), pa.array(df.astype(np.int64))]),
-             pa.array([len(s) for s in got] + [0] * len(tok), pa.int64())],
-            ["kind", "doc_id", "key", "n"])
+             pa.array([len(s) for s in got] + [0] * len(tok), pa.int64()),
+             pa.array([h for _, h in ids] + [None] * len(tok), pa.int64())],
+            ["kind", "doc_id", "key", "n", "text_hash"])
 
 
 def _dealt(common, n_parts):
@@ -334,16 +335,24 @@ def _blocked(postings: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of (doc_id, text).
+    """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
+    got = _classes(docs)
+    low = got.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
+    return (got.join(low, "class", "left")
+            .select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id")))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, class) of every row; null class: no shingles.
 
     ``docs`` is read twice and, if an executor is lost, in part again: pass a
     stored table, whose rows come in the same order each time.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = text_rows(docs)
-    summary = staged(rows.mapInArrow(lean(_summaries), "kind int, doc_id long, key long, n long"), "sets")
-    members = summary.filter("kind = 0").select("doc_id", "key", "n")
+    rows = text_rows(docs).withColumn("text_hash", F.xxhash64("text"))
+    summary = staged(rows.mapInArrow(lean(_summaries), "kind int, doc_id long, key long, n long, text_hash long"), "sets")
+    members = summary.filter("kind = 0").select("doc_id", "key", "n", "text_hash")
     total = members.agg(F.count("key").alias("nodes"), F.sum("n").alias("n")).first()
     nodes_n, n_parts = total["nodes"], max(parts(spark), math.ceil((total["n"] or 0) / PART))
     hot = (summary.filter("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("key").alias("df"))
@@ -353,12 +362,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     answers = (rows.mapInArrow(lean(_dealt(common, n_parts)), kind).groupBy("part").applyInArrow(lean_group(_shared(n_parts)), kind))
     nodes = (answers.groupBy("chunk").applyInArrow(
         lean_group(_postings(n_parts)), "key long, n long, tokens binary, prefix array<long>, point binary"))
-    links = node_links(staged(nodes.dropDuplicates(["key"]), "nodes"))  # equal sets of several chunks
-    return _labelled(members, links)
+    with bucketed(nodes, "nodes", "key") as nodes:  # equal sets of several chunks
+        roots = node_links(nodes)
+    return (members.join(roots, members.key == roots.node, "left")
+            .select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("class")))
 
 
 def node_links(nodes: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that link with another.
+    """(node, root) of all nodes; those that link share a root.
 
     Star rounds: under each posting with members of several components, the
     others are held against one pivot (first the member that shares the
@@ -394,13 +405,14 @@ def node_links(nodes: DataFrame) -> DataFrame:
              .applyInArrow(lean_group(_tree_pairs), "a long, b long, ra long, rb long").distinct())
     pairs = staged(pairs.coalesce(few), "pairs")
     links = staged(verified(pairs, nodes).coalesce(few), "links")
-    roots = roots if links.isEmpty() else _merged(roots, links)
+    roots = staged(roots, "roots") if links.isEmpty() else _merged(roots, links)
     return roots.select(F.col("key").alias("node"), "root")
 
 
 def _open(nodes: DataFrame, roots: DataFrame, share) -> DataFrame:
     """The postings whose members are still in several components."""
-    posted = nodes.join(roots, "key").select("key", "root", share.alias("share"), F.explode("prefix").alias("token"))
+    posted = (nodes.select("key", share.alias("share"), "prefix").join(roots, "key")
+              .select("key", "root", "share", F.explode("prefix").alias("token")))
     tokens = posted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
     return staged(posted.join(staged(tokens, "tokens"), "token").select("key", "share", "token"), "postings")
 
@@ -413,20 +425,20 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
                   .select("key", F.coalesce("top", "root").alias("root")).coalesce(few), "roots")
 
 
-def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """component_id: the smallest doc_id of each component."""
-    got = (members.join(roots, members.key == roots.node, "left")
-           .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("class")))
-    low = got.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
-    return (got.join(low, "class", "left")
-            .select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id")))
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each component, with its columns.
+    """One row of each component, with its columns: the smallest doc_id, among
+    rows of that doc_id the text with the smallest hash.
 
-    Rows that repeat that doc_id stay once; rows without doc_id stay.
+    Rows that agree in doc_id and text, or in doc_id without any shingle, stay
+    once (the first by their columns as JSON); different texts under one doc_id
+    stay unless they link.  Rows without doc_id all stay.
     """
-    keep = (jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct())
-    got = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return got.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    group = ["class", F.when(F.col("class").isNull(), F.col("doc_id")).alias("lone")]
+    keep = (_classes(docs).filter("doc_id is not null").groupBy(*group)
+            .agg(F.min(F.struct("doc_id", "text_hash")).alias("m")).select("m.doc_id", "m.text_hash"))
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), whole.alias("row"))
+    kept = (named.join(keep, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash")
+            .agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
+    return kept.unionByName(docs.filter("doc_id is null"))
