@@ -116,3 +116,16 @@ def test_walk_goes_by_summed_distance():
     counts = np.ones((3, 2), int)
     assert M.walk(first, second, counts, 3) == {1: 0b11, 0: 0b10}
     assert M.walk(first, second, counts, 99) == {0: 3, 1: 3, 2: 3}
+
+
+def test_tiny_and_huge_vectors_take_part(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 6))
+    scale = 10.0 ** np.array([-170, 170, 300, -300, 0, 3, -3, 1] * 5)
+    rows = [(k, (base[k % 20] * s).tolist()) for k, s in enumerate(scale)]
+    got = M.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 4 == 0, k=5, share=1.0).collect()
+    assert len(got) == 10 * 5 and all(-1.0000001 < r["score"] < 1.0000001 for r in got)
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    for r in got:
+        assert abs(r["score"] - unit[r["query_id"] % 20] @ unit[r["vec_id"] % 20]) < 1e-9
+    assert {r["query_id"]: r["vec_id"] for r in got if r["rank"] == 1} == {q: (q + 20) % 40 for q in range(0, 40, 4)}
