@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.operators import series
+from tickframe.operators import ordered, series
 from tickframe.operators.series import BY
 
 MAX_PAIR_UNIVERSE = 1000
@@ -25,15 +25,52 @@ def align_inner(bars: DataFrame, index: DataFrame, *, on: str = "ts", suffix: st
     return bars.join(idx, on, "inner")
 
 
-def align_outer(returns: DataFrame, *, value: str = "ret", by: str = BY, ts: str = "ts") -> DataFrame:
+def _ordinals(dates: DataFrame, ts: str) -> DataFrame:
+    """(ts, _ord, _dates): the place of each date in the calendar, from 0, and the number of dates."""
+    days = dates.select(ts).filter(F.col(ts).isNotNull()).distinct()
+    placed = ordered.prefix(ordered.spread(days, ts), [ts], [(F.lit(1), "sum", "_ord")])
+    size = days.agg(F.count(F.lit(1)).alias("_dates"))  # one row
+    return placed.select(ts, (F.col("_ord") - 1).alias("_ord")).join(F.broadcast(size))
+
+
+@series.series_op
+def _gap_ends(df: DataFrame, *, by: str = BY) -> DataFrame:
+    """The place of the symbol's next row (null after the last), and whether this is its first row."""
+    return (df.withColumn("_next", series.lead("_ord", 1, by))
+            .withColumn("_head", F.col(series.RN) == 0))
+
+
+def date_gaps(rows: DataFrame, dates: DataFrame, *, by: str = BY, ts: str = "ts", outer: bool = True) -> DataFrame:
+    """(by, gap_from, gap_to): runs of calendar places without a row of the symbol,
+    both ends included; with ``outer`` also before its first and after its last row.
+    One row per gap, however long; rows off the calendar take no part."""
+    placed = rows.select(by, ts).distinct().join(_ordinals(dates, ts), ts)
+    ends = _gap_ends(placed, by=by, ts=ts)
+    before = F.when(F.col("_head"), F.struct(F.lit(0).cast("long").alias("a"), (F.col("_ord") - 1).alias("b")))
+    after = F.struct((F.col("_ord") + 1).alias("a"), (F.coalesce("_next", "_dates") - 1).alias("b"))
+    if not outer:
+        before, after = F.lit(None).cast("struct<a:bigint,b:bigint>"), F.when(F.col("_next").isNotNull(), after)
+    gaps = ends.select(by, F.explode(F.array(before, after)).alias("g")).filter("g.a <= g.b")
+    return gaps.select(by, F.col("g.a").alias("gap_from"), F.col("g.b").alias("gap_to"))
+
+
+def _expanded(gaps: DataFrame, dates: DataFrame, *, by: str, ts: str) -> DataFrame:
+    """(ts, by) of every date in the gaps."""
+    places = _ordinals(dates, ts).select(ts, "_ord")
+    return gaps.select(by, F.explode(F.sequence("gap_from", "gap_to")).alias("_ord")).join(places, "_ord").select(ts, by)
+
+
+def align_outer(returns: DataFrame, *, value: str = "ret", by: str = BY, ts: str = "ts", fill: float | None = None) -> DataFrame:
     """Values of many series on the union of their dates, in long form.
 
-    One row per (ts, symbol) that exists.  A missing (ts, symbol) pair is
-    absent rather than materialised as null, which is what every consumer
-    needs: the pairwise-complete covariance (A7) skips it and the portfolio
-    sum (A26) treats it as 0.  No symbols x dates grid is ever built.
+    Every symbol has a row for every date of the union; a missing value is
+    null, or ``fill`` (0.0 for the portfolio sum).  Missing dates come from the
+    gaps between a symbol's rows, one row per gap, expanded here; consumers that
+    skip them (A7, A26) read the returns as they are.
     """
-    return returns.select(ts, by, value)
+    missing = _expanded(date_gaps(returns, returns, by=by, ts=ts), returns, by=by, ts=ts)
+    kind = returns.schema[value].dataType
+    return returns.select(ts, by, value).unionByName(missing.withColumn(value, F.lit(fill).cast(kind)))
 
 
 def asof_ffill(bars: DataFrame, slow: DataFrame, *, value: str, by: str = BY, ts: str = "ts",
@@ -160,10 +197,6 @@ def distinct_levels(df: DataFrame, col: str) -> DataFrame:
 
 def missing_dates(calendar: DataFrame, bars: DataFrame, *, by: str = BY, ts: str = "ts") -> DataFrame:
     """Calendar dates inside each symbol's own first..last date that the
-    symbol lacks.  Candidate days come from ``sequence`` over the symbol's
-    span (bounded by its date range), then an equi semi-join with the
-    calendar and an anti-join with the symbol's bars."""
-    span = bars.groupBy(by).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    cand = span.select(by, F.explode(F.sequence("_lo", "_hi")).alias(ts))
-    cand = cand.join(calendar.select(ts).distinct(), ts, "left_semi")
-    return cand.join(bars.select(by, ts), [by, ts], "left_anti")
+    symbol lacks: the gaps between its rows, expanded.  Bars off the calendar
+    are no ends of a gap."""
+    return _expanded(date_gaps(bars, calendar, by=by, ts=ts, outer=False), calendar, by=by, ts=ts).select(by, ts)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickframe.functions.signals import clamp as _clamp
+from tickframe.operators import ordered
 from tickframe.operators.series import BY
 
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -93,10 +94,10 @@ def clamp(x, lo: float = 0.0, hi: float = 100.0) -> Column:
 def validate_weights(weights: DataFrame, *, by: str = BY, col: str = "weight", percent: bool = False):
     """(valid, rejected): weights must be in (0, 100] (percent) or
     (0, 1]; the running total in key order must stay <= 100 % (1.0).
-    The weights table is a user portfolio (one row per holding)."""
+    The running total is a prefix scan over ranges of the key."""
     cap = 100.0 if percent else 1.0
-    w = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    chk = (weights.withColumn("_run", F.sum(col).over(w))
+    run = ordered.prefix(ordered.spread(weights, by), [by], [(F.col(col), "sum", "_run")]).drop(ordered.RANGE)
+    chk = (run
            .withColumn("reason", F.when((F.col(col) <= 0) | (F.col(col) > cap), F.lit("weight out of range"))
                        .when(F.col("_run") > cap + 1e-9, F.lit("total above 100%"))))
     return (chk.filter(F.col("reason").isNull()).drop("_run", "reason"),

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.operators import align
+from tickframe.operators import align, ordered
 from tickframe.operators import stats as st
 from tickframe.operators.series import BY
 
@@ -54,20 +54,18 @@ def portfolio_risk(port: DataFrame, *, col: str = "portfolio_return") -> DataFra
     """VaR 95/99 of the portfolio returns, signed max drawdown of the
     compounded value, risk score = |max drawdown| * 100.
 
-    The portfolio series has one row per date (bounded by the calendar), so
-    its running product is a single ordered window over dates.
+    Running product and running maximum are prefix scans over ranges of dates.
     """
-    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    lit = F.lit(0).alias("_all")
     f = F.lit(1.0) + F.col(col)
-    v = (port.withColumn("_lg", F.sum(F.log(F.abs(f))).over(w))
-         .withColumn("_neg", F.sum(F.when(f < 0, 1).otherwise(0)).over(w))
-         .withColumn("_zero", F.sum(F.when(f == 0, 1).otherwise(0)).over(w)))
+    v = ordered.prefix(ordered.spread(port, "ts"), ["ts"], [
+        (F.log(F.abs(f)), "sum", "_lg"), (F.when(f < 0, 1).otherwise(0), "sum", "_neg"), (F.when(f == 0, 1).otherwise(0), "sum", "_zero")])
     cum = F.when(F.col("_zero") > 0, F.lit(0.0)).otherwise(
         F.when(F.col("_neg") % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0)) * F.exp("_lg"))
-    v = v.withColumn("_cum", cum).withColumn("_peak", F.max("_cum").over(w))
-    v = v.withColumn("_dd", F.try_divide(F.col("_cum") - F.col("_peak"), F.col("_peak")))
-    g = v.agg(F.percentile(col, 0.05).alias("var_95"), F.percentile(col, 0.01).alias("var_99"),
-              F.min("_dd").alias("max_drawdown"))
+    v = ordered.prefix(v.withColumn("_cum", cum), ["ts"], [(F.col("_cum"), "max", "_peak")])
+    low = v.agg(F.min(F.try_divide(F.col("_cum") - F.col("_peak"), F.col("_peak"))).alias("max_drawdown"), F.lit(0).alias("_all"))
+    tails = ordered.exact_percentiles(port.select(lit, col), "_all", col, {"var_95": 0.05, "var_99": 0.01})
+    g = low.join(tails, "_all", "left").select("var_95", "var_99", "max_drawdown")
     return g.withColumn("risk_score", F.abs("max_drawdown") * 100.0)
 
 

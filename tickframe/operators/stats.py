@@ -4,7 +4,7 @@ Row-level inputs (returns, drawdowns, rolling vols) come from the series
 layout; the per-symbol results are ``groupBy(symbol).agg`` with algebraic
 aggregates (sum/avg/stddev/covar/corr/regr_*), which Spark combines map-side,
 so a hot symbol costs one partial buffer per task, not one task.
-Exact percentiles (A4, A10) use ``percentile``; see README for its bound.
+Exact percentiles (A4, A10) are selected by rank over a histogram (``ordered``).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.operators import indicators as ind
-from tickframe.operators import series
+from tickframe.operators import ordered, series
 from tickframe.operators.series import BY, N, RN
 
 SQRT252 = math.sqrt(252.0)
@@ -76,8 +76,7 @@ def max_drawdown(bars: DataFrame, *, by: str = BY, signed: bool = False, col: st
 def value_at_risk(bars: DataFrame, *, by: str = BY) -> DataFrame:
     """A4: 5th and 1st percentile of returns, linear interpolation (numpy)."""
     r = with_returns(bars, by=by)
-    return r.groupBy(by).agg(F.percentile("ret", 0.05).alias("var_95"),
-                             F.percentile("ret", 0.01).alias("var_99"))
+    return ordered.exact_percentiles(r, by, "ret", {"var_95": 0.05, "var_99": 0.01})
 
 
 def _aligned_returns(bars: DataFrame, index: DataFrame, *, by: str, index_key: str | None = None) -> DataFrame:
@@ -163,10 +162,9 @@ def vol_percentiles(bars: DataFrame, *, by: str = BY, n: int = 252) -> DataFrame
     r = F.col("ret")
     p = p.withColumn("_rv", series.full_rows(n, F.stddev_samp(r), r, by) * SQRT252)
     rows = series.finish(p, keep_index=True)
-    return rows.groupBy(by).agg(
-        (F.stddev_samp("ret") * SQRT252).alias("current"),
-        F.percentile("_rv", 0.25).alias("percentile_25"), F.percentile("_rv", 0.50).alias("percentile_50"),
-        F.percentile("_rv", 0.75).alias("percentile_75"), F.percentile("_rv", 0.90).alias("percentile_90"))
+    now = rows.groupBy(F.col(by).alias("_by")).agg((F.stddev_samp("ret") * SQRT252).alias("current"))
+    tails = ordered.exact_percentiles(rows, by, "_rv", {f"percentile_{q}": q / 100 for q in (25, 50, 75, 90)})
+    return now.join(tails, F.col("_by").eqNullSafe(F.col(by))).select(by, "current", *tails.columns[1:])
 
 
 def vol_forecast_simple(bars: DataFrame, *, by: str = BY) -> DataFrame:

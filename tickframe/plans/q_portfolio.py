@@ -181,11 +181,20 @@ def q_attach_weights(spark, sf_dir):
     return rounded(align.attach_weights(pf.member_returns(fx.bars(spark, sf_dir), p), p))
 
 
-@query("align_outer", Q(f"WITH {MR}\nSELECT ts, symbol, ret FROM mr", *FX, doubles=("ret",)))
+_GRID = """grid AS (SELECT ts, symbol, ret FROM (SELECT DISTINCT ts FROM mr) CROSS JOIN (SELECT DISTINCT symbol FROM mr)
+         LEFT JOIN mr USING (ts, symbol))"""
+
+
+@query("align_outer", Q(f"WITH {MR},\n{_GRID}\nSELECT * FROM grid", *FX, doubles=("ret",)))
 def q_align_outer(spark, sf_dir):
-    """Member returns on the union of their dates (long form)."""
-    p = fx.portfolio(spark)
-    return rounded(align.align_outer(pf.member_returns(fx.bars(spark, sf_dir), p)))
+    """Member returns on the union of their dates, missing ones null."""
+    return rounded(align.align_outer(pf.member_returns(fx.bars(spark, sf_dir), fx.portfolio(spark))))
+
+
+@query("align_outer_zero", Q(f"WITH {MR},\n{_GRID}\nSELECT ts, symbol, COALESCE(ret, 0.0) AS ret FROM grid", *FX, doubles=("ret",)))
+def q_align_outer_zero(spark, sf_dir):
+    """Member returns on the union of their dates, missing ones 0."""
+    return rounded(align.align_outer(pf.member_returns(fx.bars(spark, sf_dir), fx.portfolio(spark)), fill=0.0))
 
 
 @query("union_dates", Q("SELECT DISTINCT ts FROM bars", "bars"))
