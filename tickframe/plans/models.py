@@ -203,15 +203,16 @@ def _solver(names):
         import pandas
 
         for pdf in batches:
-            out = []
-            for _, r in pdf.iterrows():
-                n, m, my = r["n"], numpy.array(r["mean"], float), float(r["mean_y"])
-                xx = numpy.array(r["xtx"], float).reshape(k, k) / n
-                xy = numpy.array(r["xty"], float) / n
-                scale = numpy.sqrt(numpy.maximum(numpy.diag(xx), 1e-300))
-                w = numpy.linalg.lstsq(xx / numpy.outer(scale, scale), xy / scale, rcond=1e-12)[0] / scale
-                out.append((r["key"], float(my - w @ m), [float(c) for c in w]))
-            yield pandas.DataFrame(out, columns=["key", "intercept", "coef"])
+            if not len(pdf):
+                continue
+            n, my = pdf["n"].to_numpy(float), pdf["mean_y"].to_numpy(float)
+            m = numpy.stack(pdf["mean"])
+            xx = numpy.stack(pdf["xtx"]).reshape(-1, k, k) / n[:, None, None]
+            xy = numpy.stack(pdf["xty"]) / n[:, None]
+            scale = numpy.sqrt(numpy.maximum(numpy.diagonal(xx, axis1=1, axis2=2), 1e-300))
+            inverse = numpy.linalg.pinv(xx / (scale[:, :, None] * scale[:, None, :]), rcond=1e-12, hermitian=True)
+            w = (inverse @ (xy / scale)[:, :, None])[:, :, 0] / scale
+            yield pandas.DataFrame({"key": pdf["key"], "intercept": my - (w * m).sum(1), "coef": list(w)})
     return solve
 
 

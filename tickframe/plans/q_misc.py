@@ -11,10 +11,10 @@ from tickframe.operators import scores as scr
 from tickframe.operators import stats as st
 from tickframe.plans import models as ml
 from tickframe.plans.catalog import query
-from tickframe.plans.q_indicators import BASE
+from tickframe.plans.q_indicators import _G, _L, _MACDR_CTES, BASE
 from tickframe.plans.q_stats import _TREND, _overall_sql
 from tickframe.plans.q_text import HEADLINE, NEG, POS, s_polarity
-from tickframe.plans.sqlkit import Q, R, rounded
+from tickframe.plans.sqlkit import Q, R, ewm_cte, rounded
 from tickframe.sources import fixtures as fx
 from tickframe.sources import scans
 from tickframe.streaming import jobs
@@ -226,10 +226,42 @@ def q_model_scores(spark, sf_dir):
     return ml.score_latest(models, ft.filter(F.col("is_latest")))
 
 
-@query("forecast_linear")
+def _linear_sql(days: int = 30, decay: float = 0.99) -> str:
+    """Least squares by successive elimination: every feature is taken out of
+    the later ones and of the close; row -1 carries the means along."""
+    xs = [f"x{i}" for i in range(1, 7)]
+    steps = []
+    for j, x in enumerate(xs):
+        slope = lambda v, x=x: f"SUM({x} * {v}) FILTER (fit) / SUM({x} * {x}) FILTER (fit)"
+        later = xs[j + 1:]
+        steps.append(f"s{j} AS (SELECT symbol, {slope('y')} AS b{''.join(f', {slope(v)} AS c_{v}' for v in later)} FROM z{j} GROUP BY symbol),\n"
+                     f"z{j + 1} AS (SELECT symbol, rn, fit, y - b * {x} AS y, p + b * {x} AS p"
+                     f"{''.join(f', {v} - c_{v} * {x} AS {v}' for v in later)} FROM z{j} JOIN s{j} USING (symbol))")
+    mean = lambda k: f"AVG(close) OVER (w ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    nl = ",\n"
+    return f"""WITH {BASE},
+{_MACDR_CTES},
+gl AS (SELECT symbol, rn, {_G} AS g, {_L} AS l FROM br),
+{ewm_cte("eg", "gl", "g", 1 / 14, False, min_periods=14)},
+{ewm_cte("el", "gl", "l", 1 / 14, False, min_periods=14)},
+ft AS (SELECT br.symbol, br.rn, close AS y, {mean(20)} AS x1, {mean(50)} AS x2,
+         CASE WHEN el.val = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + eg.val / el.val) END AS x3, m.macd_rec_diff AS x4, {mean(5)} AS x5, {mean(10)} AS x6
+       FROM br JOIN eg ON br.symbol = eg.symbol AND br.rn = eg.rn JOIN el ON br.symbol = el.symbol AND br.rn = el.rn
+       JOIN m ON br.symbol = m.symbol AND br.rn = m.rn WINDOW w AS (PARTITION BY br.symbol ORDER BY br.rn)),
+fit AS (SELECT * FROM ft WHERE rn >= 49),
+mu AS (SELECT symbol, MAX(rn) AS last, AVG(y) AS my, {", ".join(f"AVG({x}) AS m{x}" for x in xs)} FROM fit GROUP BY symbol),
+z0 AS (SELECT symbol, rn, TRUE AS fit, y - my AS y, 0.0::DOUBLE AS p, {", ".join(f"{x} - m{x} AS {x}" for x in xs)} FROM fit JOIN mu USING (symbol)
+       UNION ALL SELECT symbol, -1, FALSE, 0.0, 0.0, {", ".join(f"m{x}" for x in xs)} FROM mu),
+{nl.join(steps)},
+e AS (SELECT mu.symbol, my - a.p AS intercept, a.p + z.p AS wx FROM mu JOIN z6 a ON a.symbol = mu.symbol AND a.rn = -1
+      JOIN z6 z ON z.symbol = mu.symbol AND z.rn = mu.last)
+SELECT symbol, CAST(day AS INTEGER) AS day, intercept + POWER({decay}, day - 1) * wx AS predicted FROM e, range(1, {days + 1}) r(day)"""
+
+
+@query("forecast_linear", Q(_linear_sql(), "bars", doubles=("predicted",)))
 def q_forecast_linear(spark, sf_dir):
     """Per-symbol OLS forecast path (30 days, decay 0.99)."""
-    return ml.forecast_linear(fx.bars(spark, sf_dir), 30)
+    return rounded(ml.forecast_linear(fx.bars(spark, sf_dir), 30))
 
 
 @query("trend_probability")
