@@ -25,6 +25,7 @@ from tickframe.functions import signals as sg
 from tickframe.operators import align, clean
 from tickframe.operators import indicators as ind
 from tickframe.operators import series
+from tickframe.operators import stats as st
 from tickframe.operators.series import BY, N, RN
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
@@ -129,15 +130,33 @@ def fit_models(train: DataFrame, *, seed: int = 42, trees: int = 100, risk_trees
 
 
 def score_latest(models: dict, latest: DataFrame, *, by: str = BY, relative_risk: bool = False) -> DataFrame:
-    """M10 + A22 + X11-X15: apply the five models to each symbol's latest
-    feature row; derive scores, labels and the model score.
+    """Apply the five models to each symbol's latest feature row and score
+    the predictions."""
+    out = latest
+    for m in models.values():
+        out = m.transform(out).drop("_raw", "features")
+    return score_predictions(out, by=by, relative_risk=relative_risk)
+
+
+def persistence_predictions(bars: DataFrame, fundamentals: DataFrame, *, by: str = BY) -> DataFrame:
+    """The five predictions of a forecaster that expects what was: the last 30-row
+    return, the share of rising closes and the deviation of the close among the
+    last 20 rows, a mood from the last 7-row return, the revenue growth."""
+    back = lambda k: F.max(F.when(F.col(RN) == F.col(N) - 1 - k, F.col("close")))
+    late = lambda x: F.when(F.col(RN) >= F.col(N) - 20, x)
+    g = st.with_returns(bars, by=by).groupBy(by).agg(
+        F.max("ts").alias("ts"), back(0).alias("close"), (back(0) / back(30) - 1.0).alias("pred_price"),
+        F.avg(late(F.when(F.col("ret") > 0, 1.0).otherwise(0.0))).alias("pred_trend"), F.stddev_samp(late(F.col("close"))).alias("pred_risk"),
+        (F.lit(50.0) + (back(0) / back(7) - 1.0) * 500.0).alias("pred_sentiment"))
+    return g.join(fundamentals.select(by, F.col("revenue_growth").alias("pred_fundamental")), by)
+
+
+def score_predictions(out: DataFrame, *, by: str = BY, relative_risk: bool = False) -> DataFrame:
+    """A22 + X11-X15: scores, labels and the model score of given predictions.
 
     The price part is 50 + 1000 * return, the trend part the strength of the
     bucket, the risk part the clamped prediction * 100; ``relative_risk``
     divides the predicted price deviation by the price first (SURVEY Q18)."""
-    out = latest
-    for m in models.values():
-        out = m.transform(out).drop("_raw", "features")
     price_score = F.lit(50.0) + F.col("pred_price") * 1000.0
     trend_score = sg.trend_bucket_strength("pred_trend") * 100.0
     risk_score = sg.clamp(F.col("pred_risk") / (F.col("close") if relative_risk else F.lit(1.0)) * 100.0)

@@ -226,6 +226,42 @@ def q_model_scores(spark, sf_dir):
     return ml.score_latest(models, ft.filter(F.col("is_latest")))
 
 
+def _within(x: str, lo: float = 0.0, hi: float = 100.0) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN GREATEST({lo}, LEAST({hi}, {x})) END"
+
+
+_GIVEN = f"""WITH {BASE},
+lastly AS (SELECT symbol, MAX(ts) AS ts, MAX(close) FILTER (rn = n - 1) AS close, MAX(close) FILTER (rn = n - 31) AS c30, MAX(close) FILTER (rn = n - 8) AS c7,
+  AVG(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) FILTER (rn >= n - 20) AS pred_trend, STDDEV_SAMP(close) FILTER (rn >= n - 20) AS pred_risk FROM br GROUP BY symbol),
+p AS (SELECT symbol, ts, close, close / c30 - 1.0 AS pred_price, pred_trend, pred_risk, 50.0 + (close / c7 - 1.0) * 500.0 AS pred_sentiment,
+  revenue_growth AS pred_fundamental FROM lastly JOIN fundamentals USING (symbol)),
+s AS (SELECT *, 50.0 + pred_price * 1000.0 AS price_score, 100.0 * (CASE WHEN pred_trend > 0.6 THEN pred_trend WHEN pred_trend < 0.4 THEN 1.0 - pred_trend ELSE 0.5 END)
+  AS trend_score, {_within("pred_risk / close * 100.0")} AS risk_score, {_within("pred_sentiment")} AS sentiment_score,
+  {_within("(pred_fundamental + 0.2) * 250.0")} AS fundamental_score,
+  (({_within("ABS(pred_price) * 10.0 + 0.5", 0.1, 0.95)}) + ({_within("ABS(pred_trend - 0.5) * 2.0 + 0.5", 0.1, 0.95)})
+   + ({_within("ABS(pred_risk / close - 0.2) * 5.0 + 0.5", 0.1, 0.95)})) / 3.0 AS confidence FROM p),
+m AS (SELECT *, {_within("price_score * 0.25 + trend_score * 0.2 + (100.0 - risk_score) * 0.2 + sentiment_score * 0.15 + fundamental_score * 0.2")} AS model_score FROM s)
+SELECT *, CASE WHEN pred_price > 0.02 THEN 'bullish' WHEN pred_price < -0.02 THEN 'bearish' ELSE 'neutral' END AS price_direction,
+  CASE WHEN pred_trend > 0.7 THEN 'strong_uptrend' WHEN pred_trend > 0.6 THEN 'uptrend' WHEN pred_trend < 0.3 THEN 'strong_downtrend'
+       WHEN pred_trend < 0.4 THEN 'downtrend' ELSE 'sideways' END AS trend_direction,
+  CASE WHEN risk_score > 70 THEN 'very_high' WHEN risk_score > 50 THEN 'high' WHEN risk_score > 30 THEN 'medium' WHEN risk_score > 15 THEN 'low' ELSE 'very_low' END AS risk_level,
+  CASE WHEN sentiment_score > 70 THEN 'very_positive' WHEN sentiment_score > 60 THEN 'positive' WHEN sentiment_score > 40 THEN 'neutral'
+       WHEN sentiment_score > 30 THEN 'negative' ELSE 'very_negative' END AS sentiment,
+  CASE WHEN fundamental_score > 80 THEN 'A+' WHEN fundamental_score > 70 THEN 'A' WHEN fundamental_score > 60 THEN 'B+' WHEN fundamental_score > 50 THEN 'B'
+       WHEN fundamental_score > 40 THEN 'C+' WHEN fundamental_score > 30 THEN 'C' WHEN fundamental_score > 20 THEN 'D' ELSE 'F' END AS grade,
+  CASE WHEN model_score >= 85 THEN 'Strong Buy' WHEN model_score >= 70 THEN 'Buy' WHEN model_score >= 55 THEN 'Hold' WHEN model_score >= 40 THEN 'Sell'
+       ELSE 'Strong Sell' END AS recommendation FROM m"""
+
+
+@query("model_score", Q(_GIVEN, "bars", "fundamentals", doubles=(
+    "close", "pred_price", "pred_trend", "pred_risk", "pred_sentiment", "pred_fundamental", "price_score", "trend_score", "risk_score",
+    "sentiment_score", "fundamental_score", "confidence", "model_score")))
+def q_model_score(spark, sf_dir):
+    """Scores and labels of given predictions (persistence), per symbol."""
+    given = ml.persistence_predictions(fx.bars(spark, sf_dir), fx.fundamentals(spark, sf_dir))
+    return rounded(ml.score_predictions(given, relative_risk=True))
+
+
 def _linear_sql(days: int = 30, decay: float = 0.99) -> str:
     """Least squares by successive elimination: every feature is taken out of
     the later ones and of the close; row -1 carries the means along."""
