@@ -179,6 +179,26 @@ def score_predictions(out: DataFrame, *, by: str = BY, relative_risk: bool = Fal
                       sg.recommendation("model_score", model=True).alias("recommendation"))
 
 
+def prediction_report(out: DataFrame, *, by: str = BY, relative_risk: bool = False) -> DataFrame:
+    """One row per symbol with five structs (price, trend, risk, sentiment,
+    fundamental), each with its own confidence, and the overall score and advice.
+    Missing predictions leave nulls in their struct."""
+    s = score_predictions(out, by=by, relative_risk=relative_risk)
+    spread = F.col("pred_risk") / F.col("close")
+    return s.select(
+        by, "ts",
+        F.struct(F.col("close").alias("current_price"), (F.col("close") * (F.col("pred_price") + 1.0)).alias("predicted_price"),
+                 F.col("pred_price").alias("expected_return"), F.col("price_direction").alias("direction"),
+                 sg.confidence("pred_price", 10.0).alias("confidence")).alias("price"),
+        F.struct(F.col("trend_direction").alias("direction"), sg.trend_bucket_strength("pred_trend").alias("strength"),
+                 F.col("pred_trend").alias("probability"), sg.confidence("pred_trend", 2.0, 0.5).alias("confidence")).alias("trend"),
+        F.struct("risk_level", "risk_score", spread.alias("predicted_volatility"), sg.confidence(spread, 5.0, 0.2).alias("confidence")).alias("risk"),
+        F.struct("sentiment", F.col("sentiment_score").alias("score"), sg.confidence("sentiment_score", 0.02, 50.0).alias("confidence")).alias("sentiment"),
+        F.struct(F.col("fundamental_score").alias("score"), "grade", F.col("pred_fundamental").alias("expected_return"),
+                 sg.confidence("pred_fundamental", 5.0).alias("confidence")).alias("fundamental"),
+        "model_score", "recommendation")
+
+
 def regression_metrics(pred: DataFrame, *, label: str, prediction: str = "prediction") -> dict:
     """A36 via MLlib's evaluator (also available as a DataFrame: stats.regression_metrics)."""
     ev = RegressionEvaluator(labelCol=label, predictionCol=prediction)

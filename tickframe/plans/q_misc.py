@@ -262,6 +262,31 @@ def q_model_score(spark, sf_dir):
     return rounded(ml.score_predictions(given, relative_risk=True))
 
 
+_PARTS = {"price": ("current_price", "predicted_price", "expected_return", "direction", "confidence"),
+          "trend": ("direction", "strength", "probability", "confidence"),
+          "risk": ("risk_level", "risk_score", "predicted_volatility", "confidence"),
+          "sentiment": ("sentiment", "score", "confidence"), "fundamental": ("score", "grade", "expected_return", "confidence")}
+_WORDS = ("direction", "risk_level", "sentiment", "grade")
+
+
+@query("model_report", Q(f"""WITH g AS ({_GIVEN})
+SELECT symbol, ts, close AS price_current_price, close + close * pred_price AS price_predicted_price, pred_price AS price_expected_return,
+  price_direction, {_within("ABS(pred_price) * 10.0 + 0.5", 0.1, 0.95)} AS price_confidence, trend_direction, trend_score / 100.0 AS trend_strength,
+  pred_trend AS trend_probability, {_within("ABS(pred_trend - 0.5) * 2.0 + 0.5", 0.1, 0.95)} AS trend_confidence, risk_level AS risk_risk_level,
+  risk_score AS risk_risk_score, pred_risk / close AS risk_predicted_volatility, {_within("ABS(pred_risk / close - 0.2) * 5.0 + 0.5", 0.1, 0.95)} AS risk_confidence,
+  sentiment AS sentiment_sentiment, sentiment_score, {_within("ABS(sentiment_score - 50.0) / 50.0 + 0.5", 0.1, 0.95)} AS sentiment_confidence,
+  fundamental_score, grade AS fundamental_grade, pred_fundamental AS fundamental_expected_return,
+  {_within("ABS(pred_fundamental) * 5.0 + 0.5", 0.1, 0.95)} AS fundamental_confidence, model_score, recommendation
+FROM g""", "bars", "fundamentals",
+    doubles=[f"{part}_{c}" for part, cols in _PARTS.items() for c in cols if c not in _WORDS] + ["model_score"]))
+def q_model_report(spark, sf_dir):
+    """The five structs of the per-symbol report (P10 opens them), persistence predictions."""
+    given = ml.persistence_predictions(fx.bars(spark, sf_dir), fx.fundamentals(spark, sf_dir))
+    report = ml.prediction_report(given, relative_risk=True)
+    opened = [F.col(f"{part}.{c}").alias(f"{part}_{c}") for part, cols in _PARTS.items() for c in cols]
+    return rounded(report.select("symbol", "ts", *opened, "model_score", "recommendation"))
+
+
 def _linear_sql(days: int = 30, decay: float = 0.99) -> str:
     """Least squares by successive elimination: every feature is taken out of
     the later ones and of the close; row -1 carries the means along."""
