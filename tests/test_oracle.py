@@ -10,7 +10,8 @@ from tests.conftest import SF001
 
 NAMES = ["technical_snapshot", "rsi_sma", "bollinger", "beta", "value_at_risk", "news_sentiment",
          "portfolio_metrics", "asof_ffill", "signal_backtest", "reward_rollup", "sector_top3", "ema_adjusted",
-         "ema_recursive", "macd", "obv", "cumulative_return", "monthly_targets", "path_direction", "validate_weights", "common_dates"]
+         "ema_recursive", "macd", "obv", "cumulative_return", "monthly_targets", "path_direction", "validate_weights", "common_dates",
+         "latest_rewards", "model_status", "sample_range_200"]
 NAMES += sorted(n for n, q in ent.queries().items()
                 if n in ent.oracle_sql() and q.__module__.rpartition(".")[2] in ("q_operators", "q_extra", "q_misc", "q_training"))
 
@@ -83,3 +84,18 @@ def test_human_number(spark):
 
     got = spark.createDataFrame([(12.345,), (-5e6,), (1234.0,), (2.5e9,), (None,)], "x double").select(human_number(F.col("x"))).collect()
     assert [r[0] for r in got] == ["12.35", "-5000000.00", "1.2K", "2.5B", None]
+
+
+def test_latest_rewards_and_status(spark):
+    from tickframe.operators import scores
+
+    runs = spark.createDataFrame([("a", 1, 500.0, 3), ("a", 2, 200.0, 4), ("a", 2, 100.0, 9), ("b", None, 50.0, 1), ("c", 7, None, None)],
+                                 "symbol string, trained_at int, total_reward double, training_samples long")
+    got = {r.symbol: tuple(r)[1:] for r in scores.latest_rewards(runs).collect()}
+    assert got == {"a": (2, 200.0, 4, 3, 0.02), "b": (None, 50.0, 1, 1, 0.005), "c": (7, None, None, 1, None)}
+    assert scores.latest_rewards(runs.limit(0)).count() == 0
+    rewards = spark.createDataFrame([("a", 1.0, -1.0, 0.0, None, 3.0), ("a", 3.0, 0.0, 0.0, None, None)], "symbol string, " + ", ".join(
+        f"reward_{m} double" for m in scores.MODELS))
+    got = {r.model: (r.weight, r.status) for r in scores.model_status(rewards).collect()}
+    assert got == {"price": (2.0, "Good"), "trend": (-0.5, "Needs Training"), "risk": (0.0, "Needs Training"),
+                   "sentiment": (0.0, "Needs Training"), "fundamental": (3.0, "Good")}

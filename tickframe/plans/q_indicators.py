@@ -253,6 +253,13 @@ def q_sample_range(spark, sf_dir):
     return rounded(ind.sample_range(fx.bars(spark, sf_dir)).select("symbol", "ts", "close"))
 
 
+@query("sample_range_200", Q(f"WITH {BASE}\nSELECT symbol, ts, close FROM br WHERE rn >= 200 AND rn < n - 30",
+                             "bars", doubles=("close",)))
+def q_sample_range_200(spark, sf_dir):
+    """Rows with index in [200, n - 30)."""
+    return rounded(ind.sample_range(fx.bars(spark, sf_dir), start=200).select("symbol", "ts", "close"))
+
+
 @query("direction_hit_rate", Q(f"""WITH {BASE},
 h AS (SELECT symbol, CASE WHEN COUNT(ret) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) = 10
                              AND ret IS NOT NULL THEN

@@ -4,6 +4,9 @@ T3, T5), overviews (A23, A24), learners (M1, M4-M14, M18, G3) and streaming
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.operators import clean, ranking
@@ -45,6 +48,48 @@ def q_bars_lookback(spark, sf_dir):
     return rounded(scans.bars_lookback(fx.bars(spark, sf_dir), "1y").select("symbol", "ts", "close"))
 
 
+_PERIODS = {"1d": "CAST(l.last AS DATE) - 1", "5d": "CAST(l.last AS DATE) - 5", "ytd": "CAST(date_trunc('year', l.last) AS DATE) - 1",
+            "max": "DATE '0001-01-01'"}
+_PERIODS |= {p: f"CAST(l.last - INTERVAL {n} MONTH AS DATE)" for p, n in
+             {"1mo": 1, "3mo": 3, "6mo": 6, "2y": 24, "5y": 60, "10y": 120}.items()}
+
+
+@query("bars_lookback_periods", Q("""WITH l AS (SELECT symbol, MAX(ts) AS last FROM bars GROUP BY symbol)
+""" + "\nUNION ALL ".join(f"""SELECT '{p}' AS period, b.symbol, COUNT(*) AS bars, CAST(MIN(b.ts) AS DATE) AS first_ts, SUM(b.close) AS total
+FROM bars b JOIN l USING (symbol) WHERE b.ts > {e} GROUP BY b.symbol""" for p, e in _PERIODS.items()), "bars", doubles=("total",)))
+def q_bars_lookback_periods(spark, sf_dir):
+    """S3: every other look-back period: number, first date and total close of its bars per symbol."""
+    bars = fx.bars(spark, sf_dir)
+    parts = [scans.bars_lookback(bars, p).groupBy(F.lit(p).alias("period"), "symbol")
+             .agg(F.count(F.lit(1)).alias("bars"), F.min("ts").cast("date").alias("first_ts"), F.sum("close").alias("total")) for p in _PERIODS]
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
+_MONTHLY = {"1mo": "month", "3mo": "quarter"}
+_INTRADAY = {"5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "60m": "60 minutes", "90m": "90 minutes", "1h": "1 hour", "5d": "5 days"}
+
+
+@query("bars_resample_intervals", Q("\nUNION ALL ".join(f"""SELECT '{i}' AS "interval", symbol, CAST(date_trunc('{unit}', ts) AS DATE) AS ts,
+  arg_min(open, ts) AS open, MAX(high) AS high, MIN(low) AS low, arg_max(close, ts) AS close, SUM(volume) AS volume
+FROM bars GROUP BY symbol, CAST(date_trunc('{unit}', ts) AS DATE)""" for i, unit in _MONTHLY.items()), "bars", doubles=_OHLCV))
+def q_bars_resample_intervals(spark, sf_dir):
+    """Monthly and quarterly OHLCV bars."""
+    bars = fx.bars(spark, sf_dir)
+    return rounded(reduce(DataFrame.unionByName, [scans.bars_resample(bars, i).select(F.lit(i).alias("interval"), "*") for i in _MONTHLY]))
+
+
+@query("bars_resample_intraday", R("\nUNION ALL ".join(f"""SELECT '{i}' AS "interval", event_type AS symbol,
+  strftime(time_bucket(INTERVAL '{length}', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS ts, arg_min(value, ts) AS open, MAX(value) AS high,
+  MIN(value) AS low, arg_max(value, ts) AS close, COUNT(*) * 1.0 AS volume FROM ticks GROUP BY ALL""".replace("FROM ticks", """FROM (SELECT event_type, ts, MAX(value) AS value
+  FROM events GROUP BY event_type, ts)""") for i, length in _INTRADAY.items()), *_OHLCV))
+def q_bars_resample_intraday(spark, sf_dir):
+    """5-minute to 5-day bars of the ticks (the highest of ticks at one time)."""
+    ticks = fx.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol"), "ts").agg(F.max("value").alias("close"))
+    bars = ticks.select("symbol", "ts", *[F.col("close").alias(c) for c in _OHLCV[:4]], F.lit(1.0).alias("volume"))
+    got = reduce(DataFrame.unionByName, [scans.bars_resample(bars, i).select(F.lit(i).alias("interval"), "*") for i in _INTRADAY])
+    return rounded(got.withColumn("ts", _time("ts")))
+
+
 @query("bars_range", Q("""SELECT symbol, ts, close FROM bars WHERE ts >= DATE '1995-01-01' AND ts < DATE '1996-01-01'""",
                        "bars", doubles=("close",)))
 def q_bars_range(spark, sf_dir):
@@ -354,7 +399,7 @@ _TICKS = "SELECT event_type AS symbol, ts, event_id, value AS price FROM events"
   "open", "high", "low", "close"))
 def q_stream_bars(spark, sf_dir):
     """ST1: hourly OHLCV bars from the tick stream, equal to the batch bars."""
-    got = jobs.run_to_table(jobs.stream_bars(jobs.tick_stream(spark, sf_dir)), "stream_bars")
+    got = jobs.replay_ticks(spark, sf_dir, jobs.stream_bars, "stream_bars")
     return rounded(jobs.latest(got, "symbol", "ts").withColumn("ts", _time("ts")))
 
 
@@ -364,7 +409,7 @@ FROM (SELECT symbol, price, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 1
       FROM ({_TICKS}), (SELECT UNNEST([0, 1, 2, 3]) AS k)) GROUP BY symbol, start""", "mean_price"))
 def q_stream_sliding_mean(spark, sf_dir):
     """ST2: 1-hour windows sliding by 15 minutes, equal to the batch windows."""
-    got = jobs.run_to_table(jobs.stream_sliding_mean(jobs.tick_stream(spark, sf_dir)), "stream_sliding")
+    got = jobs.replay_ticks(spark, sf_dir, jobs.stream_sliding_mean, "stream_sliding")
     got = jobs.latest(got, "symbol", "window_start", "window_end")
     return rounded(got.withColumn("window_start", _time("window_start")).withColumn("window_end", _time("window_end")))
 
@@ -376,7 +421,8 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY ts DESC, event_i
 WHERE r <= 2 GROUP BY symbol""", "price", "previous_price", "change_percent"))
 def q_stream_snapshot(spark, sf_dir):
     """ST3: final per-symbol snapshot state (last price, % change)."""
-    return rounded(jobs.stream_snapshot(jobs.tick_stream(spark, sf_dir), "stream_snapshot").withColumn("last_ts", _time("last_ts")))
+    got = jobs.replay_ticks(spark, sf_dir, jobs.stream_snapshot, "stream_snapshot")
+    return rounded(jobs.latest(got, "symbol").withColumn("last_ts", _time("last_ts")))
 
 
 @query("stream_news_sentiment", Q(f"""SELECT symbol, strftime(time_bucket(INTERVAL 7 DAY, CAST(p_date AS TIMESTAMP), TIMESTAMP '1970-01-01'),

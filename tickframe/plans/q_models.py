@@ -298,3 +298,37 @@ def q_reward_rollup(spark, sf_dir):
     """Mean reward per model -> per-symbol total and mean, sample count."""
     from tickframe.operators.scores import reward_rollup
     return rounded(reward_rollup(_reward_frame(spark, sf_dir)))
+
+
+_RUNS = ("WITH rs AS (" + _RW + """),
+m AS (SELECT symbol, year(ts) AS y, model, AVG(reward) AS mean_reward, COUNT(*) AS samples FROM rs
+      UNPIVOT (reward FOR model IN (reward_price AS 'price', reward_trend AS 'trend', reward_risk AS 'risk',
+                                    reward_sentiment AS 'sentiment', reward_fundamental AS 'fundamental'))
+      GROUP BY symbol, year(ts), model),
+t AS (SELECT symbol, y, SUM(mean_reward) AS total_reward, MAX(samples) AS training_samples FROM m GROUP BY symbol, y)
+SELECT symbol, CAST(MAX(y) AS INTEGER) AS trained_at, arg_max(total_reward, y) AS latest_total, arg_max(training_samples, y) AS training_samples,
+       COUNT(*) AS runs FROM t GROUP BY symbol""")
+
+
+@query("latest_rewards", Q(_RUNS, "bars", doubles=("latest_total",)))
+def q_latest_rewards(spark, sf_dir):
+    """One run a calendar year per symbol and its latest total (its share of
+    the greatest score is half a unit of the fourth decimal too often to be compared)."""
+    from tickframe.operators.scores import latest_rewards, reward_rollup
+    runs = _reward_frame(spark, sf_dir).withColumn("run", F.struct("symbol", F.year("ts").alias("trained_at")))
+    totals = reward_rollup(runs, by="run").select("run.*", "total_reward", "training_samples")
+    return rounded(latest_rewards(totals).drop("progress_percentage"))
+
+
+_STATUS = ("WITH rs AS (" + _RW + """)
+SELECT symbol, model, AVG(reward) AS weight, CASE WHEN AVG(reward) > 0 THEN 'Good' ELSE 'Needs Training' END AS status FROM rs
+UNPIVOT (reward FOR model IN (reward_price AS 'price', reward_trend AS 'trend', reward_risk AS 'risk',
+                              reward_sentiment AS 'sentiment', reward_fundamental AS 'fundamental'))
+GROUP BY symbol, model""")
+
+
+@query("model_status", Q(_STATUS, "bars", doubles=("weight",)))
+def q_model_status(spark, sf_dir):
+    """Weight and status of each symbol's models."""
+    from tickframe.operators.scores import model_status
+    return rounded(model_status(_reward_frame(spark, sf_dir)))

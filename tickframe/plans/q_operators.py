@@ -119,6 +119,23 @@ def q_model_store(spark, sf_dir):
     return rounded(got.agg((at(1) - at(0)).alias("slope"), at(0).alias("intercept")), 2)
 
 
+@query("model_score_store", R("""SELECT SUM(l_quantity) * 1.0 AS current_score, 1e6 AS max_score, SUM(l_quantity) / 1e4 AS progress_percentage,
+  CAST(CAST(MAX(l_shipdate) AS DATE) AS VARCHAR) AS timestamp, regr_intercept(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)) AS intercept FROM lineitem""",
+  "current_score", "max_score", "progress_percentage", "intercept", digits=2))
+def q_model_score_store(spark, sf_dir):
+    """The score of a run stored beside its model (the total quantity stands
+    in for the score) and read back with the model's prediction at 0."""
+    from pyspark.ml.regression import LinearRegression
+
+    t = fx.table(spark, sf_dir, "lineitem")
+    li = t.select(F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("price"))
+    path = _folder(spark, "model-score")
+    model = ml._pipe(["q"], LinearRegression(labelCol="price", solver="normal"), scaler=None).fit(li)
+    scans.model_sink(model, path, score=t.agg(F.sum("l_quantity").alias("current_score"), F.max(F.to_date("l_shipdate")).alias("timestamp")))
+    zero = scans.model_scan(path).transform(spark.range(1).select(F.col("id").cast("double").alias("q")))
+    return rounded(scans.score_scan(spark, path).join(zero.select(F.col("prediction").alias("intercept"))), 2)
+
+
 @query("select_available", Q("SELECT symbol, ts, close, volume FROM bars", "bars", doubles=("close", "volume")))
 def q_select_available(spark, sf_dir):
     """The wanted columns that exist."""

@@ -191,9 +191,25 @@ def records_sink(df: DataFrame, path: str, *, fmt: str = "json", partition_by=No
     w.format(fmt).save(path)
 
 
-def model_sink(model, path: str) -> None:
-    """Persist a fitted MLlib model / pipeline model."""
+#: The score that a run can reach.
+MAX_SCORE = 1e6
+
+
+def model_sink(model, path: str, *, score: DataFrame | None = None, max_score: float = MAX_SCORE) -> None:
+    """Persist a fitted MLlib model / pipeline model and, beside it, the score
+    of its run: ``score`` has one row (current_score, timestamp), from which the
+    share of ``max_score`` in percent follows.  An earlier model and score are replaced."""
     model.write().overwrite().save(path)
+    if score is not None:
+        current = F.col("current_score").cast("double")
+        (score.select(current.alias("current_score"), F.lit(float(max_score)).alias("max_score"),
+                      (current / max_score * 100.0).alias("progress_percentage"), F.col("timestamp").cast("string").alias("timestamp"))
+         .write.mode("overwrite").json(f"{path}/performance"))
+
+
+def score_scan(spark: SparkSession, path: str) -> DataFrame:
+    """The score stored beside a model by ``model_sink``."""
+    return spark.read.schema("current_score double, max_score double, progress_percentage double, timestamp string").json(f"{path}/performance")
 
 
 def model_scan(path: str, cls=None):
