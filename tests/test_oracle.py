@@ -16,6 +16,10 @@ NAMES += sorted(n for n, q in ent.queries().items()
                 if n in ent.oracle_sql() and q.__module__.rpartition(".")[2] in ("q_operators", "q_extra", "q_misc", "q_training"))
 
 
+#: A 200-row mean of cents is a rounding tie in the fourth decimal as often as not.
+TIED = {"sma_200"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 4) + 0.0
@@ -46,10 +50,10 @@ def test_query_matches_oracle(spark, con, name):
     assert len(srows) == len(orows)
     ties = 0
     for a, b in zip(srows, orows):
-        for x, y in zip(a, b):
+        for col, x, y in zip(cols, a, b):
             if isinstance(x, float) and isinstance(y, float) and x != y:
                 assert abs(x - y) <= 1.5e-4
-                ties += 1
+                ties += col not in TIED
             else:
                 assert x == y
     assert ties <= len(srows) // 200  # a mean on a rounding tie, summed in another order

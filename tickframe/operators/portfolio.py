@@ -9,14 +9,18 @@ complete (J11 restricted to the portfolio universe, whose size is checked).
 from __future__ import annotations
 
 import math
+import sys
 
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.operators import align, ordered
 from tickframe.operators import stats as st
 from tickframe.operators.series import BY
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
+
 SQRT252 = math.sqrt(252.0)
 
 
@@ -69,15 +73,56 @@ def portfolio_risk(port: DataFrame, *, col: str = "portfolio_return") -> DataFra
     return g.withColumn("risk_score", F.abs("max_drawdown") * 100.0)
 
 
+def _pair_moments(k: int):
+    """Sums over a task's dates for every pair of members that share one: number
+    of dates, both sums and the sum of products."""
+    def run(batches):
+        import numpy
+        import pyarrow
+
+        n, sums, products = (numpy.zeros((k, k)) for _ in range(3))
+        for batch in batches:
+            members = batch.column("members")
+            flat = members.flatten()
+            row = numpy.repeat(numpy.arange(len(members)), numpy.diff(members.offsets.to_numpy()))
+            place = flat.field("place").to_numpy()
+            x, there = numpy.zeros((len(members), k)), numpy.zeros((len(members), k))
+            x[row, place], there[row, place] = flat.field("x").to_numpy(zero_copy_only=False), 1.0
+            n += there.T @ there
+            sums += x.T @ there
+            products += x.T @ x
+        i, j = numpy.nonzero(numpy.triu(n))
+        yield pyarrow.RecordBatch.from_arrays([pyarrow.array(c) for c in (i, j, n[i, j], sums[i, j], sums[j, i], products[i, j])],
+                                              ["a", "b", "n", "sum_a", "sum_b", "sum_ab"])
+    return run
+
+
 def covariance_matrix(bars: DataFrame, weights: DataFrame, *, by: str = BY) -> DataFrame:
     """A7 (+J11): annualised pairwise-complete covariance of member returns,
-    long form (sym_a, sym_b, cov) with both (a, b) and (b, a)."""
-    r = member_returns(bars, weights, by=by)
-    pairs = align.pairwise_series(r, weights, by=by)
-    half = pairs.groupBy("sym_a", "sym_b").agg((F.covar_samp("ret_a", "ret_b") * 252.0).alias("cov"))
-    mirror = half.filter(F.col("sym_a") != F.col("sym_b")).select(
-        F.col("sym_b").alias("sym_a"), F.col("sym_a").alias("sym_b"), "cov")
-    return half.unionByName(mirror)
+    long form (sym_a, sym_b, cov) with both (a, b) and (b, a).
+
+    A date's returns, less each member's mean, make one row of a dates x members
+    matrix; tasks add up its products, so what they send does not grow with
+    the dates.  A member has one return a date; pairs with one common date have a
+    null covariance, pairs with none no row."""
+    r = member_returns(bars, weights, by=by).filter(F.col("ret").isNotNull()).select("ts", by, "ret")
+    members = weights.select(by).distinct()
+    k = members.count()
+    if k > align.MAX_PAIR_UNIVERSE:
+        raise ValueError(f"universe of {k} symbols exceeds {align.MAX_PAIR_UNIVERSE}")
+    places = members.select(by, (F.row_number().over(Window.orderBy(by)) - 1).alias("place"))  # at most MAX_PAIR_UNIVERSE rows
+    means = r.groupBy(by).agg(F.avg("ret").alias("_m")).join(places, by)
+    dates = (r.join(means, by).groupBy("ts")
+             .agg(F.collect_list(F.struct("place", (F.col("ret") - F.col("_m")).alias("x"))).alias("members")).select("members"))
+    m = (dates.mapInArrow(_pair_moments(k), "a long, b long, n double, sum_a double, sum_b double, sum_ab double")
+         .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sum_a", "sum_b", "sum_ab")]))
+    cov = F.when(F.col("n") > 1, (F.col("sum_ab") - F.col("sum_a") * F.col("sum_b") / F.col("n")) / (F.col("n") - 1) * 252.0)
+    half = (m.join(places.select(F.col("place").alias("a"), F.col(by).alias("sym_a")), "a")
+            .join(places.select(F.col("place").alias("b"), F.col(by).alias("sym_b")), "b").select("sym_a", "sym_b", cov.alias("cov")))
+    pair = F.struct("sym_a", "sym_b")
+    both = F.when(F.col("sym_a") == F.col("sym_b"), F.array(pair)).otherwise(
+        F.array(pair, F.struct(F.col("sym_b").alias("sym_a"), F.col("sym_a").alias("sym_b"))))
+    return half.select(F.explode(both).alias("p"), "cov").select("p.sym_a", "p.sym_b", "cov")
 
 
 def expected_returns(bars: DataFrame, weights: DataFrame, *, by: str = BY) -> DataFrame:
@@ -125,7 +170,8 @@ def portfolio_suggestions(bars: DataFrame, weights: DataFrame, *, by: str = BY)
 
 def weight_grid(weights: DataFrame, k: int = 10, *, by: str = BY) -> DataFrame:
     """G1 candidates: all long-only weight vectors on the grid {0, 1/k, ..}
-    summing to 1 over the universe, as (cand, symbol, weight) rows.
+    summing to 1 over the universe, as (cand, weights) rows; ``weights`` is
+    in the order of the members.
 
     Built by extending partial vectors one member at a time (explode of the
     remaining units), so only vectors that can still sum to 1 are kept; the
@@ -134,8 +180,6 @@ def weight_grid(weights: DataFrame, k: int = 10, *, by: str = BY) -> DataFrame:
     m = weights.select(by).distinct().count()
     if m > align.MAX_PAIR_UNIVERSE:
         raise ValueError(f"universe of {m} symbols is too large for a weight grid")
-    # the universe is the user's portfolio (checked above), so its member list is a parameter
-    syms = [r[0] for r in weights.select(by).distinct().orderBy(by).collect()]
     n_cand = math.comb(k + m - 1, m - 1) if m else 0
     if n_cand > 5_000_000:
         raise ValueError(f"{n_cand} candidates: reduce k or the universe")
@@ -148,10 +192,9 @@ def weight_grid(weights: DataFrame, k: int = 10, *, by: str = BY) -> DataFrame:
             F.concat("units", F.array("_u")).alias("units"), (F.col("used") + F.col("_u")).alias("used"))
         if i == 1:
             cur = cur.repartition("units")  # the first two members' vectors are extended in many tasks
-    cand = cur.filter(F.col("used") == k).withColumn("cand", F.concat_ws(",", F.col("units").cast("array<string>")))
-    sym_arr = F.array(*[F.lit(s) for s in syms])
-    return cand.select("cand", F.posexplode("units").alias("i", "u")).select(
-        "cand", F.element_at(sym_arr, F.col("i") + 1).alias(by), (F.col("u") / F.lit(float(k))).alias("weight"))
+    cand = F.concat_ws(",", F.col("units").cast("array<string>"))
+    return cur.filter(F.col("used") == k).select(
+        cand.alias("cand"), F.transform("units", lambda u: u / F.lit(float(k))).alias("weights"))
 
 
 VOL_CAPS = {"low": 0.10, "medium": 0.15, "high": 0.25, "unconstrained": None}
@@ -163,14 +206,21 @@ def portfolio_weight_search(bars: DataFrame, weights: DataFrame, k: int = 10, *,
     volatility is within the cap (.10 / .15 / .25)."""
     weights = weights.join(bars.select(by).distinct(), by, "left_semi")  # J8: members with data
     grid = weight_grid(weights, k, by=by)
-    mu = expected_returns(bars, weights, by=by)
-    cov = covariance_matrix(bars, weights, by=by)
-    ret = grid.join(mu, by).groupBy("cand").agg(F.sum(F.col("weight") * F.col("expected_return")).alias("ret"))
-    ga = grid.select("cand", F.col(by).alias("sym_a"), F.col("weight").alias("w_a"))
-    gb = grid.select("cand", F.col(by).alias("sym_b"), F.col("weight").alias("w_b"))
-    var = (ga.join(cov, "sym_a").join(gb, ["cand", "sym_b"])
-           .groupBy("cand").agg(F.sum(F.col("w_a") * F.col("w_b") * F.col("cov")).alias("var")))
-    scored = ret.join(var, "cand").withColumn("vol", F.sqrt(F.greatest(F.col("var"), F.lit(0.0))))
+    # one row: members, expected returns and covariances by member; what is not there counts 0
+    listed = lambda c, v, name: F.map_from_entries(F.collect_list(F.struct(c, v))).alias(name)
+    known = weights.agg(F.array_sort(F.collect_set(by)).alias("members"), F.lit(1).alias("_k"))
+    mu = expected_returns(bars, weights, by=by).agg(listed(by, "expected_return", "mu"), F.lit(1).alias("_k"))
+    sigma = (covariance_matrix(bars, weights, by=by).filter("cov IS NOT NULL").groupBy("sym_a").agg(listed("sym_b", "cov", "row"))
+             .agg(listed("sym_a", "row", "sigma"), F.lit(1).alias("_k")))
+    member = lambda f: F.transform("members", f)
+    known = known.join(mu, "_k").join(sigma, "_k").select(
+        "_k", member(lambda a: F.try_element_at("mu", a)).alias("mu"),
+        member(lambda a: member(lambda b: F.try_element_at(F.try_element_at("sigma", a), b))).alias("sigma"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(p * q, F.lit(0.0))), F.lit(0.0), lambda acc, z: acc + z)
+    scored = (grid.withColumn("_k", F.lit(1)).join(F.broadcast(known), "_k")  # one row of members x members values, at most 8 MB
+              .select("cand", dot(F.col("weights"), F.col("mu")).alias("ret"),
+                      dot(F.col("weights"), F.transform("sigma", lambda row: dot(F.col("weights"), row))).alias("var")))
+    scored = scored.withColumn("vol", F.sqrt(F.greatest(F.col("var"), F.lit(0.0))))
     scored = scored.withColumn("sharpe", F.when(F.col("vol") > 0, F.col("ret") / F.col("vol")).otherwise(F.lit(0.0)))
     # the reference computes a cap per tolerance but its solver never applies
     # it; "unconstrained" (null cap) reproduces that, the others apply the cap

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 
 from tickframe.functions import fundamentals as fu
 from tickframe.functions import signals as sg
+from tickframe.operators import align
 from tickframe.operators import indicators as ind
 from tickframe.operators import monthly, series
 from tickframe.operators import scores as scr
+from tickframe.plans import catalog
 from tickframe.plans import forecast as fc
 from tickframe.plans import models as ml
 from tickframe.plans.catalog import query
-from tickframe.plans.q_indicators import BASE, W
+from tickframe.plans.q_indicators import _G, _L, BASE, W, fr
+from tickframe.plans.q_misc import _linear_sql
+from tickframe.plans.q_models import _DRIFT
+from tickframe.plans.q_text import HEADLINE, s_polarity
 from tickframe.plans.sqlkit import Q, rounded
 from tickframe.sources import fixtures as fx
 
@@ -124,10 +129,62 @@ def q_fundamental_view(spark, sf_dir):
     return view.select("symbol", *[listed(g).alias(g.name) for g in groups])
 
 
-@query("wide_feature_table")
+_SCORED = Q(f"""SELECT b.symbol, b.ts, COALESCE(n.s, 50.0) AS sentiment_score, COALESCE(n.c, 0) AS news_count FROM bars b
+LEFT JOIN (SELECT CAST(symbol AS BIGINT) AS symbol, AVG(score) AS s, CAST(COUNT(*) AS INTEGER) AS c
+           FROM (SELECT *, {s_polarity(HEADLINE)} AS score FROM news) GROUP BY 1) n ON n.symbol = b.symbol""", "bars", "news", doubles=("sentiment_score",))
+
+
+@query("attach_news_sentiment", _SCORED)
+def q_attach_news_sentiment(spark, sf_dir):
+    """The mean score of a symbol's articles on every bar."""
+    return rounded(align.attach_sentiment(fx.bars(spark, sf_dir), _news_scores(spark, sf_dir)).select("symbol", "ts", "sentiment_score", "news_count"))
+
+
+def _rsi_sql(*sizes: int) -> str:
+    """Plain RSI of several lengths."""
+    means = ", ".join(f"{fr('AVG', x, n)} AS {x}{n}" for n in sizes for x in "gl")
+    value = ", ".join(f"CASE WHEN l{n} = 0 THEN (CASE WHEN g{n} > 0 THEN 100.0 END) ELSE 100.0 - 100.0 / (1.0 + g{n} / l{n}) END AS rsi_{n}" for n in sizes)
+    return Q(f"WITH {BASE},\ngl AS (SELECT *, {_G} AS g, {_L} AS l FROM br),\nra AS (SELECT symbol, ts, {means} FROM gl {W})\nSELECT symbol, ts, {value} FROM ra",
+             "bars", doubles=[f"rsi_{n}" for n in sizes])
+
+
+def _wide_sql() -> str:
+    """The oracles of the single indicators side by side, missing values 0."""
+    one = catalog.ORACLE
+    parts = [(Q("SELECT symbol, ts, open, high, low, close, volume FROM bars", "bars", doubles=("open", "high", "low", "close", "volume")),
+              "open high low close volume"), (one["asof_ffill"], "cpi cpi_change"), (one["sma"], "sma_5 sma_10 sma_20 sma_50 sma_100 sma_200"),
+             (one["ema_adjusted"], "ema_5 ema_10 ema_12 ema_20 ema_26 ema_50"), (one["macd"], "macd macd_signal macd_hist"),
+             (_rsi_sql(7, 14, 21), "rsi_7 rsi_14 rsi_21"), (one["bollinger"], "bb_mid_20 bb_upper_20 bb_lower_20"), (one["bb_position"], "bb_position_20"),
+             (one["bb_width"], "bb_width_20"), (one["stochastic"], "stoch_k_14 stoch_d_14"), (one["williams_r"], "williams_r_14"), (one["atr"], "atr_14"),
+             (one["obv"], "obv"), (one["momentum"], "momentum_1 momentum_5 momentum_10 momentum_20"),
+             (one["rolling_volatility"], "volatility_5 volatility_10 volatility_20"), (one["bar_shape"], "high_low_ratio close_open_ratio price_change volume_change"),
+             (one["volume_sma"], "volume_sma_20 volume_ratio_20"), (one["forward_return"], "fwd_return_1"), (one["forward_direction"], "fwd_direction fwd_volatility_5"),
+             (one["attach_fundamentals"], "trailing_pe profit_margin revenue_growth debt_to_equity current_ratio beta market_cap"),
+             (_SCORED, "sentiment_score news_count")]
+    ctes = ",\n".join(f"i{k} AS MATERIALIZED (SELECT symbol, ts, {', '.join(cols.split())} FROM (\n{sql}\n))" for k, (sql, cols) in enumerate(parts))
+    cols = ", ".join(f"COALESCE({c}, 0) AS {c}" for _, names in parts for c in names.split())
+    return f"WITH {ctes}\nSELECT symbol, ts, {cols} FROM i0 " + " ".join(f"JOIN i{k} USING (symbol, ts)" for k in range(1, len(parts)))
+
+
+@query("wide_feature_table", _wide_sql())
 def q_wide_feature_table(spark, sf_dir):
     """M2: indicators, fundamentals, news, macro and three targets per bar."""
-    return ml.wide_feature_table(fx.bars(spark, sf_dir), fx.fundamentals(spark, sf_dir), _news_scores(spark, sf_dir), fx.macro(spark, sf_dir))
+    return rounded(ml.wide_feature_table(fx.bars(spark, sf_dir), fx.fundamentals(spark, sf_dir), _news_scores(spark, sf_dir), fx.macro(spark, sf_dir)))
+
+
+_BLEND = f"""WITH short AS ({_linear_sql()}),
+slow AS ({_linear_sql(decay=0.995)}),
+drifts AS (WITH {_DRIFT} SELECT symbol, day, predicted FROM drift)
+SELECT symbol, day, 0.4 * short.predicted + 0.3 * drifts.predicted + 0.3 * slow.predicted AS predicted
+FROM short JOIN drifts USING (symbol, day) JOIN slow USING (symbol, day)"""
+
+
+@query("forecast_blend", Q(_BLEND, "bars", doubles=("predicted",)))
+def q_forecast_blend(spark, sf_dir):
+    """M16 over given paths: the six-feature linear path with two decays and the drift."""
+    bars = fx.bars(spark, sf_dir)
+    return rounded(ml.forecast_ensemble([(0.4, ml.forecast_linear(bars, 30)), (0.3, fc.forecast_drift(bars, 30)),
+                                         (0.3, ml.forecast_linear(bars, 30, decay=0.995))]))
 
 
 @query("forecast_ensemble")
