@@ -129,3 +129,38 @@ def test_tiny_and_huge_vectors_take_part(spark):
     for r in got:
         assert abs(r["score"] - unit[r["query_id"] % 20] @ unit[r["vec_id"] % 20]) < 1e-9
     assert {r["query_id"]: r["vec_id"] for r in got if r["rank"] == 1} == {q: (q + 20) % 40 for q in range(0, 40, 4)}
+
+
+def several(spark, k):
+    """Ids with different, parallel and repeated vectors, queries among them."""
+    rng = np.random.default_rng(k)
+    rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 4)]) for i in rng.integers(0, 60, 400)]
+    rows += [(20, [float(x)] * 4) for x in (1, 2, 4, 8)] + [(40, [1.0, 1.0, 1.0, 1.0])] * 3 + [(i, [3.0, 3.0, 3.0, 3.0]) for i in (7, 8, 8, 9)]
+    rows = [(i, v) for i, v in rows if any(v)]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def ranks(rows, k, score):
+    """All different rows but those of the query's id; a query id asks with its smallest vector."""
+    rows = {(i, tuple(x + 0.0 for x in v)) for i, v in rows}
+    out = []
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        own = np.array(min(v for i, v in rows if i == q))
+        found = sorted((-score(own, np.array(v)), i) for i, v in rows if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    return out
+
+
+@pytest.mark.parametrize("k", [3, 20])
+def test_different_vectors_under_one_id(spark, monkeypatch, k):
+    rows, df = several(spark, k)
+    is_query = F.col("vec_id") % 20 == 0
+    assert sorted(map(tuple, S.top_k(df, is_query, k=k).collect())) == ranks(rows, k, product)
+    got = sorted(map(tuple, M.nearest(df, is_query, k=k, share=1.0).collect()))
+    want = ranks(rows, k, lambda a, b: round(cosine(a, b), 9))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1e-8)
+    assert {(q, v) for q, _, v, _ in got} <= {(q, i) for q in {r[0] for r in got} for i, _ in rows if i != q}
+    for block, size in (("BLOCK_ROWS", 32), ("BLOCK_QUERIES", 1)):
+        monkeypatch.setattr(S, block, size)
+    assert sorted(map(tuple, S.top_k(df, is_query, k=k).collect())) == ranks(rows, k, product)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import small_batches
-from tickframe.llm.vectors import BLOCK_QUERIES, BLOCK_ROWS, Distinct, clean, hashed, matrix, ranked
+from tickframe.llm.vectors import BLOCK_QUERIES, BLOCK_ROWS, Distinct, clean, hashed, matrix, query_rows, ranked
 
 #: Bound of the sample that the centroids are fitted on.
 MAX_SAMPLE = 20_000
@@ -131,7 +131,7 @@ def _searched(width, k):
                     continue
                 rough = near[open_] @ (q / math.sqrt((q * q).sum()))
                 order = np.argsort(-rough, kind="stable")
-                enough = np.searchsorted(np.cumsum(copies[open_[order]]), k + 1)
+                enough = np.searchsorted(np.cumsum(copies[open_[order]]), k + rows.most)
                 least = rough[order[min(enough, len(order) - 1)]] - _NEAR
                 found = open_[rough >= least]
                 exact = (rows.vectors[found] * q).sum(1) / (size[found] * np.sqrt((q * q).sum()))
@@ -163,7 +163,7 @@ def nearest(embeddings: DataFrame, is_query, *, k: int = 5, centroids: int = CEN
     blocks = F.element_at(F.array(*[F.lit(max(1, math.ceil(x / BLOCK_ROWS))) for x in counts.sum(1).tolist()]),
                           (F.col("i") + 1).cast("int")).cast("long")
     spread = max(1, math.ceil((queries or 0) / BLOCK_QUERIES))
-    routed = rows.filter(is_query).mapInArrow(
+    routed = query_rows(rows, is_query).mapInArrow(
         _routed(spark.sparkContext.broadcast((halves, counts)), width, max(math.ceil(share * (n or 0)), k + 1)),
         "vec_id long, v array<double>, i long, j long")
     left = (routed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))

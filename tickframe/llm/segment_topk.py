@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import small_batches
-from tickframe.llm.vectors import BLOCK_QUERIES, BLOCK_ROWS, Distinct, clean, hashed, matrix, ranked
+from tickframe.llm.vectors import BLOCK_QUERIES, BLOCK_ROWS, Distinct, clean, hashed, matrix, query_rows, ranked
 
 SCALE = 64
 LEVELS = (1, 4, 16, 32)
@@ -74,13 +74,14 @@ def best_of(rows: Distinct, levels: list[np.ndarray], queries: np.ndarray, ids:
     slack = 1e-9 * (np.sqrt((queries * queries).sum(1)) * norm + 1)
     keep = np.ones((len(queries), len(rows.vectors)), bool)
     bound = _products(asked[0], levels[0], keep)
-    n = min(max(PROBE, k + 1), bound.shape[1])
+    more = k + rows.most
+    n = min(max(PROBE, more), bound.shape[1])
     probe = np.argpartition(-bound, n - 1, axis=1)[:, :n]
     own = np.repeat(np.arange(len(queries)), n)
     score = exact_scores(rows.vectors[probe.ravel()], queries[own]).reshape(-1, n)
     order = np.argsort(-score, axis=1, kind="stable")
     held = np.cumsum(copies[np.take_along_axis(probe, order, 1)], axis=1)
-    enough = (held < k + 1).sum(1)  # copies of one vector count, the query itself may be one
+    enough = (held < more).sum(1)  # copies of one vector count, some may be the query's own
     least = np.where(enough < n, np.take_along_axis(score, order, 1)[np.arange(len(queries)), np.minimum(enough, n - 1)], -np.inf)
     least = (least - slack)[:, None]
     keep &= bound >= least
@@ -96,8 +97,8 @@ def best_of(rows: Distinct, levels: list[np.ndarray], queries: np.ndarray, ids:
     out = []
     for q in range(len(queries)):
         found = np.flatnonzero(keep[q])
-        if len(found) > k + 1:
-            cut = np.partition(exact[q, found], len(found) - k - 1)[len(found) - k - 1]
+        if len(found) > more:
+            cut = np.partition(exact[q, found], len(found) - more)[len(found) - more]
             found = found[exact[q, found] >= cut]
         values = exact[q, found].astype(np.int64) if safe else exact_scores(rows.vectors[found], np.broadcast_to(queries[q], (len(found), queries.shape[1])))
         out.append(rows.best(found, values, ids[q], k))
@@ -127,11 +128,11 @@ def top_k(embeddings: DataFrame, is_query, *, k: int = 20, scale: int = SCALE) -
     """(query_id, rank, vec_id, score): the k largest scores for every row that
     ``is_query`` (a condition on vec_id) takes, its own row left out."""
     small_batches(embeddings.sparkSession, 4096)
-    rows = clean(embeddings).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    rows = clean(embeddings).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v")).distinct()
     n, width, queries = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.count(F.when(is_query, 1))).first()
     blocks, spread = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil((queries or 0) / BLOCK_QUERIES))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    left = (rows.filter(is_query).withColumn("block", every(blocks))
+    left = (query_rows(rows, is_query).withColumn("block", every(blocks))
             .withColumn("part", hashed("vec_id", F.lit(spread)).cast("long")).withColumn("is_query", F.lit(True)))
     right = (rows.withColumn("block", hashed("vec_id", F.lit(blocks)).cast("long"))
              .withColumn("part", every(spread)).withColumn("is_query", F.lit(False)))

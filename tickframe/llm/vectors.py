@@ -1,9 +1,11 @@
 """Shared parts of the vector searches: clean vectors, blocks, final ranks.
 
 A vector that is null, empty or holds a null or non-finite component takes no
-part, nor does a row without id.  Rows that repeat an id count once (the
-smallest vector).  Vectors of different lengths are compared as if the
-shorter were padded with zeros.
+part, nor does a row without id.  Rows equal in id and vector count once;
+different vectors under one id are all candidates (so an id may be found more
+than once), and as a query such an id asks with the smallest of them.
+Vectors of different lengths are compared as if the shorter were padded with
+zeros.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ def clean(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding"
     """(vec_id, v): usable vectors as arrays of doubles."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
-    return (rows.filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", finite))
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
+    return rows.filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", finite)).distinct()
+
+
+def query_rows(rows: DataFrame, is_query) -> DataFrame:
+    """(vec_id, v): the queries among clean rows, one vector per id."""
+    return rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def matrix(column, width: int) -> np.ndarray:
@@ -42,22 +48,29 @@ def matrix(column, width: int) -> np.ndarray:
 
 
 class Distinct:
-    """The different vectors of a block, each with its ``k + 1`` smallest ids.
+    """The different vectors of a block, each with its ``k + 1`` smallest ids, an
+    id at most ``k`` times.
 
     More copies can never be among a query's k best, as ties go to smaller ids
-    and at most one of the k + 1 is the query itself.
+    and at most one of the k + 1 ids is the query's own.  ``most`` is the number
+    of rows that one id, so also a query's own, has in the block.
     """
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, k: int):
         raw = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
         _, first, same = np.unique(raw, return_index=True, return_inverse=True)
         order = np.lexsort((ids, same))
-        start = np.searchsorted(same[order], np.arange(len(first)))
-        nth = np.arange(len(ids)) - start[same[order]]
-        keep = nth <= k
+        vector, own = same[order], ids[order]
+        start = np.searchsorted(vector, np.arange(len(first)))
+        new = np.ones(len(own), bool)
+        new[1:] = (vector[1:] != vector[:-1]) | (own[1:] != own[:-1])
+        nth_id = np.cumsum(new)
+        copy = np.arange(len(own)) - np.flatnonzero(new)[nth_id - 1]
+        keep = (nth_id - nth_id[start[vector]] <= k) & (copy < k)
         self.vectors, self.first = vectors[first], first
-        self.of, self.ids = same[order][keep], ids[order][keep]
+        self.of, self.ids = vector[keep], own[keep]
         self.start = np.searchsorted(self.of, np.arange(len(first) + 1))
+        self.most = int(np.unique(ids, return_counts=True)[1].max(initial=1))
 
     def best(self, found: np.ndarray, scores: np.ndarray, own: int, k: int):
         """(ids, scores) of the k best rows among the distinct vectors ``found``."""
