@@ -3,7 +3,7 @@
 The portfolio is a (symbol, weight) table joined by key.  Portfolio return
 series are ``groupBy(ts)`` sums of weight * return over the rows that exist
 (a missing return counts 0, no dense grid).  Covariances are pairwise
-complete (J11 restricted to the portfolio universe, whose size is checked).
+complete sums over dates for the portfolio's members, whose number is checked.
 """
 
 from __future__ import annotations
