@@ -4,10 +4,12 @@ import datetime as dt
 import re
 
 import numpy as np
+import pytest
 
 from tickframe.operators import indicators as ind
 from tickframe.operators import series
 from tickframe.plans import analysis
+from tickframe.plans import models as ml
 
 DAY = dt.date(1995, 1, 1)
 
@@ -66,3 +68,25 @@ def test_nulls_in_key_and_time_stay(spark):
     for size in (100, 1):
         got = series.finish(series.prepare(df, block_rows=size), keep_index=True).collect()
         assert sorted((r.symbol or 0, r._rn, r._n, r.close) for r in got) == [(0, 0, 2, 2.0), (0, 1, 2, 1.0), (1, 0, 3, 3.0), (1, 1, 3, 4.0), (1, 2, 3, 5.0)]
+
+
+def test_dimension_keys_that_repeat_don_t_repeat_bars_in_windows(spark):
+    b = _bars(spark)
+    f = spark.createDataFrame([(0, 1.5, 2.0), (0, None, 3.0), (7, 1.0, 1.0)], "symbol bigint, beta double, pe double")
+    n = spark.createDataFrame([(0, 61.0, 4), (0, 62.0, 5)], "symbol bigint, sentiment_score double, news_count int")
+    m = spark.createDataFrame([(DAY, 10.0), (DAY + dt.timedelta(days=40), 11.0)], "ts date, cpi double")
+    wide = ml.wide_feature_table(b, f, n, m)
+    assert wide.filter("symbol = 0").count() == 90 * 4 and wide.filter("symbol = 1").count() == 90
+    want = {(r.symbol, r.ts): r.sma_20 or 0.0 for r in ind.sma(b, 20).collect()}
+    for r in wide.collect():
+        assert r.sma_20 == pytest.approx(want[r.symbol, r.ts])
+        assert (r.beta, r.pe, r.sentiment_score, r.news_count) in ((1.0, 0.0, 50.0, 0), *((x, y, s, c) for x, y in ((1.5, 2.0), (1.0, 3.0)) for s, c in ((61.0, 4), (62.0, 5))))
+
+
+def test_wide_table_shuffles_narrow_rows_only(spark, capsys):
+    b = _bars(spark)
+    f = spark.createDataFrame([(0, 1.5)], "symbol bigint, beta double")
+    n = spark.createDataFrame([(0, 61.0, 4)], "symbol bigint, sentiment_score double, news_count int")
+    m = spark.createDataFrame([(DAY, 10.0)], "ts date, cpi double")
+    chain = _chain(_plan(ml.wide_feature_table(b, f, n, m), capsys))
+    assert chain.count("Window") > 10 and chain.count("Sort") == 2 and "SortMergeJoin" not in chain
