@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickframe.operators import indicators as ind
 from tickframe.operators import series
@@ -90,3 +91,26 @@ def test_wide_table_shuffles_narrow_rows_only(spark, capsys):
     m = spark.createDataFrame([(DAY, 10.0)], "ts date, cpi double")
     chain = _chain(_plan(ml.wide_feature_table(b, f, n, m), capsys))
     assert chain.count("Window") > 10 and chain.count("Sort") == 2 and "SortMergeJoin" not in chain
+
+
+def test_linear_forecast_from_one_reading(spark, capsys):
+    b = _bars(spark, symbols=3, days=140)
+    b = b.withColumns({c: F.col(c) + 1e6 for c in ("open", "high", "low", "close")})
+    whole = {(r.symbol, r.day): r.predicted for r in ml.forecast_linear(b, 5).collect()}
+    rows = ml.linear_features(b).toPandas().sort_values(["symbol", "_rn"])
+    for s, g in rows.groupby("symbol"):
+        x = g[ml.LINEAR_FEATURES].to_numpy(float)
+        mean = x.mean(0)
+        w = np.linalg.lstsq(x - mean, g.close - g.close.mean(), rcond=1e-12)[0]
+        for k in range(1, 6):
+            want = g.close.mean() - w @ mean + 0.99 ** (k - 1) * (w @ x[-1])
+            assert whole[s, k] == pytest.approx(want, rel=1e-6)
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cut = {(r.symbol, r.day): r.predicted for r in ml.forecast_linear(b, 5, moments=ml.linear_moments(b)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
+    assert cut == pytest.approx(whole, rel=1e-9)
+    plan = _plan(ml.forecast_linear(b, 5), capsys)
+    assert "SortMergeJoin" not in plan[:plan.index("Window")]  # no second reading for the means

@@ -3,9 +3,9 @@
 Feature tables are one series layout plus joins; learners are MLlib
 estimators in a Pipeline (distributed training, no driver-side data).
 The per-symbol linear forecast (M14) is fitted from per-symbol sufficient
-statistics (X'X, X'y) aggregated map-side, then each symbol's small normal
-equation is solved in an Arrow batch (mapInPandas over one row per symbol),
-so no symbol's rows are ever gathered into one task.
+statistics (X'X, X'y), summed per Arrow batch and then joined, and each
+symbol's small normal equation is solved in an Arrow batch (mapInPandas over
+one row per symbol), so no symbol's rows are ever gathered into one task.
 """
 
 from __future__ import annotations
@@ -233,10 +233,70 @@ def linear_features(bars: DataFrame, *, by: str = BY) -> DataFrame:
     return clean.drop_incomplete(series.finish(p, keep_index=True), columns=ALL_LINEAR_FEATURES)
 
 
-def _solver(names):
-    """Least squares of each symbol's centred normal equations, in unit scale."""
-    k = len(names)
+def _sums(names):
+    """One row per key and Arrow batch: rows, means and centred sums of products
+    (upper triangle) of the columns, and the latest row's values."""
+    def run(batches):
+        import numpy
+        import pyarrow
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            code, rn = coded.indices.to_numpy(), batch.column(1).to_numpy()
+            values = numpy.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], 1)
+            order = numpy.lexsort((rn, code))
+            code, values, rn = code[order], values[order], rn[order]
+            first = numpy.flatnonzero(numpy.append(True, code[1:] != code[:-1]))
+            out = []
+            for lo, hi in zip(first, numpy.append(first[1:], len(code))):
+                x = values[lo:hi]
+                mean = x.mean(0)
+                gram = (x - mean).T @ (x - mean)
+                out.append((int(hi - lo), mean, gram[numpy.triu_indices(len(mean))], int(rn[hi - 1]), x[-1]))
+            n, mean, half, last, latest = zip(*out)
+            listed = lambda v: pyarrow.array([a.tolist() for a in v], pyarrow.list_(pyarrow.float64()))
+            yield pyarrow.RecordBatch.from_arrays(
+                [coded.dictionary.take(pyarrow.array(code[first])), pyarrow.array(n, pyarrow.int64()), listed(mean), listed(half),
+                 pyarrow.array(last, pyarrow.int64()), listed(latest)], names=[names[0], "n", "mean", "half", "last", "x_last"])
+    return run
+
+
+def _joined(name):
+    """The rows of one key joined into one: mean and centred sums of all its rows."""
+    def run(table):
+        import numpy
+        import pyarrow
+
+        n, mean = table.column("n").to_numpy(), numpy.stack(table.column("mean").to_pylist())
+        half = numpy.stack(table.column("half").to_pylist())
+        total, at = n.sum(), int(numpy.argmax(table.column("last").to_numpy()))
+        middle = (n[:, None] * mean).sum(0) / total
+        gap = mean - middle
+        sums = half.sum(0) + ((gap * n[:, None]).T @ gap)[numpy.triu_indices(len(middle))]
+        kind = pyarrow.list_(pyarrow.float64())
+        return pyarrow.table({name: table.column(name).slice(0, 1), "n": pyarrow.array([int(total)], pyarrow.int64()),
+                              "mean": pyarrow.array([middle.tolist()], kind), "half": pyarrow.array([sums.tolist()], kind),
+                              "x_last": pyarrow.array([table.column("x_last")[at].as_py()], kind)})
+    return run
+
+
+def linear_moments(bars: DataFrame, *, features=ALL_LINEAR_FEATURES, by: str = BY) -> DataFrame:
+    """(by, n, mean, half, x_last) per symbol over ``features`` and the close, from
+    one reading of the features: an Arrow batch gives one row per symbol in it,
+    and a symbol's rows are joined (means apart, so large prices do not cancel)."""
+    names = [*features, "close"]
+    rows = linear_features(bars, by=by).filter(F.col(by).isNotNull()).select(by, RN, *[F.col(c).cast("double").alias(c) for c in names])
+    kind = rows.schema[by].dataType.simpleString()
+    arrays = "mean array<double>, half array<double>"
+    parts = rows.mapInArrow(_sums([by, *names]), f"{by} {kind}, n bigint, {arrays}, last bigint, x_last array<double>")
+    return parts.groupBy(by).applyInArrow(_joined(by), f"{by} {kind}, n bigint, {arrays}, x_last array<double>")
+
+
+def _solver(by, at, size):
+    """Least squares of each symbol's centred normal equations, in unit scale:
+    columns ``at`` of ``size`` are the features, the last one is the close."""
     def solve(batches):
         import numpy
         import pandas
@@ -244,41 +304,32 @@ def _solver(names):
         for pdf in batches:
             if not len(pdf):
                 continue
-            n, my = pdf["n"].to_numpy(float), pdf["mean_y"].to_numpy(float)
-            m = numpy.stack(pdf["mean"])
-            xx = numpy.stack(pdf["xtx"]).reshape(-1, k, k) / n[:, None, None]
-            xy = numpy.stack(pdf["xty"]) / n[:, None]
+            n, mean = pdf["n"].to_numpy(float), numpy.stack(pdf["mean"])
+            full = numpy.zeros((len(pdf), size, size))
+            i, j = numpy.triu_indices(size)
+            full[:, i, j] = full[:, j, i] = numpy.stack(pdf["half"])
+            xx = full[:, at][:, :, at] / n[:, None, None]
+            xy = full[:, at, -1] / n[:, None]
             scale = numpy.sqrt(numpy.maximum(numpy.diagonal(xx, axis1=1, axis2=2), 1e-300))
             inverse = numpy.linalg.pinv(xx / (scale[:, :, None] * scale[:, None, :]), rcond=1e-12, hermitian=True)
             w = (inverse @ (xy / scale)[:, :, None])[:, :, 0] / scale
-            yield pandas.DataFrame({"key": pdf["key"], "intercept": my - (w * m).sum(1), "coef": list(w)})
+            last = numpy.stack(pdf["x_last"])[:, at]
+            yield pandas.DataFrame({by: pdf[by], "intercept": mean[:, -1] - (w * mean[:, at]).sum(1), "_wx": (w * last).sum(1)})
     return solve
 
 
-def forecast_linear(bars: DataFrame, days: int = 30, *, decay: float = 0.99, features=LINEAR_FEATURES, by: str = BY) -> DataFrame:
+def forecast_linear(bars: DataFrame, days: int = 30, *, decay: float = 0.99, features=LINEAR_FEATURES, by: str = BY,
+                    moments: DataFrame | None = None) -> DataFrame:
     """Per-symbol OLS of close on ``features``; path
     y_k = b + decay^(k-1) * (w . x_last).  The short form takes six features
     and decay 0.99, the long form all features and 0.995.
 
-    Centred sums of products are aggregated per symbol (means first, so large
-    prices do not cancel); each symbol's small system is solved in an Arrow
-    batch over one row per symbol."""
-    rows = linear_features(bars, by=by)
-    xs = [F.col(c) for c in features]
-    means = rows.groupBy(by).agg(F.array(*[F.avg(x) for x in xs]).alias("mean"), F.avg("close").alias("mean_y"),
-                                 F.count(F.lit(1)).alias("n"), F.max_by(F.array(*xs), RN).alias("x_last"))
-    flat = rows.join(means, by).select(by, (F.col("close") - F.col("mean_y")).alias("y"),
-                                       *[(x - F.col("mean")[i]).alias(f"x{i}") for i, x in enumerate(xs)])
-    cs = [F.col(f"x{i}") for i in range(len(xs))]
-    sums = flat.groupBy(by).agg(F.array(*[F.sum(a * b) for a in cs for b in cs]).alias("xtx"),
-                                F.array(*[F.sum(a * F.col("y")) for a in cs]).alias("xty"))
-    g = sums.join(means, by)
-    kind = g.schema[by].dataType.simpleString()
-    fits = (g.select(F.col(by).alias("key"), "n", "mean", "mean_y", "xtx", "xty")
-            .mapInPandas(_solver(list(features)), f"key {kind}, intercept double, coef array<double>"))
-    j = fits.withColumnRenamed("key", by).join(means.select(by, "x_last"), by)
-    dot = F.aggregate(F.zip_with("coef", "x_last", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    j = j.withColumn("_wx", dot)
+    Each symbol's small system is solved in an Arrow batch over one row per
+    symbol.  ``moments`` (``linear_moments`` of all features) serves several forms."""
+    names = list(features) if moments is None else ALL_LINEAR_FEATURES
+    stats = linear_moments(bars, features=names, by=by) if moments is None else moments
+    kind = stats.schema[by].dataType.simpleString()
+    j = stats.mapInPandas(_solver(by, [names.index(c) for c in features], len(names) + 1), f"{by} {kind}, intercept double, _wx double")
     h = align.horizon_cross(j, n=days)
     return h.select(by, "day", (F.col("intercept") + F.pow(F.lit(decay), F.col("day") - 1) * F.col("_wx"))
                     .alias("predicted"))

@@ -183,16 +183,18 @@ FROM short JOIN drifts USING (symbol, day) JOIN slow USING (symbol, day)"""
 def q_forecast_blend(spark, sf_dir):
     """M16 over given paths: the six-feature linear path with two decays and the drift."""
     bars = fx.bars(spark, sf_dir)
-    return rounded(ml.forecast_ensemble([(0.4, ml.forecast_linear(bars, 30)), (0.3, fc.forecast_drift(bars, 30)),
-                                         (0.3, ml.forecast_linear(bars, 30, decay=0.995))]))
+    moments = ml.linear_moments(bars)
+    return rounded(ml.forecast_ensemble([(0.4, ml.forecast_linear(bars, 30, moments=moments)), (0.3, fc.forecast_drift(bars, 30)),
+                                         (0.3, ml.forecast_linear(bars, 30, decay=0.995, moments=moments))]))
 
 
 @query("forecast_ensemble")
 def q_forecast_ensemble(spark, sf_dir):
     """0.4 short linear + 0.3 drift + 0.3 all-feature linear, 30 days."""
     bars = fx.bars(spark, sf_dir)
-    return ml.forecast_ensemble([(0.4, ml.forecast_linear(bars, 30)), (0.3, fc.forecast_drift(bars, 30)),
-                                 (0.3, ml.forecast_linear(bars, 30, decay=0.995, features=ml.ALL_LINEAR_FEATURES))])
+    moments = ml.linear_moments(bars)
+    return ml.forecast_ensemble([(0.4, ml.forecast_linear(bars, 30, moments=moments)), (0.3, fc.forecast_drift(bars, 30)),
+                                 (0.3, ml.forecast_linear(bars, 30, decay=0.995, features=ml.ALL_LINEAR_FEATURES, moments=moments))])
 
 
 @query("key_levels", Q(f"""WITH {BASE},
