@@ -63,6 +63,18 @@ def test_ewm_of_every_span_over_many_runs(spark):
             np.testing.assert_allclose(got[f"ema_{span}"], got.close.ewm(span=span).mean(), rtol=1e-11)
 
 
+def test_ewm_with_nulls_where_a_run_begins(spark):
+    back = series.ewm_block_rows(1 - 2 / 13)
+    x = [None if i in (0, 1, 50, back, back + 1, 2 * back + 3) else float(i % 17) for i in range(3 * back)]
+    df = spark.createDataFrame([(0, DAY + dt.timedelta(days=i), v) for i, v in enumerate(x)], "symbol bigint, ts date, close double")
+    got = [r.ema_12 for r in ind.ema_adjusted(df, 12).orderBy("ts").collect()]
+    assert [i for i, v in enumerate(got) if v is None] == [0, 1, back, back + 1]
+    q, y = 1 - 2 / 13, 0.0
+    for i, v in enumerate(x):
+        y = y * q + (v or 0.0)
+        assert got[i] is None or got[i] == pytest.approx(y * (1 - q) / (1 - q ** (i + 1)), rel=1e-11)
+
+
 def test_nulls_in_key_and_time_stay(spark):
     rows = [(None, DAY, 1.0), (None, None, 2.0), (1, None, 3.0), (1, DAY, 4.0), (1, DAY + dt.timedelta(days=400), 5.0)]
     df = spark.createDataFrame(rows, "symbol bigint, ts date, close double")
