@@ -37,7 +37,10 @@ def word_count(text) -> Column:
 
 def keyword_hits(text, words) -> Column:
     """How many of ``words`` occur as substrings of lower(text), each once."""
-    low = F.lower(_c(text))
+    return _hits(F.lower(_c(text)), words)
+
+
+def _hits(low: Column, words) -> Column:
     parts = [F.when(low.contains(w), F.lit(1)).otherwise(F.lit(0)) for w in words]
     out = parts[0]
     for p in parts[1:]:
@@ -45,6 +48,15 @@ def keyword_hits(text, words) -> Column:
     return out
 
 
+def _lexicon(t: Column, low: Column, n: Column, positive, negative, variant: str) -> Column:
+    raw = (_hits(low, positive) - _hits(low, negative)).cast("double") / n.cast("double")
+    if variant == "A":
+        val, empty = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)), F.lit(0.0)
+    else:
+        val, empty = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw + 0.5)), F.lit(0.5)
+    return F.when(t.isNull() | (F.length(t) == 0) | (n == 0), empty).otherwise(val)
+
+
 def lexicon_sentiment(text, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS, *, variant: str = "A") -> Column:
     """(positive hits - negative hits) / word count.
 
@@ -52,13 +64,16 @@ def lexicon_sentiment(text, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS, *,
     to [0, 1], 0.5 for empty text.
     """
     t = _c(text)
-    n = word_count(t)
-    raw = (keyword_hits(t, positive) - keyword_hits(t, negative)).cast("double") / n.cast("double")
-    if variant == "A":
-        val, empty = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)), F.lit(0.0)
-    else:
-        val, empty = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw + 0.5)), F.lit(0.5)
-    return F.when(t.isNull() | (F.length(t) == 0) | (n == 0), empty).otherwise(val)
+    return _lexicon(t, F.lower(t), word_count(t), positive, negative, variant)
+
+
+def add_lexicon(df, text: str, *, words: str = "_words", **scores):
+    """X1 as DataFrame steps for several scores, name=(positive, negative,
+    variant): the lower-cased text and the word count (kept as ``words``) become
+    columns first, so they are worked out once per row."""
+    d = df.withColumns({"_low": F.lower(F.col(text)), words: word_count(F.col(text))})
+    d = d.withColumns({name: _lexicon(F.col(text), F.col("_low"), F.col(words), *rule) for name, rule in scores.items()})
+    return d.drop("_low")
 
 
 def clean_text(text) -> Column:
@@ -82,11 +97,11 @@ def add_polarity(df, text: str, out: str, positive=POSITIVE_WORDS, negative=NEGA
     columns first, so the regex work runs once per row (and each generated
     projection stays small)."""
     tmp = f"_clean_{out}"
-    d = df.withColumn(tmp, clean_text(F.col(text)))
-    pol = lexicon_sentiment(F.col(tmp), positive, negative, variant="A")
+    pol = F.col(f"_polarity_{out}")
+    d = add_lexicon(df.withColumn(tmp, clean_text(F.col(text))), tmp, words=f"_words_{out}", **{f"_polarity_{out}": (positive, negative, "A")})
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (pol + 1.0) * 50.0))
     val = F.when(F.col(text).isNull() | (F.length(F.col(tmp)) == 0), F.lit(50.0)).otherwise(score)
-    return d.withColumn(out, val).drop(tmp)
+    return d.withColumn(out, val).drop(tmp, f"_words_{out}", f"_polarity_{out}")
 
 
 def headline_text(title, summary) -> Column:

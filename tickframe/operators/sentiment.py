@@ -41,7 +41,8 @@ def news_sentiment(news: DataFrame, *, n: int = 20, by: str = BY, start=None, en
 def news_keyword_sentiment(news: DataFrame, *, by: str = BY) -> DataFrame:
     """A15 (training variant): mean variant-A keyword score of all articles,
     trend at ±0.1, article count."""
-    s = news.withColumn("_s", tx.lexicon_sentiment(tx.headline_text(F.col("title"), F.col("summary"))))
+    s = tx.add_lexicon(news.withColumn("_headline", tx.headline_text(F.col("title"), F.col("summary"))), "_headline",
+                       _s=(tx.POSITIVE_WORDS, tx.NEGATIVE_WORDS, "A"))
     g = s.groupBy(by).agg(F.avg("_s").alias("average_sentiment"), F.count(F.lit(1)).alias("news_count"))
     return g.withColumn("sentiment_trend", sg.news_trend("average_sentiment"))
 

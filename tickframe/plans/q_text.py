@@ -70,12 +70,9 @@ def q_headline_text(spark, sf_dir):
 def q_lexicon_sentiment(spark, sf_dir):
     """X1 on whole documents: default lists (variant A), extended lists
     (variant B) and the fixture lexicon (variant A)."""
-    t = F.col("text")
-    return rounded(_docs(spark, sf_dir).select(
-        "doc_id", tx.word_count(t).alias("words"),
-        tx.lexicon_sentiment(t, variant="A").alias("score_a"),
-        tx.lexicon_sentiment(t, tx.POSITIVE_WORDS_EXT, tx.NEGATIVE_WORDS_EXT, variant="B").alias("score_b"),
-        tx.lexicon_sentiment(t, POS, NEG, variant="A").alias("score_fixture")))
+    scored = tx.add_lexicon(_docs(spark, sf_dir), "text", words="words", score_a=(tx.POSITIVE_WORDS, tx.NEGATIVE_WORDS, "A"),
+                            score_b=(tx.POSITIVE_WORDS_EXT, tx.NEGATIVE_WORDS_EXT, "B"), score_fixture=(POS, NEG, "A"))
+    return rounded(scored.select("doc_id", "words", "score_a", "score_b", "score_fixture"))
 
 
 @query("polarity_score_0_100", Q(f"SELECT doc_id, {s_polarity('text')} AS score FROM documents", doubles=("score",)))
