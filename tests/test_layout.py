@@ -126,3 +126,18 @@ def test_linear_forecast_from_one_reading(spark, capsys):
     assert cut == pytest.approx(whole, rel=1e-9)
     plan = _plan(ml.forecast_linear(b, 5), capsys)
     assert "SortMergeJoin" not in plan[:plan.index("Window")]  # no second reading for the means
+
+
+def test_ratings_join_in_a_fixed_number_of_tasks(spark):
+    """Few shuffled bytes make no reason to join, sort and hash the rows in few tasks."""
+    from tests.conftest import SF001
+    from tickframe.sources import fixtures as fx
+
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        got = fx.ratings(spark, SF001)
+        assert got.rdd.getNumPartitions() >= 16 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert got.count() == got.distinct().count() > 0
