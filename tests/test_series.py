@@ -87,3 +87,28 @@ def test_blocks_split_a_hot_symbol(spark):
     p = series.prepare(tb, ts=["ts", "event_id"], block_rows=700, halo_back=600)
     blocks = p.filter("_core").groupBy("symbol").agg({"_blk": "max"}).collect()
     assert all(r[1] >= 2 for r in blocks)  # each ~2000-row symbol spans three 700-row blocks
+
+
+def test_long_rolling_std_reads_no_frame_anew(spark, capsys):
+    """Lengths over SHORT_ROWS are merged from moments of powers of two: equal to
+    the sliding frames in many blocks, with nulls, and exactly 0 for equal values."""
+    rng = np.random.default_rng(7)
+    x = 100.0 + rng.normal(size=1200)
+    x[600:900] = 0.1
+    rows = [(1, i, None if i % 401 == 400 else float(v)) for i, v in enumerate(x)] + [(None, i, float(i % 5)) for i in range(40)]
+    given = spark.createDataFrame(rows, "symbol bigint, ts int, x double").withColumn("ts", F.timestamp_seconds(F.col("ts") * 60))
+    lengths = (2, 5, 33, 50, 252)
+    for block_rows in (1 << 18, 300):
+        p = series.prepare(given, block_rows=block_rows, halo_back=300)
+        for n in lengths:
+            p = p.withColumn(f"was_{n}", series.full_rows(n, F.stddev_samp("x"), F.col("x")))
+        got = series.finish(series.rolling_std(p, "x", {n: f"is_{n}" for n in lengths}))
+        assert got.columns == ["symbol", "ts", "x", *[f"was_{n}" for n in lengths], *[f"is_{n}" for n in lengths]]
+        got = got.toPandas()
+        assert len(got) == len(rows)
+        for n in lengths:
+            np.testing.assert_allclose(got[f"is_{n}"].astype(float), got[f"was_{n}"].astype(float), rtol=1e-12, atol=1e-14)
+        assert (got.is_50 == 0).sum() == 152 + 49  # rows 600 to 800 and 802 to 899
+    capsys.readouterr()
+    ind.rolling_volatility(series.prepare(fx.bars(spark, SF001)), (5, 252)).explain()
+    assert "-251" not in capsys.readouterr().out

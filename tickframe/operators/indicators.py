@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.operators.ranking import top_n_per_key
-from tickframe.operators.series import (BY, N, RN, TS, ewm, ewm_all, finish, full_rows, lag, lead, prepare, rows, running,
+from tickframe.operators.series import (BY, N, RN, TS, ewm, ewm_all, finish, full_rows, lag, lead, prepare, rolling_std, rows, running,
                                         running_all, series_op)
 
 
@@ -224,11 +224,11 @@ def returns(df: DataFrame, *, by: str = BY, name: str = "ret") -> DataFrame:
 
 
 @series_op
-def rolling_volatility(df: DataFrame, n: int = 20, *, by: str = BY) -> DataFrame:
-    """Sample std of 1-row returns over n rows (null until n returns)."""
+def rolling_volatility(df: DataFrame, n=20, *, by: str = BY) -> DataFrame:
+    """Sample std of 1-row returns over n rows (null until n returns);
+    several lengths n share their moments."""
     out = df if "ret" in df.columns else df.withColumn("ret", pct_change(F.col("close"), 1, by))
-    r = F.col("ret")
-    out = out.withColumn(f"volatility_{n}", full_rows(n, F.stddev_samp(r), r, by))
+    out = rolling_std(out, "ret", {k: f"volatility_{k}" for k in ([n] if isinstance(n, int) else n)}, by)
     return out if "ret" in df.columns else out.drop("ret")
 
 

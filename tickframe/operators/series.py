@@ -192,6 +192,47 @@ def full_rows(n: int, agg_col: Column, x: Column, by: str = BY) -> Column:
     return F.when(F.count(x).over(w) == n, agg_col.over(w))
 
 
+#: Frames of up to this many rows are read anew for every row.
+SHORT_ROWS = 32
+
+
+def rolling_std(df: DataFrame, x: str, names: dict[int, str], by: str = BY) -> DataFrame:
+    """``full_rows(n, stddev_samp(x), x)`` for every n of ``names`` (n -> column).
+
+    Spark reads a sliding frame anew for every row.  Here mean and squared
+    deviations of the last 2, 4, 8, ... rows are merged from two halves, and a
+    frame from the powers of two that add up to n: some log2(n) lags a row.
+    Merging subtracts no running totals, so nothing cancels.
+    """
+    if max(names) <= SHORT_ROWS:
+        return df.withColumns({name: full_rows(n, F.stddev_samp(x), F.col(x), by) for n, name in names.items()})
+    _needs.note(max(names) - 1, 0)
+    w, out, k, made = win(by), df, 1, []
+    mean, dev = (lambda k: x if k == 1 else f"{_SUB}mean{k}"), (lambda k: f"{_SUB}dev{k}")
+    while 2 * k <= max(names):
+        old = {f"{_SUB}m": F.lag(mean(k), k).over(w)} | ({f"{_SUB}d": F.lag(dev(k), k).over(w)} if k > 1 else {})
+        step = F.col(f"{_SUB}m") - F.col(mean(k))
+        both = F.col(dev(k)) + F.col(f"{_SUB}d") if k > 1 else F.lit(0.0)
+        out = out.withColumns(old).withColumns({mean(2 * k): F.col(mean(k)) + step / 2.0, dev(2 * k): both + step * step * (k / 2.0)})
+        k *= 2
+        made += [mean(k), dev(k)]
+    parts, lags = {}, {}
+    for n in names:
+        sizes = [1 << i for i in reversed(range(n.bit_length())) if n >> i & 1]
+        parts[n] = [(size, sum(sizes[:i])) for i, size in enumerate(sizes)]
+        for size, back in parts[n]:
+            lags |= {f"{c(size)}_{back}": F.lag(c(size), back).over(w) for c in (mean, dev) if c is mean or size > 1}
+    out = out.withColumns(lags)
+    total, std = {}, {}
+    for n, name in names.items():
+        means = [(size, F.col(f"{mean(size)}_{back}")) for size, back in parts[n]]
+        first, whole = means[0][1], F.col(f"{_SUB}all{n}")
+        total[f"{_SUB}all{n}"] = functools.reduce(lambda a, b: a + b, [(m - first) * (size / n) for size, m in means[1:]], first)
+        devs = [F.col(f"{dev(size)}_{back}") for size, back in parts[n] if size > 1] + [(m - whole) * (m - whole) * float(size) for size, m in means]
+        std[name] = F.sqrt(functools.reduce(lambda a, b: a + b, devs) / float(n - 1))
+    return out.withColumns(total).withColumns(std).drop(*made, *lags, *total, f"{_SUB}m", f"{_SUB}d")
+
+
 def series_op(fn):
     """Decorator: run ``fn`` on a prepared frame and book the rows it looks
     back and ahead.  A raw frame is prepared with just that halo and finished."""

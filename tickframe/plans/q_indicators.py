@@ -148,7 +148,7 @@ reg("momentum", [lambda p, k=k: ind.momentum(p, k) for k in MOM_K], [f"momentum_
     ", ".join(f"close / NULLIF(LAG(close, {k}) OVER w, 0) - 1 AS momentum_{k}" for k in MOM_K))
 
 VOL_N = (5, 10, 20, 30, 50, 252)
-reg("rolling_volatility", [lambda p, n=n: ind.rolling_volatility(p, n) for n in VOL_N],
+reg("rolling_volatility", [lambda p: ind.rolling_volatility(p, VOL_N)],
     [f"volatility_{n}" for n in VOL_N], ", ".join(f"{fr('STDDEV_SAMP', 'ret', n)} AS volatility_{n}" for n in VOL_N))
 reg("price_std", [lambda p, n=n: ind.price_std(p, n) for n in (5, 10, 20)], [f"price_std_{n}" for n in (5, 10, 20)],
     ", ".join(f"{fr('STDDEV_SAMP', 'close', n)} AS price_std_{n}" for n in (5, 10, 20)))
