@@ -29,7 +29,8 @@ def _code(x: Column, scale: int) -> Column:
     """A whole number that never falls when ``x`` grows; NaN is the largest.
     |log2 x| is below 1075 for every double; infinity counts as 2^2000."""
     size = F.floor(F.least(F.log2(F.abs(x)), F.lit(2000.0)) * scale).cast("long") + 1100 * scale
-    return (F.when(F.isnan(x), F.lit(4000 * scale)).when(x == 0, F.lit(0)).when(x < 0, -size).otherwise(size)).cast("long")
+    code = (F.when(F.isnan(x), F.lit(4000 * scale)).when(x == 0, F.lit(0)).when(x < 0, -size).otherwise(size)).cast("long")
+    return F.coalesce(code, F.lit(0).cast("long"))  # never null: a join on it adds no filter that works ``x`` out again
 
 
 def exact_percentiles(df: DataFrame, by: str, col: str, quantiles: dict[str, float], *, scales=(SCALE,)) -> DataFrame:

@@ -159,8 +159,8 @@ def vol_percentiles(bars: DataFrame, *, by: str = BY, n: int = 252) -> DataFrame
     plus the current (whole-sample) annualised vol."""
     p = series.prepare(bars, by, "ts")
     p = ind.returns(p, by=by)
-    r = F.col("ret")
-    p = p.withColumn("_rv", series.full_rows(n, F.stddev_samp(r), r, by) * SQRT252)
+    p = series.rolling_std(p, "ret", {n: "_rv"}, by)
+    p = p.withColumn("_rv", F.col("_rv") * SQRT252)
     rows = series.finish(p, keep_index=True)
     now = rows.groupBy(F.col(by).alias("_by")).agg((F.stddev_samp("ret") * SQRT252).alias("current"))
     tails = ordered.exact_percentiles(rows, by, "_rv", {f"percentile_{q}": q / 100 for q in (25, 50, 75, 90)})
