@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickframe.operators import indicators as ind
-from tickframe.operators import series
+from tickframe.operators import series, stats
 from tickframe.plans import analysis
 from tickframe.plans import models as ml
+from tickframe.sources import fixtures as fx
 
 DAY = dt.date(1995, 1, 1)
 
@@ -141,3 +142,49 @@ def test_ratings_join_in_a_fixed_number_of_tasks(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
     assert got.count() == got.distinct().count() > 0
+
+
+def test_bars_travel_once_for_all_indices(spark, capsys):
+    """Bars are dealt to the indices after their exchange, and an index's first row
+    of a block follows its last of an earlier one, also over a block without any."""
+    kept = _bars(spark, symbols=3, days=200).filter("(dayofyear(ts) + symbol) % 7 != 0")
+    r = np.random.default_rng(5)
+    gaps = {"A": lambda d: True, "B": lambda d: d % 3 != 0, "C": lambda d: d < 40 or d > 150, None: lambda d: d % 2 == 0}
+    rows = [(name, DAY + dt.timedelta(days=d), float(r.uniform(90, 110))) for name, on in gaps.items() for d in range(-5, 210) if on(d)]
+    indices = spark.createDataFrame(rows, "index_name string, ts date, close double")
+    j = kept.toPandas().merge(indices.toPandas().rename(columns={"close": "m_close"}), on="ts").sort_values(["symbol", "ts"])
+    j["index_name"] = j["index_name"].fillna("none")
+    for c, name in (("close", "r_s"), ("m_close", "r_m")):
+        j[name] = j[c] / j.groupby(["symbol", "index_name"])[c].shift() - 1
+    want = j.sort_values(["symbol", "index_name", "ts"])
+    for layout in ({}, {"block_rows": 20}):
+        got = stats._returns_per_index(kept, indices, by="symbol", **layout).fillna("none", ["index_name"]).toPandas()
+        got = got.sort_values(["symbol", "index_name", "ts"])
+        assert len(got) == len(want) and (got.ts.values == want.ts.values).all()
+        for name in ("r_s", "r_m"):
+            np.testing.assert_allclose(got[name].astype(float), want[name], rtol=1e-12)
+    found = {(x.symbol, x.index_name or "none"): x for x in stats.index_correlation(kept, indices).collect()}
+    assert len(found) == 12
+    for key, g in want.groupby(["symbol", "index_name"]):
+        assert found[key].common_dates == len(g) and abs(found[key].correlation - g.r_s.corr(g.r_m)) < 1e-9
+    lines = _plan(stats.index_correlation(kept, indices), capsys).splitlines()
+    dealt = next(i for i, x in enumerate(lines) if "Generate" in x)
+    assert any("Window [lag" in x for x in lines[:dealt]) and not any("hashpartitioning(symbol" in x and "index_name" not in x for x in lines[:dealt])
+
+
+def test_indices_from_one_reading_of_the_bars(spark, capsys):
+    """A symbol with several sector rows counts once for the market, and a sector
+    of the market's name stays an index of its own."""
+    bars = _bars(spark, symbols=3, days=2)
+    sectors = [(0, "X"), (0, "X"), (1, "MARKET"), (1, None), (None, "Y")]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(fx, "sector_members", lambda *_: spark.createDataFrame(sectors, "symbol bigint, sector string"))
+        got = fx.index_series(spark, "", bars)
+        assert _plan(got, capsys).count("Scan ExistingRDD[symbol") == 2  # the bars and the sectors
+        rows = got.collect()
+    b = bars.toPandas()
+    want = []
+    for name, of in (("MARKET", b), ("X", b[b.symbol == 0]), ("MARKET", b[b.symbol == 1]), ("none", b[b.symbol == 1])):
+        for ts, g in of.groupby("ts"):
+            want += [(name, ts, round((g.close * g.volume).sum() / g.volume.sum(), 6), g.volume.sum() * (2 if name == "X" else 1))]
+    assert sorted((x.index_name or "none", x.ts, round(x.close, 6), x.volume) for x in rows) == sorted(want)

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickframe.operators import align, ordered, series
 from tickframe.operators import indicators as ind
-from tickframe.operators import ordered, series
 from tickframe.operators.series import BY, N, RN
 
 SQRT252 = math.sqrt(252.0)
@@ -79,20 +79,38 @@ def value_at_risk(bars: DataFrame, *, by: str = BY) -> DataFrame:
     return ordered.exact_percentiles(r, by, "ret", {"var_95": 0.05, "var_99": 0.01})
 
 
-def _aligned_returns(bars: DataFrame, index: DataFrame, *, by: str, index_key: str | None = None) -> DataFrame:
+def _aligned_returns(bars: DataFrame, index: DataFrame, *, by: str) -> DataFrame:
     """J1 + returns after alignment (Q11): both series are restricted to the
     common dates, then returns are taken over consecutive common dates."""
-    idx = index.select(*([index_key] if index_key else []), "ts", F.col("close").alias("m_close"))
-    j = bars.select(by, "ts", "close").join(idx, "ts", "inner")
-    key = by if index_key is None else f"{by}__{index_key}"
-    if index_key is not None:
-        j = j.withColumn(key, F.concat_ws("|", F.col(by).cast("string"), F.col(index_key)))
-    p = series.prepare(j, key, "ts")
-    w = series.win(key)
+    j = bars.select(by, "ts", "close").join(index.select("ts", F.col("close").alias("m_close")), "ts", "inner")
+    p = series.prepare(j, by, "ts")
+    w = series.win(by)
     p = (p.withColumn("r_s", ind.div(F.col("close"), F.lag("close", 1).over(w)) - 1.0)
          .withColumn("r_m", ind.div(F.col("m_close"), F.lag("m_close", 1).over(w)) - 1.0))
-    out = series.finish(p)
-    return out if index_key is None else out.drop(key)
+    return series.finish(p)
+
+
+def _returns_per_index(bars: DataFrame, indices: DataFrame, *, by: str, **layout) -> DataFrame:
+    """``_aligned_returns`` with every series of ``indices`` (index_name, ts, close).
+
+    A bar travels once, with its date's index values as one array, and is dealt
+    to the indices inside its block.  Within a block an index's rows follow one
+    another; the first follows the last of the blocks before, so no halo is needed.
+    """
+    at = align.packed(bars.select(by, "ts", "close"), indices.select("ts", "index_name", F.col("close").alias("m_close")), "_at", on="ts")
+    p = series.prepare(at.filter("_at is not null"), by, "ts", halo_back=0, halo_fwd=0, **layout)
+    here = align.unpacked(p.filter(F.col(series.CORE)), "_at").withColumn("_is", F.struct("close", "m_close"))
+    ends = (here.filter(F.col(series.BLK) > 0).groupBy(F.col(by).alias("_eby"), F.col("index_name").alias("_ename"), F.col(series.BLK).alias("_eblk"))
+            .agg(F.max_by("_is", RN).alias("_end")))  # one row per index and block of a symbol with several
+    before = Window.partitionBy("_eby", "_ename").orderBy("_eblk")
+    ends = ends.withColumn("_end", F.lag("_end", 1).over(before)).filter("_end is not null")
+    same = F.col(by).eqNullSafe(F.col("_eby")) & F.col("index_name").eqNullSafe(F.col("_ename")) & (F.col(series.BLK) == F.col("_eblk"))
+    w = Window.partitionBy(by, series.BLK, "index_name").orderBy(RN)
+    out = here.join(F.broadcast(ends), same, "left")
+    out = out.withColumn("_was", F.coalesce(F.lag("_is", 1).over(w), F.col("_end")))
+    return out.select(by, "ts", "index_name", "close", "m_close",
+                      (ind.div(F.col("close"), F.col("_was.close")) - 1.0).alias("r_s"),
+                      (ind.div(F.col("m_close"), F.col("_was.m_close")) - 1.0).alias("r_m"))
 
 
 def beta(bars: DataFrame, index: DataFrame, *, by: str = BY, min_dates: int = 30) -> DataFrame:
@@ -112,7 +130,7 @@ def beta(bars: DataFrame, index: DataFrame, *, by: str = BY, min_dates: int = 30
 def index_correlation(bars: DataFrame, indices: DataFrame, *, by: str = BY, min_dates: int = 30) -> DataFrame:
     """Correlation of returns with each index (index_name, ts, close) on
     more than ``min_dates`` common dates; one row per (symbol, index)."""
-    a = _aligned_returns(bars, indices, by=by, index_key="index_name")
+    a = _returns_per_index(bars, indices, by=by)
     g = a.groupBy(by, "index_name").agg(F.count("ts").alias("common_dates"),
                                         F.corr("r_s", "r_m").alias("_corr"))
     return g.select(by, "index_name", "common_dates",

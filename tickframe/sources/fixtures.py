@@ -254,14 +254,18 @@ def with_fixtures(sql: str, *names: str) -> str:
 
 def index_series(spark: SparkSession, sf_dir: str, bars_df: DataFrame | None = None) -> DataFrame:
     """index_series(index_name, ts, close, volume): the market index plus one
-    volume-weighted index per sector (region), built from member bars."""
+    volume-weighted index per sector (region), built from member bars in one
+    reading: a bar counts for the market and once per sector row of its symbol."""
     b = bars_df if bars_df is not None else bars(spark, sf_dir)
-    sec = sector_members(spark, sf_dir).select("symbol", "sector")
-    per = (b.join(sec, "symbol").groupBy(F.col("sector").alias("index_name"), "ts")
-           .agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("close"),
-                F.sum("volume").alias("volume")))
-    mkt = market_index(spark, sf_dir, b).select(F.lit("MARKET").alias("index_name"), "ts", "close", "volume")
-    return mkt.unionByName(per)
+    mine = (sector_members(spark, sf_dir).groupBy("symbol")
+            .agg(F.collect_list(F.struct(F.lit(False).alias("whole"), F.col("sector").alias("index_name"))).alias("_in")))
+    market = F.array(F.struct(F.lit(True).alias("whole"), F.lit("MARKET").alias("index_name")))
+    each = F.explode(F.concat(market, F.coalesce("_in", F.slice(market, 1, 0))))
+    return (b.join(mine, "symbol", "left").select("ts", "close", "volume", each.alias("_i"))
+            .groupBy("_i.whole", "_i.index_name", "ts")
+            .agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("close"),
+                 F.sum("volume").alias("volume"))
+            .select("index_name", "ts", "close", "volume"))
 
 
 FIXTURE_SQL["index_series"] = """
