@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF001
 from tickframe.operators import indicators as ind
-from tickframe.operators import series, stats
+from tickframe.operators import scores, series, stats
 from tickframe.plans import analysis
 from tickframe.plans import models as ml
+from tickframe.plans.catalog import QUERIES, load_all
 from tickframe.sources import fixtures as fx
 
 DAY = dt.date(1995, 1, 1)
@@ -188,3 +190,18 @@ def test_indices_from_one_reading_of_the_bars(spark, capsys):
         for ts, g in of.groupby("ts"):
             want += [(name, ts, round((g.close * g.volume).sum() / g.volume.sum(), 6), g.volume.sum() * (2 if name == "X" else 1))]
     assert sorted((x.index_name or "none", x.ts, round(x.close, 6), x.volume) for x in rows) == sorted(want)
+
+
+def test_market_overview_from_one_reading(spark, capsys):
+    rows = [(80.0, "uptrend", "low"), (90.0, "strong_uptrend", None), (None, "sideways", None), (70.0, None, "low"), (60.0, "uptrend", "high")]
+    given = spark.createDataFrame(rows, "overall_score double, trend string, risk_level string")
+    found = scores.market_overview(given)
+    assert _plan(found, capsys).count("Scan ExistingRDD") == 1
+    assert [tuple(r) for r in found.collect()] == [(75.0, 5, "bullish", None, "increase exposure")]  # ties: no level comes first
+    assert [tuple(r) for r in scores.market_overview(given.limit(0)).collect()] == [(None, 0, "bearish", None, "reduce exposure")]
+
+
+def test_overall_score_reads_line_items_once_for_its_bars(spark, capsys):
+    load_all()
+    plan = _plan(QUERIES["overall_score"](spark, SF001), capsys)
+    assert plan.count("l_shipdate") == 0  # the bars are stored

@@ -13,6 +13,7 @@ from tickframe.plans.catalog import query
 from tickframe.plans.q_indicators import BASE, W, fr
 from tickframe.plans.q_text import NEG, POS
 from tickframe.plans.sqlkit import Q, rounded
+from tickframe.session import staged
 from tickframe.sources import fixtures as fx
 
 S252 = "SQRT(252.0)"
@@ -220,8 +221,8 @@ risk AS (SELECT vs.symbol, annualized_volatility, max_drawdown, beta.beta,
   FROM vs JOIN md USING (symbol) LEFT JOIN beta USING (symbol))"""
 
 
-def _risk_frame(spark, sf_dir):
-    bars = fx.bars(spark, sf_dir)
+def _risk_frame(spark, sf_dir, bars=None):
+    bars = fx.bars(spark, sf_dir) if bars is None else bars
     j = (st.volatility_summary(bars).select("symbol", "annualized_volatility")
          .join(st.max_drawdown(bars), "symbol")
          .join(st.beta(bars, fx.market_index(spark, sf_dir, bars)).select("symbol", "beta"), "symbol", "left"))
@@ -260,10 +261,11 @@ SELECT *, CASE WHEN overall_score >= 80 THEN 'Strong Buy' WHEN overall_score >=
           AS recommendation FROM j"""
 
 
-def comprehensive(spark, sf_dir):
+def comprehensive(spark, sf_dir, bars=None):
     """SURVEY 3.1 as one job: technical, fundamental, sentiment and risk
-    scores per symbol, the weighted overall score and the recommendation."""
-    bars = fx.bars(spark, sf_dir)
+    scores per symbol, the weighted overall score and the recommendation.
+    The bars are read a dozen times, so they are stored once (or given so)."""
+    bars = staged(fx.bars(spark, sf_dir), "bars") if bars is None else bars
     tech = analysis.technical_snapshot(bars).select("symbol", "technical_score")
     f = fx.fundamentals(spark, sf_dir)
     fs = f.select("symbol", sc.fundamental_score("trailing_pe", "profit_margin", "revenue_growth",
@@ -271,7 +273,7 @@ def comprehensive(spark, sf_dir):
     sent = se.sentiment_blend(bars, se.news_sentiment(fx.news(spark, sf_dir), positive=POS, negative=NEG),
                               se.price_reaction_sentiment(bars), se.analyst_consensus(fx.ratings(spark, sf_dir)))
     sent = sent.select("symbol", F.col("overall_sentiment_score").alias("sentiment_score"))
-    risk = _risk_frame(spark, sf_dir).select("symbol", "risk_score")
+    risk = _risk_frame(spark, sf_dir, bars).select("symbol", "risk_score")
     j = tech.join(fs, "symbol", "left").join(sent, "symbol", "left").join(risk, "symbol", "left")
     j = j.withColumn("overall_score", sc.overall_score("technical_score", "fundamental_score",
                                                        "sentiment_score", "risk_score"))
